@@ -37,14 +37,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.words import WordHasher, run_hashes, words_of
+from postmill.llm.words import run_hashes, word_hashes
 from postmill.session import cut_lineage
 
 COUNT_BITS = 22
 LIST_ROWS = 4_096
-INDEX_RECORDS = 40_000  # records for each part of the index
+INDEX_RECORDS = 75_000  # records for each part of the index
+MIN_PARTS = 8
+MAX_ROWS = 50_000  # records packed together; fits the row number of an entry
+BROADCAST_IDS = 1_000_000  # ids that may be broadcast; more are joined by shuffle
 
-_ENTRY = np.dtype([("run", "<u8"), ("row", "<u4"), ("pos", "<u2")])
+_ENTRY = np.dtype([("run", "<u4"), ("row", "<u2"), ("pos", "<u2")])
+_HEAD = np.dtype([("id", "<i8"), ("size", "<u4"), ("words", "<u4")])
 
 
 def _records(df: DataFrame, key: str, text: Column) -> DataFrame:
@@ -58,36 +62,101 @@ def _cells(runs: np.ndarray) -> np.ndarray:
     return (runs >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
-def run_counts(sets: DataFrame) -> np.ndarray:
-    """How many records hold a run of each cell; a table of fixed size."""
+def _survey(records: DataFrame, length: int) -> DataFrame:
+    """One pass over the texts: ``kind, page, body``.
+
+    Kind 0 packs ids and fingerprints of records with a set; kind 1 has the counts of a page of
+    1024 cells, as far as this task has seen them.
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
         for batch in batches:
-            joined = b"".join(batch.column(0).to_pylist())
-            total += np.bincount(_cells(np.frombuffer(joined, dtype="<u8")), minlength=1 << COUNT_BITS)
-        # cells with one record are left out: they mean the same as none
-        at = np.flatnonzero(total)
-        for part in np.array_split(at, max(1, len(at) // 65_536)):
-            if len(part):
-                yield pa.RecordBatch.from_arrays([pa.array(part >> 10), pa.array(part & 1023), pa.array(total[part])], ["hi", "lo", "n"])
-
-    cells = sets.select("runs").mapInArrow(count, "hi long, lo long, n long")
-    summed = cells.groupBy("hi", "lo").agg(F.sum("n").alias("n")).where("n > 1")
-    # at most 2**COUNT_BITS numbers in all, packed by 1024
-    rows = summed.groupBy("hi").agg(F.collect_list(F.struct("lo", "n")).alias("cells"))
-    packed = rows.select(
-        "hi",
-        F.expr("transform(cells, c -> cast(c.lo as smallint))").alias("lo"),
-        F.expr("transform(cells, c -> cast(least(c.n, 2000000000) as int))").alias("n"),
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            prints = np.zeros(len(ids), dtype=_PRINT)
+            count = 0
+            for ident, runs in zip(ids, _sets_of(texts, length)):
+                if len(runs):
+                    total[_cells(runs)] += 1
+                    prints[count] = (ident, *_fingerprint(runs))
+                    count += 1
+            yield _rows([0], [0], [prints[:count].tobytes()])
+        pages = np.flatnonzero(total.reshape(-1, 1024).any(axis=1))
+        bodies = []
+        for page in pages:
+            cells = total[page * 1024 : (page + 1) * 1024]
+            at = np.flatnonzero(cells)
+            body = np.empty(len(at), dtype=_CELL)
+            body["cell"], body["n"] = at, np.minimum(cells[at], 2_000_000_000)
+            bodies.append(body.tobytes())
+        if bodies:
+            yield _rows([1] * len(bodies), pages, bodies)
+
+    return records.mapInArrow(scan, "kind int, page long, body binary")
+
+
+_CELL = np.dtype([("cell", "<u2"), ("n", "<u4")])
+_PRINT = np.dtype([("id", "<i8"), ("p1", "<i8"), ("p2", "<i8"), ("size", "<i8")])
+
+
+def _rows(kinds, pages, bodies) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(kinds, pa.int32()), pa.array(pages, pa.int64()), pa.array(bodies, pa.binary())], ["kind", "page", "body"]
     )
-    out = np.ones(1 << COUNT_BITS, dtype=np.int32)
-    got = packed.toArrow()
-    for hi, lo, n in zip(got["hi"].to_pylist(), got["lo"], got["n"]):
-        out[(hi << 10) + lo.values.to_numpy().astype(np.int64)] = n.values.to_numpy()
+
+
+def _sets_of(texts: list[str | None], length: int) -> Iterator[np.ndarray]:
+    """Sorted distinct run hashes of each text."""
+    for hashed in word_hashes(texts):
+        yield np.unique(run_hashes(hashed, length))
+
+
+def _fingerprint(runs: np.ndarray) -> tuple[int, int, int]:
+    """128 bits and the size: alike for equal sets only."""
+    first = int(np.bitwise_xor.reduce(runs * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64))
+    second = int(np.add.reduce((runs ^ (runs >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).astype(np.int64))
+    return first, second, len(runs)
+
+
+def run_counts(survey: DataFrame) -> np.ndarray:
+    """How many records hold a run of each cell; a table of fixed size."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, cells = None, np.zeros(1024, dtype=np.int64)
+        for batch in batches:
+            for p, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != page:
+                    if page is not None:
+                        yield _page(page, cells)
+                    page, cells = p, np.zeros(1024, dtype=np.int64)
+                part = np.frombuffer(body, dtype=_CELL)
+                cells[part["cell"]] += part["n"]
+        if page is not None:
+            yield _page(page, cells)
+
+    pages = survey.where("kind = 1").select("page", "body").repartition("page").sortWithinPartitions("page")
+    out = np.zeros(1 << COUNT_BITS, dtype=np.int32)
+    # 2**COUNT_BITS / 1024 rows at most
+    for row in pages.mapInArrow(add, "page long, body binary").toLocalIterator():
+        out[row.page * 1024 : (row.page + 1) * 1024] = np.frombuffer(row.body, dtype="<i4")
     return out
 
 
+def _page(page: int, cells: np.ndarray) -> pa.RecordBatch:
+    body = np.minimum(cells, 2_000_000_000).astype("<i4").tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([body], pa.binary())], ["page", "body"])
+
+
+def _prints(survey: DataFrame) -> DataFrame:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                part = np.frombuffer(body, dtype=_PRINT)
+                yield pa.RecordBatch.from_arrays([pa.array(part[c]) for c in ("id", "p1", "p2", "size")], ["id", "p1", "p2", "size"])
+
+    return survey.where("kind = 0").select("body").mapInArrow(unpack, "id long, p1 long, p2 long, size long")
+
+
 # -- sketches --------------------------------------------------------------------------------------
 
 
@@ -115,17 +184,16 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
 # -- index -----------------------------------------------------------------------------------------
 
 
-def _index_entries(sets: DataFrame, counts, threshold: float, parts: int) -> DataFrame:
-    """``part, entries, docs``: packed index entries of many records, by part of the index."""
+def _index_entries(records: DataFrame, counts, length: int, threshold: float, parts: int) -> DataFrame:
+    """``part, entries, head, sketches``: packed index entries of many records, by part of the index."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
-        for batch in batches:
-            ids, blobs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        for batch in (b.slice(k, MAX_ROWS) for b in batches for k in range(0, b.num_rows, MAX_ROWS)):
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             runs_, rows_, pos_, n_ = [], [], [], []
             sizes, sketches = np.zeros(len(ids), dtype=np.uint32), []
-            for row, blob in enumerate(blobs):
-                runs = np.frombuffer(blob, dtype="<u8")
+            for row, runs in enumerate(_sets_of(texts, length)):
                 sizes[row] = size = len(runs)
                 sketches.append(parity_sketch(runs))
                 held = table[_cells(runs)]
@@ -146,18 +214,18 @@ def _index_entries(sets: DataFrame, counts, threshold: float, parts: int) -> Dat
             for part, chosen in _split(runs, n, ids[rows], parts):
                 used, local = np.unique(rows[chosen], return_inverse=True)
                 entries = np.empty(len(chosen), dtype=_ENTRY)
-                entries["run"], entries["row"], entries["pos"] = runs[chosen], local, np.minimum(pos[chosen], 65_535)
-                head = np.empty(len(used), dtype=[("id", "<i8"), ("size", "<u4"), ("words", "<u4")])
+                # the low half of a run: a chance match of halves makes a candidate, never a link
+                entries["run"], entries["row"], entries["pos"] = runs[chosen] & np.uint64(0xFFFFFFFF), local, np.minimum(pos[chosen], 65_535)
+                head = np.empty(len(used), dtype=_HEAD)
                 head["id"], head["size"], head["words"] = ids[used], sizes[used], words[used]
                 body = np.concatenate([flat[offset[u] : offset[u + 1]] for u in used])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int64()), pa.array([len(used)], pa.int32()),
-                     pa.array([entries.tobytes()], pa.binary()), pa.array([head.tobytes()], pa.binary()),
+                    [pa.array([part], pa.int64()), pa.array([entries.tobytes()], pa.binary()), pa.array([head.tobytes()], pa.binary()),
                      pa.array([body.tobytes()], pa.binary())],
-                    ["part", "docs", "entries", "head", "sketches"],
+                    ["part", "entries", "head", "sketches"],
                 )
 
-    return sets.mapInArrow(build, "part long, docs int, entries binary, head binary, sketches binary")
+    return records.mapInArrow(build, "part long, entries binary, head binary, sketches binary")
 
 
 def _split(runs: np.ndarray, n: np.ndarray, ids: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -166,7 +234,7 @@ def _split(runs: np.ndarray, n: np.ndarray, ids: np.ndarray, parts: int) -> Iter
     A run held by more than LIST_ROWS records is cut into pieces by record; an entry goes to every
     pair of pieces that its own piece is in, each pair being a part of its own.
     """
-    owner = (runs % np.uint64(parts)).astype(np.int64)
+    owner = ((runs >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
     hot = n > LIST_ROWS
     cold = np.flatnonzero(~hot)
     order = cold[np.argsort(owner[cold], kind="stable")]
@@ -235,7 +303,7 @@ def candidate_pairs(runs, size, pos, ident, sketches, words, doc, threshold: flo
 
 def _part_pairs(blobs: list[tuple[bytes, bytes, bytes]], threshold: float) -> np.ndarray:
     """All surviving pairs of one part of the index."""
-    heads = [np.frombuffer(h, dtype=[("id", "<i8"), ("size", "<u4"), ("words", "<u4")]) for _, h, _ in blobs]
+    heads = [np.frombuffer(h, dtype=_HEAD) for _, h, _ in blobs]
     entries = [np.frombuffer(e, dtype=_ENTRY) for e, _, _ in blobs]
     base = np.concatenate([[0], np.cumsum([len(h) for h in heads])])
     head = np.concatenate(heads)
@@ -295,53 +363,57 @@ def _join_parts(index: DataFrame, threshold: float) -> DataFrame:
 
 
 def run_sets(records: DataFrame, length: int) -> DataFrame:
-    """``id, print, runs``: the set of a record as sorted packed hashes, and its fingerprint."""
+    """``id, runs``: the set of a record as sorted packed hashes."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
-            ids, runs = [], []
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.unique(run_hashes(hasher(words_of(text)), length))
-                if len(found):
-                    ids.append(ident), runs.append(found.astype("<u8").tobytes())
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(runs, pa.binary())], ["id", "runs"])
+            runs = [r.astype("<u8").tobytes() for r in _sets_of(batch.column(1).to_pylist(), length)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary())], ["id", "runs"])
 
     return records.mapInArrow(build, "id long, runs binary")
 
 
+def _sized(ids: DataFrame, count: int) -> DataFrame:
+    """``ids``, to be broadcast if their counted number is small, else joined by shuffle."""
+    return F.broadcast(ids) if count <= BROADCAST_IDS else ids
+
+
 def link_classes(
     df: DataFrame, key: str, text: Column, length: int = 5, threshold: float = 0.8
 ) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: ``members`` has ``id, class_id`` for each record with a set, copies
     sharing the class of their smallest id; ``links`` has ``a, b, overlap, size_a, size_b`` for
-    each linked pair of class representatives, a < b."""
+    each linked pair of class representatives, a < b.
+
+    The texts are read and hashed anew for the survey, the index and the check instead of being
+    stored in between: the sets are several times larger than the texts.
+    """
     spark = df.sparkSession
-    sets = cut_lineage(run_sets(_records(df, key, text), length))
-    keyed = sets.select("id", F.xxhash64("runs").alias("p1"), F.crc32("runs").alias("p2"), F.length("runs").alias("p3"))
-    heads = keyed.groupBy("p1", "p2", "p3").agg(F.min("id").alias("class_id"), F.count("id").alias("n"))
+    records = _records(df, key, text)
+    survey = cut_lineage(_survey(records, length))
+    prints = _prints(survey)
+    heads = prints.groupBy("p1", "p2", "size").agg(F.min("id").alias("class_id"), F.count("id").alias("n"))
     # most classes have one member, and need no join
-    shared = heads.where("n > 1").select("p1", "p2", "p3", "class_id")
+    shared = heads.where("n > 1").select("p1", "p2", "size", "class_id")
     members = cut_lineage(
-        keyed.join(shared, ["p1", "p2", "p3"], "left").select("id", F.coalesce("class_id", "id").alias("class_id")).distinct()
+        prints.join(shared, ["p1", "p2", "size"], "left").select("id", F.coalesce("class_id", "id").alias("class_id")).distinct()
     )
     copies = members.where("id <> class_id").select("id")
-    representatives = sets.join(copies, "id", "left_anti").dropDuplicates(["id"])
-    total = members.count()
-    counts = spark.sparkContext.broadcast(run_counts(sets))
-    parts = max(16, -(-total // INDEX_RECORDS))
-    index = _index_entries(representatives.select("id", "runs"), counts, threshold, parts)
-    placed = index.repartition(F.col("part")).sortWithinPartitions("part")
+    total, copied = members.agg(F.count("id"), F.count_if(F.col("id") != F.col("class_id"))).first()
+    representatives = records.join(_sized(copies, copied), "id", "left_anti") if copied else records
+    counts = spark.sparkContext.broadcast(run_counts(survey))
+    parts = max(MIN_PARTS, -(-total // INDEX_RECORDS))
+    index = _index_entries(representatives, counts, length, threshold, parts)
+    placed = index.repartition(parts, F.col("part")).sortWithinPartitions("part")
     candidates = _join_parts(placed, threshold).distinct()
-    return members, cut_lineage(_verified(candidates, sets, threshold))
+    return members, cut_lineage(_verified(candidates, records, length, threshold))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, records: DataFrame, length: int, threshold: float) -> DataFrame:
     """Pairs with the overlap of their exact sets, where that reaches the threshold."""
     pairs = cut_lineage(pairs)
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    small = sets.join(needed, "id", "left_semi").dropDuplicates(["id"])
+    small = run_sets(records.join(_sized(needed, 2 * pairs.count()), "id", "left_semi"), length)
     left = small.select(F.col("id").alias("a"), F.col("runs").alias("ra"))
     right = small.select(F.col("id").alias("b"), F.col("runs").alias("rb"))
 
@@ -358,7 +430,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "overlap", "size_a", "size_b"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb")
-    return joined.mapInArrow(check, "a long, b long, overlap long, size_a long, size_b long")
+    return joined.mapInArrow(check, "a long, b long, overlap long, size_a long, size_b long").distinct()
 
 
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.words import WordHasher, run_hashes, words_of
+from postmill.llm.words import run_hashes, word_hashes
 
 RUN = 5
 THRESHOLD = 0.3
@@ -125,11 +125,10 @@ def _sampled(documents: DataFrame, rows: int) -> DataFrame:
 
 def train(documents: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             vectors, labels = [], []
-            for text in batch.column(0).to_pylist():
-                hashed = hasher(words_of(text))
+            texts = batch.column(0).to_pylist()
+            for text, hashed in zip(texts, word_hashes(texts)):
                 n, d = exact_share(hashed)
                 vectors.append(features_of(text or "", hashed)[0].tobytes())
                 labels.append(bool(n and (n - d) / n >= THRESHOLD))
@@ -151,14 +150,11 @@ def score_repetition(documents: DataFrame, model: Model | None = None, all_share
     model = model or train(documents)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             vectors = np.zeros((len(texts), FEATURES), dtype=np.float32)
-            bounds, hashes = np.zeros(len(texts)), []
-            for k, text in enumerate(texts):
-                hashed = hasher(words_of(text))
-                hashes.append(hashed)
+            bounds, hashes = np.zeros(len(texts)), word_hashes(texts)
+            for k, (text, hashed) in enumerate(zip(texts, hashes)):
                 vectors[k], bounds[k] = features_of(text or "", hashed)
             probability = model.probability(vectors)
             ask = (probability >= ASK_FROM) | (bounds >= THRESHOLD)

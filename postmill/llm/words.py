@@ -8,7 +8,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import xxhash
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -18,26 +17,75 @@ _MIX = np.array(
     dtype=np.uint64,
 )
 _SHIFT = np.uint64(29)
-_MEMO_WORDS = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-class WordHasher:
-    """64-bit hashes of words; remembers a bounded number of them."""
+#: Characters of texts that are hashed at a time.
+BLOCK_CHARS = 4_000_000
+_BASE = 0x9FB21C651E98DF25  # odd
+_TABLES: list[np.ndarray] = []
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points belong to words, and a random number for each of them."""
+    if not _TABLES:
+        points = np.arange(0x110000, dtype=np.uint64)
+        _TABLES.append(np.array([chr(k).isalnum() for k in range(0x110000)]))
+        mixed = (points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        _TABLES.append((mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB))
+    return _TABLES[0], _TABLES[1]
+
+
+def _powers(count: int) -> np.ndarray:
+    out = np.full(max(1, count), _BASE, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _hash_block(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and how many words each text has."""
+    # a line feed between texts ends a word and changes nothing in how they are lower-cased
+    lowered = [t.lower() for t in texts]
+    codes = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    is_word, number = _tables()
+    inside = is_word[codes]
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    ends = np.cumsum(np.array([len(t) + 1 for t in lowered]))
+    counts = np.diff(np.searchsorted(first, ends), prepend=0)
+    if not len(first):
+        return np.empty(0, dtype=np.uint64), counts
+    length = end - first
+    at = np.flatnonzero(inside)
+    starts = np.cumsum(length) - length
+    place = np.arange(len(at)) - np.repeat(starts, length)
+    hashed = np.add.reduceat(number[codes[at]] * _powers(int(length.max()))[place], starts)
+    hashed ^= hashed >> np.uint64(32)
+    return hashed * np.uint64(0xD6E8FEB86659FD93), counts
+
+
+def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """A 64-bit hash of each word of each text, in order; worked off in blocks."""
+    out: list[np.ndarray] = []
+    block: list[str] = []
+    held = 0
+    for text in texts:
+        if block and held + len(text or "") > BLOCK_CHARS:
+            out.extend(_cut(*_hash_block(block)))
+            block, held = [], 0
+        block.append(text or "")
+        held += len(text or "")
+    if block:
+        out.extend(_cut(*_hash_block(block)))
+    return out
 
-    def __init__(self) -> None:
-        self._memo: dict[str, int] = {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        memo = self._memo
-        if len(memo) > _MEMO_WORDS:
-            memo.clear()
-        for word in set(words).difference(memo):
-            memo[word] = xxhash.xxh3_64_intdigest(word)
-        return np.array([memo[w] for w in words], dtype=np.uint64)
+def _cut(hashed: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    return np.split(hashed, np.cumsum(counts)[:-1])
 
 
 def run_hashes(hashed: np.ndarray, length: int) -> np.ndarray:
@@ -50,8 +98,3 @@ def run_hashes(hashed: np.ndarray, length: int) -> np.ndarray:
         out = (out ^ hashed[k : k + count]) * _MIX[k % len(_MIX)]
         out ^= out >> _SHIFT
     return out
-
-
-def distinct_runs(text: str | None, length: int, hasher: WordHasher) -> np.ndarray:
-    """Sorted distinct run hashes of a text."""
-    return np.unique(run_hashes(hasher(words_of(text)), length))
