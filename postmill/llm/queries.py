@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import leaks, neardup, repetition
+from postmill.llm import leaks, neardup, pii, repetition
 from postmill.session import table
 
 
@@ -31,6 +31,23 @@ def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.membership(members, links).withColumnRenamed("id", "post_id")
 
 
+def _towns(posts: DataFrame) -> tuple[str, ...]:
+    return pii.towns_of((posts, F.col("location.city")))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    posts, rows = table(spark, folder, "job_posts"), table(spark, folder, "job_rows")
+    towns = _towns(posts)
+    in_posts = pii.find_personal(posts, "post_id", "description", "job_posts", towns)
+    return in_posts.union(pii.find_personal(rows, "row_id", "emails", "job_rows", towns)).distinct()
+
+
+def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Each description with typed placeholders in place of personal information."""
+    posts = table(spark, folder, "job_posts")
+    return pii.redact(posts, "post_id", "description", _towns(posts)).withColumnRenamed("record_id", "post_id")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     found = leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), parts=("item_text",))
     return found.select("doc_id", "item_id").distinct()
@@ -52,6 +69,8 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p5_found": p5_found,
     "p5_classes": p5_classes,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p9_found": p9_found,
