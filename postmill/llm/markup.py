@@ -51,7 +51,7 @@ BLOCKS = frozenset(
 )
 FURNITURE = frozenset("nav footer header aside form button select input script style iframe".split())
 
-TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*)?|/)>|<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s+[\w:-]+\s*=[^<>]*)?$")
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*(?::[A-Za-z][A-Za-z0-9]*)?)((?:\s[^<>]*)?|/)>|<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s+[\w:-]+\s*=[^<>]*)?$")
 COMMENT = re.compile(r"<!--.*?(?:-->|$)|<![A-Za-z][^>]*>|<\?[a-z][^>]*\?>", re.S)
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 
@@ -94,6 +94,11 @@ TEX_VERBATIM = re.compile(r"\\begin\s*\{(verbatim|lstlisting|minted)\}(?:\[[^\]\
 SIGNS = re.compile(r"[<>&#*_`~|\[\]{}\\$]|''|==|^[ \t]*(?:[-+]|\d{1,3}[.)])[ \t]|^-{3,}", re.M)
 
 
+def _is_tag(name: str) -> bool:
+    """Elements of HTML, and those with a prefix that office programs write."""
+    return name in TAGS or ":" in name
+
+
 # -- weights and the content scan --------------------------------------------------------------------
 
 
@@ -102,7 +107,7 @@ def _token_classes(text: str) -> Iterator[tuple[str, int, int]]:
     at, linked = 0, 0
     for m in TAG.finditer(text):
         name = (m.group(2) or m.group(5)).lower()
-        if name not in TAGS:
+        if not _is_tag(name):
             continue
         for w in _WORD.finditer(text, at, m.start()):
             yield ("linked word" if linked else "word"), *w.span()
@@ -187,7 +192,7 @@ def _outside_dropped(tokens: list[tuple[str, int, int]]) -> Iterator[tuple[str,
 
 
 def _known_tag(text: str) -> bool:
-    return any((m.group(2) or m.group(5)).lower() in TAGS for m in TAG.finditer(text))
+    return any(_is_tag((m.group(2) or m.group(5)).lower()) for m in TAG.finditer(text))
 
 
 def _known_entity(text: str) -> bool:
@@ -427,7 +432,7 @@ def _from_html(text: str, out: Structure) -> str:
     parts, at, dropped, cells = [], 0, None, False
     for m in TAG.finditer(text):
         name = (m.group(2) or m.group(5)).lower()
-        if name not in TAGS:
+        if not _is_tag(name):
             continue
         closing = bool(m.group(1) or m.group(4))
         if dropped is None:

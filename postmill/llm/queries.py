@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import leaks, neardup, pii, repetition
+from postmill.llm import leaks, markup, neardup, pii, repetition
 from postmill.session import table
 
 
 def posting_text() -> Column:
     """Title, employer and description of a post, for posts with a description that isn't blank."""
-    blank = F.length(F.regexp_replace("description", r"(?U)\s", "")) == 0
+    worded = F.col("description").rlike(r"(?U)\S")
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("company_name", F.lit("")), F.lit(" "), "description")
-    return F.when(~blank, text)
+    return F.when(worded, text)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = markup.clean_markup(table(spark, folder, "job_posts"), "post_id", "description")
+    return cleaned.select(F.col("record_id").alias("post_id"), F.explode("markup").alias("markup")).distinct()
+
+
+def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Each description as clean text, with what structure it has."""
+    cleaned = markup.clean_markup(table(spark, folder, "job_posts"), "post_id", "description")
+    return cleaned.withColumnRenamed("record_id", "post_id").withColumn("markup", F.array_join("markup", ","))
 
 
 def _post_links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -67,6 +78,8 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_clean": p1_clean,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
     "p6_found": p6_found,
