@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import leaks, markup, neardup, pii, repetition
+from postmill.llm import leaks, markup, names, neardup, pii, repetition
 from postmill.session import table
 
 
@@ -27,6 +27,22 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.withColumnRenamed("record_id", "post_id").withColumn("markup", F.array_join("markup", ","))
 
 
+def _typed_names(spark: SparkSession, folder: str) -> DataFrame:
+    posts = table(spark, folder, "job_posts").select(F.col("company_name").alias("name"))
+    return posts.union(table(spark, folder, "job_rows").select(F.col("company").alias("name")))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.name_pairs(names.link_names(_typed_names(spark, folder)))
+
+
+def p3_employers(spark: SparkSession, folder: str) -> DataFrame:
+    """Each spelling with its employer and the number of other spellings linked to it."""
+    linked = names.link_names(_typed_names(spark, folder))
+    sizes = linked.groupBy("employer").agg((F.count("name") - 1).alias("links"))
+    return linked.join(sizes, "employer").select("name", "employer", "links")
+
+
 def _post_links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return neardup.link_classes(table(spark, folder, "job_posts"), "post_id", posting_text(), length=3, threshold=0.6)
 
@@ -80,6 +96,8 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
+    "p3_found": p3_found,
+    "p3_employers": p3_employers,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
     "p6_found": p6_found,
