@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.words import run_hashes, word_hashes
+from postmill.llm.words import run_sets as text_sets
 from postmill.session import cut_lineage
 
 COUNT_BITS = 22
@@ -75,7 +75,7 @@ def _survey(records: DataFrame, length: int) -> DataFrame:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             prints = np.zeros(len(ids), dtype=_PRINT)
             count = 0
-            for ident, runs in zip(ids, _sets_of(texts, length)):
+            for ident, runs in zip(ids, text_sets(texts, length)):
                 if len(runs):
                     total[_cells(runs)] += 1
                     prints[count] = (ident, *_fingerprint(runs))
@@ -105,12 +105,6 @@ def _rows(kinds, pages, bodies) -> pa.RecordBatch:
     )
 
 
-def _sets_of(texts: list[str | None], length: int) -> Iterator[np.ndarray]:
-    """Sorted distinct run hashes of each text."""
-    for hashed in word_hashes(texts):
-        yield np.unique(run_hashes(hashed, length))
-
-
 def _fingerprint(runs: np.ndarray) -> tuple[int, int, int]:
     """128 bits and the size: alike for equal sets only."""
     first = int(np.bitwise_xor.reduce(runs * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64))
@@ -193,7 +187,7 @@ def _index_entries(records: DataFrame, counts, length: int, threshold: float, pa
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             runs_, rows_, pos_, n_ = [], [], [], []
             sizes, sketches = np.zeros(len(ids), dtype=np.uint32), []
-            for row, runs in enumerate(_sets_of(texts, length)):
+            for row, runs in enumerate(text_sets(texts, length)):
                 sizes[row] = size = len(runs)
                 sketches.append(parity_sketch(runs))
                 held = table[_cells(runs)]
@@ -292,10 +286,16 @@ def candidate_pairs(runs, size, pos, ident, sketches, words, doc, threshold: flo
             for w in np.unique(width):
                 at = np.flatnonzero(width == w)
                 for block in np.array_split(at, -(-len(at) // 65_536)):
-                    a, b = x[block], y[block]
-                    differ = np.bitwise_count(sketches[w][doc[a]] ^ sketches[w][doc[b]]).sum(axis=1)
-                    keep = differ <= allowed[block]
-                    if keep.any():
+                    a, b, most = x[block], y[block], allowed[block]
+                    # one half of the sketch rules out nearly all pairs
+                    differ = np.zeros(len(a), dtype=np.int64)
+                    for part in (slice(0, w // 2), slice(w // 2, w)):
+                        half = sketches[w][:, part]
+                        differ += np.bitwise_count(half[doc[a]] ^ half[doc[b]]).sum(axis=1, dtype=np.int64)
+                        keep = differ <= most
+                        a, b, most, differ = a[keep], b[keep], most[keep], differ[keep]
+                    keep = slice(None)
+                    if len(a):
                         ia, ib = ident[a[keep]], ident[b[keep]]
                         yield np.stack([np.minimum(ia, ib), np.maximum(ia, ib)], axis=1)
         live = live[left[live] > step]
@@ -367,7 +367,7 @@ def run_sets(records: DataFrame, length: int) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = [r.astype("<u8").tobytes() for r in _sets_of(batch.column(1).to_pylist(), length)]
+            runs = [r.astype("<u8").tobytes() for r in text_sets(batch.column(1).to_pylist(), length)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary())], ["id", "runs"])
 
     return records.mapInArrow(build, "id long, runs binary")

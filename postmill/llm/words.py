@@ -27,13 +27,15 @@ def words_of(text: str | None) -> list[str]:
 BLOCK_CHARS = 4_000_000
 _BASE = 0x9FB21C651E98DF25  # odd
 _TABLES: list[np.ndarray] = []
+#: From here on no code point is a letter or digit.
+LAST_POINT = 0x33480
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Which code points belong to words, and a random number for each of them."""
     if not _TABLES:
-        points = np.arange(0x110000, dtype=np.uint64)
-        _TABLES.append(np.array([chr(k).isalnum() for k in range(0x110000)]))
+        points = np.arange(LAST_POINT + 1, dtype=np.uint64)
+        _TABLES.append(np.array([chr(k).isalnum() for k in range(LAST_POINT)] + [False]))
         mixed = (points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         _TABLES.append((mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB))
@@ -52,6 +54,7 @@ def _hash_block(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lowered = [t.lower() for t in texts]
     codes = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     is_word, number = _tables()
+    codes = np.minimum(codes, LAST_POINT)
     inside = is_word[codes]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -98,3 +101,19 @@ def run_hashes(hashed: np.ndarray, length: int) -> np.ndarray:
         out = (out ^ hashed[k : k + count]) * _MIX[k % len(_MIX)]
         out ^= out >> _SHIFT
     return out
+
+
+def run_sets(texts: list[str | None], length: int) -> list[np.ndarray]:
+    """Sorted distinct run hashes of each text."""
+    hashed = word_hashes(texts)
+    if not hashed:
+        return []
+    counts = np.array([len(h) for h in hashed])
+    # runs over the joined words; those that cross into the next text are cut off
+    runs = run_hashes(np.concatenate(hashed), length)
+    begins = np.cumsum(counts) - counts
+    out = []
+    for begin, count in zip(begins.tolist(), np.maximum(counts - length + 1, 0).tolist()):
+        own = np.sort(runs[begin : begin + count])
+        out.append(own[np.append(True, own[1:] != own[:-1])] if count else own)
+    return out
