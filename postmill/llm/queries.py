@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import leaks, markup, names, neardup, pii, repetition
+from postmill.llm import leaks, markup, mixing, names, neardup, pii, repetition
 from postmill.session import table
 
 
@@ -84,6 +84,16 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document of the mix with the number of times that it is in it."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetitive(table(spark, folder, "documents"))
 
@@ -104,6 +114,8 @@ QUERIES = {
     "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
 }
