@@ -125,14 +125,14 @@ _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 ORACLES = {
     "p9_found": f"""
         with w as (select doc_id, {_WORDS.format("text")} as w from documents where text is not null),
-        r as (select doc_id, list_transform(range(1, len(w) - 3), i -> w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4]) as runs
+        r as (select doc_id, list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4]) as runs
               from w where len(w) >= 5)
         select doc_id from r
         where (len(runs) - len(list_distinct(runs))) / len(runs) >= 0.3""",
     "p7_found": f"""
         with i as (select item_id, {_WORDS.format("item_text")} as w from eval_items),
-        k as (select item_id, unnest(list_transform(range(1, len(w) - 10), j -> list_aggregate(w[j:j+11], 'string_agg', ' '))) as run from i where len(w) >= 12),
+        k as (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda j: list_aggregate(w[j:j+11], 'string_agg', ' '))) as run from i where len(w) >= 12),
         d as (select doc_id, {_WORDS.format("text")} as w from documents where text is not null),
-        m as (select doc_id, unnest(list_transform(range(1, len(w) - 10), j -> list_aggregate(w[j:j+11], 'string_agg', ' '))) as run from d where len(w) >= 12)
+        m as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda j: list_aggregate(w[j:j+11], 'string_agg', ' '))) as run from d where len(w) >= 12)
         select distinct doc_id, item_id from m join k using (run)""",
 }
