@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from postmill.plans import pipeline_queries
+from postmill.plans import listing_queries, pipeline_queries
 
-QUERIES = dict(pipeline_queries.QUERIES)
-ORACLES = dict(pipeline_queries.ORACLES)
-FLAGSHIP = pipeline_queries.p4_exactly_once
+QUERIES = {**listing_queries.QUERIES, **pipeline_queries.QUERIES}
+ORACLES = {**listing_queries.ORACLES, **pipeline_queries.ORACLES}
+FLAGSHIP = listing_queries.result_rows_37
