@@ -1,0 +1,123 @@
+"""A ledger of acknowledged work: revisions that are created exclusively, one file each.
+
+``commits/<revision>.json`` is made with exclusive creation, so of two owners that write the same
+revision one succeeds and the other gets ``Conflict``: compare and swap by file name.  Each commit
+holds a small state (site to offsets, counters); keys of listings are not in it but in the event
+log, whose epochs a commit names.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import uuid
+from dataclasses import dataclass, field
+from pathlib import Path
+
+VERSION = 1
+
+
+class Conflict(RuntimeError):
+    """Another owner has written this revision, or the ledger belongs to another search."""
+
+
+@dataclass(frozen=True)
+class Commit:
+    fingerprint: str
+    revision: int = 0
+    generation: str = field(default_factory=lambda: uuid.uuid4().hex)
+    state: dict = field(default_factory=dict)
+    version: int = VERSION
+
+    def after(self, state: dict) -> Commit:
+        return Commit(self.fingerprint, self.revision + 1, self.generation, state)
+
+
+class MemoryLedger:
+    """The same behaviour in memory."""
+
+    def __init__(self) -> None:
+        self._commit: Commit | None = None
+
+    def load(self) -> Commit | None:
+        return self._commit
+
+    def save(self, commit: Commit) -> None:
+        _check(self._commit, commit)
+        self._commit = commit
+
+    def replace(self, commit: Commit) -> Commit:
+        revision = (self._commit.revision if self._commit else 0) + 1
+        self._commit = Commit(commit.fingerprint, revision, uuid.uuid4().hex, commit.state)
+        return self._commit
+
+    def clear(self) -> None:
+        self._commit = None
+
+
+def _check(held: Commit | None, new: Commit) -> None:
+    if new.version > VERSION:
+        raise ValueError(f"version {new.version} is newer than this code")
+    if held is None:
+        return
+    if held.fingerprint != new.fingerprint:
+        raise Conflict("the ledger belongs to another search")
+    if held.generation != new.generation or held.revision + 1 != new.revision:
+        raise Conflict(f"revision {new.revision} doesn't follow {held.revision}")
+
+
+class FolderLedger:
+    """A ledger in a folder; the folder must be on a file system with exclusive creation."""
+
+    def __init__(self, folder: str | Path) -> None:
+        self.commits = Path(folder) / "commits"
+        self.commits.mkdir(parents=True, exist_ok=True)
+
+    def _path(self, revision: int) -> Path:
+        return self.commits / f"{revision:020d}.json"
+
+    def load(self) -> Commit | None:
+        names = sorted(p.name for p in self.commits.glob("*.json"))
+        if not names:
+            return None
+        held = json.loads((self.commits / names[-1]).read_text())
+        if held["version"] > VERSION:
+            raise ValueError(f"version {held['version']} is newer than this code")
+        return Commit(**held)
+
+    def save(self, commit: Commit) -> None:
+        """Write the next revision.  Only an owner that has seen the last one can."""
+        _check(self.load(), commit)
+        body = json.dumps(commit.__dict__, sort_keys=True, ensure_ascii=False)
+        target = self._path(commit.revision)
+        part = self.commits / f".{uuid.uuid4().hex}"
+        with part.open("w", encoding="utf-8") as out:
+            out.write(body)
+            out.flush()
+            os.fsync(out.fileno())
+        try:
+            os.link(part, target)  # fails if the revision is there; never shows half a file
+        except FileExistsError as error:
+            raise Conflict(f"revision {commit.revision} is taken") from error
+        finally:
+            part.unlink()
+
+    def replace(self, commit: Commit) -> Commit:
+        """Start over: a new generation, which fences owners of the old one."""
+        held = self.load()
+        new = Commit(commit.fingerprint, (held.revision if held else 0) + 1, uuid.uuid4().hex, commit.state)
+        if held is not None:
+            new_body = json.dumps(new.__dict__, sort_keys=True, ensure_ascii=False)
+            with self._path(new.revision).open("x", encoding="utf-8") as out:
+                out.write(new_body)
+        else:
+            self.save(new)
+        return new
+
+    def clear(self) -> None:
+        for path in self.commits.glob("*.json"):
+            path.unlink()
+
+    def stats(self) -> dict:
+        paths = list(self.commits.glob("*.json"))
+        return {"revisions": len(paths), "bytes": sum(p.stat().st_size for p in paths)}
