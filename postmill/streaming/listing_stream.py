@@ -67,7 +67,9 @@ def process(log: EventLog, request: SearchRequest, as_of: str, pages: DataFrame,
     rank = F.row_number().over(Window.partitionBy("site").orderBy("sequence"))
     taken = capped.withColumn("_rank", rank).where(F.col("_rank") + F.col("_held") <= request.results_wanted).drop("_rank", "_held")
     events = taken.withColumn("type", F.lit("job")).unionByName(rejected, allowMissingColumns=True)
-    log.write(epoch, events)
+    # how far each site has come in this batch
+    come = pages.groupBy("site").agg(F.max("page").alias("page"), F.count(F.lit(1)).alias("raw_seen"), F.max("sequence").alias("sequence"))
+    log.write(epoch, events.unionByName(come.withColumn("type", F.lit("progress")), allowMissingColumns=True))
 
 
 def start(spark: SparkSession, pages: DataFrame, request: SearchRequest, folder: str, as_of: str, drain: bool = True) -> StreamingQuery:
