@@ -71,7 +71,7 @@ def test_places_and_numbers(spark):
     assert shown("Austin", "TX", "USA") == "Austin, TX, USA"
     assert shown("Berlin", None, "GERMANY") == "Berlin, Germany"
     assert shown("X", None, "WORLDWIDE") == "X" and shown("Paris", "France", "France") == "Paris, France"
-    for said, want in [("$1,234.50/yr", 1234.5), ("1.234,50 €", 1234.5), ("50K", 50.0), ("EUR 60.000", 60.0), ("n/a", None)]:
+    for said, want in [("$1,234.50/yr", 1234.5), ("1.234,50 €", 1234.5), ("50K", 50.0), ("EUR 60.000", 60000.0), ("n/a", None)]:
         assert _value(spark, salary.listed_number(F.col("s")), s=said) == want
 
 
