@@ -6,12 +6,14 @@ from postmill.functions.url import identity_of
 from postmill.sources import mappers
 from postmill.sources.mappers import MAPPERS, POST_FIELDS, map_raw
 
-AS_OF = F.lit("2025-07-01").cast("date")
+
+def _as_of():
+    return F.lit("2025-07-01").cast("date")
 
 
 def _one(spark, site, raw, detail=None, **how):
     df = spark.createDataFrame([(site, 1, raw if isinstance(raw, str) else json.dumps(raw), detail)], "site string, sequence bigint, raw string, detail string")
-    return MAPPERS[site](df, AS_OF, **how).first()
+    return MAPPERS[site](df, _as_of(), **how).first()
 
 
 def test_indeed_pay_source_and_place(spark):
@@ -102,7 +104,7 @@ def test_bdjobs_cards_dates_and_details(spark):
 
 def test_nulls_and_empty_frames_never_fail(spark):
     empty = spark.createDataFrame([], "site string, sequence bigint, raw string, detail string")
-    assert map_raw(empty, AS_OF).count() == 0
+    assert map_raw(empty, _as_of()).count() == 0
     rows = [(s, 1, raw, None) for s in MAPPERS for raw in (None, "", "{}", "<p>")]
-    got = map_raw(spark.createDataFrame(rows, empty.schema), AS_OF)
+    got = map_raw(spark.createDataFrame(rows, empty.schema), _as_of())
     assert got.count() == len(rows) and set(n for n, _ in POST_FIELDS) <= set(got.columns)
