@@ -42,7 +42,7 @@ from postmill.session import cut_lineage
 
 COUNT_BITS = 22
 LIST_ROWS = 4_096
-INDEX_RECORDS = 75_000  # records for each part of the index
+INDEX_RECORDS = 50_000  # records for each part of the index
 MIN_PARTS = 8
 MAX_ROWS = 50_000  # records packed together; fits the row number of an entry
 BROADCAST_IDS = 1_000_000  # ids that may be broadcast; more are joined by shuffle
@@ -248,9 +248,31 @@ def _split(runs: np.ndarray, n: np.ndarray, ids: np.ndarray, parts: int) -> Iter
         yield part, np.array(chosen_list)
 
 
-def _required(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """The overlap at which two sets of these sizes reach the threshold."""
-    return np.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
+BLOCK_PAIRS = 1_000_000  # pairs that are tested at a time
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (k, first[k] + 0, 1, ... count[k] - 1) over all k."""
+    upto = np.cumsum(count)
+    begin = 0
+    while begin < len(count):
+        done = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, done + BLOCK_PAIRS, "right")))
+        part = count[begin:end]
+        which = np.repeat(np.arange(begin, end), part)
+        shift = np.repeat(first[begin:end] - (upto[begin:end] - part - done), part)
+        yield which, shift + np.arange(len(which))
+        begin = end
+
+
+def _ones(bits: np.ndarray) -> np.ndarray:
+    """The number of ones in each row of a matrix of words."""
+    counted = np.bitwise_count(bits)
+    if counted.shape[1] != 4:
+        return counted.sum(axis=1, dtype=np.int32)
+    four = counted.view("<u4")[:, 0]
+    two = (four & 0x00FF00FF) + ((four >> 8) & 0x00FF00FF)
+    return ((two & 0xFFFF) + (two >> 16)).astype(np.int32)
 
 
 def candidate_pairs(runs, size, pos, ident, sketches, words, doc, threshold: float) -> Iterator[np.ndarray]:
@@ -258,47 +280,62 @@ def candidate_pairs(runs, size, pos, ident, sketches, words, doc, threshold: flo
 
     The arguments are parallel arrays over index entries; ``sketches`` holds, by number of words,
     the matrix of the documents' sketches at that width, and ``doc`` an entry's row in them.
+
+    With r runs from its position on, an entry can reach the overlap with a partner if both sizes
+    together are at most r (1 + t) / t.  So it has a largest size of partners, ``most``.  An entry
+    is strong if that is no less than its own size.  Of a pair the smaller is always strong, and
+    two strong entries fulfil the larger one's bound by themselves: in a list sorted by size the
+    partners of a strong entry are one stretch, and all behind it is skipped.  Other entries pair
+    with smaller strong ones only, again a stretch.
     """
-    order = np.lexsort((pos, size, runs))
-    runs, size, pos, ident, doc = runs[order], size[order].astype(np.int64), pos[order].astype(np.int64), ident[order], doc[order]
-    count = len(runs)
-    first = np.concatenate([[True], runs[1:] != runs[:-1]]) if count else np.empty(0, bool)
-    edges = np.append(np.flatnonzero(first), count)
-    length = np.diff(edges)
-    # how far an entry's list goes on behind it
-    left = np.repeat(edges[1:], length) - np.arange(count) - 1
-    # the largest partner that an entry, at its position, can still have enough in common with
-    limit = np.minimum((size - pos) * ((1 + threshold) / threshold) - size, size / threshold) + 1e-6
-    live = np.flatnonzero(left > 0)
-    step = 0
-    while len(live):
-        step += 1
-        other = live + step
-        # sizes ascend: an entry that has met too large a partner skips the rest of its list
-        open_ = size[other] <= limit[live]
-        live, other = live[open_], other[open_]
-        need = _required(size[live], size[other], threshold)
-        fit = (size[other] - pos[other] >= need) & (ident[live] != ident[other])
-        x, y = live[fit], other[fit]
-        if len(x):
-            allowed = size[x] + size[y] - 2 * need[fit].astype(np.int64)
-            width = np.minimum(words[doc[x]], words[doc[y]])
-            for w in np.unique(width):
-                at = np.flatnonzero(width == w)
-                for block in np.array_split(at, -(-len(at) // 65_536)):
-                    a, b, most = x[block], y[block], allowed[block]
-                    # one half of the sketch rules out nearly all pairs
-                    differ = np.zeros(len(a), dtype=np.int64)
-                    for part in (slice(0, w // 2), slice(w // 2, w)):
-                        half = sketches[w][:, part]
-                        differ += np.bitwise_count(half[doc[a]] ^ half[doc[b]]).sum(axis=1, dtype=np.int64)
-                        keep = differ <= most
-                        a, b, most, differ = a[keep], b[keep], most[keep], differ[keep]
-                    keep = slice(None)
-                    if len(a):
-                        ia, ib = ident[a[keep]], ident[b[keep]]
-                        yield np.stack([np.minimum(ia, ib), np.maximum(ia, ib)], axis=1)
-        live = live[left[live] > step]
+    ratio = threshold / (1 + threshold)
+    size, pos = size.astype(np.int64), pos.astype(np.int64)
+    most = np.floor((size - pos + 1e-9) / ratio).astype(np.int64) - size
+    order = np.lexsort((size, runs))
+    runs, size, most, ident, doc = (x[order] for x in (runs, size, most, ident, doc))
+    if not len(runs):
+        return
+    group = np.cumsum(np.append(0, runs[1:] != runs[:-1]))
+    span = int(size.max()) + 1
+    strong = np.flatnonzero(most >= size)
+    weak = np.flatnonzero((most < size) & (most > 0))
+    key = group[strong] * span + size[strong]
+    end = np.searchsorted(key, group[strong] * span + np.minimum(most[strong], span - 1), "right")
+    own = np.arange(len(strong))
+    for which, other in _ranges(own + 1, end - own - 1):
+        yield from _tested(strong[which], strong[other], size, ident, sketches, words, doc, ratio)
+    low = np.searchsorted(key, group[weak] * span, "left")
+    high = np.searchsorted(key, group[weak] * span + np.minimum(most[weak], span - 1), "right")
+    for which, other in _ranges(low, high - low):
+        x, y = strong[other], weak[which]
+        fit = most[x] >= size[y]
+        yield from _tested(x[fit], y[fit], size, ident, sketches, words, doc, ratio)
+
+
+def _tested(x, y, size, ident, sketches, words, doc, ratio: float) -> Iterator[np.ndarray]:
+    """The pairs whose sketches don't tell that the sets differ too much."""
+    if not len(x):
+        return
+    both = size[x] + size[y]
+    allowed = (both - 2 * np.ceil(both * ratio - 1e-9).astype(np.int64)).astype(np.int32)
+    dx, dy = doc[x], doc[y]
+    width = np.minimum(words[dx], words[dy])
+    for w in np.unique(width):
+        at = slice(None) if width.min() == width.max() else np.flatnonzero(width == w)
+        a, b, limit = dx[at], dy[at], allowed[at]
+        # one half of the sketch rules out nearly all pairs
+        half = sketches[w][0]
+        differ = _ones(half[a] ^ half[b])
+        keep = np.flatnonzero(differ <= limit)
+        if not len(keep):
+            continue
+        a, b, limit, differ = a[keep], b[keep], limit[keep], differ[keep]
+        half = sketches[w][1]
+        keep = keep[differ + _ones(half[a] ^ half[b]) <= limit]
+        ia, ib = ident[x[at][keep]], ident[y[at][keep]]
+        apart = ia != ib
+        if apart.any():
+            yield np.stack([np.minimum(ia, ib)[apart], np.maximum(ia, ib)[apart]], axis=1)
 
 
 def _part_pairs(blobs: list[tuple[bytes, bytes, bytes]], threshold: float) -> np.ndarray:
@@ -329,7 +366,7 @@ def _part_pairs(blobs: list[tuple[bytes, bytes, bytes]], threshold: float) -> np
                 half = block.shape[1] // 2
                 block = block[:, :half] ^ block[:, half:]
             matrix[at] = block
-        sketches[int(w)] = matrix
+        sketches[int(w)] = (np.ascontiguousarray(matrix[:, : w // 2]), np.ascontiguousarray(matrix[:, w // 2 :]))
     found = list(candidate_pairs(runs, head["size"][row], pos, head["id"][row], sketches, words, row, threshold))
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
 
