@@ -4,10 +4,10 @@
     of parts and nicknames are evened out; what remains is the proper part (``core``), the stated
     line of business (``line``) and a person's first name (``first``).  Equal parts make one node.
 2.  The cores become vectors of character n-grams, weighted by tf-idf over all nodes.  A sparse
-    cosine join finds partners: a node's n-grams are ordered by weight, and only as many of the
-    heaviest are indexed as are needed for no pair above the threshold to be missed (what is left
-    has a norm below it).  Nodes with different lines of business never meet, as the line is part
-    of the index key; nodes without one meet all.
+    cosine join finds partners over an index of n-grams, in which frequent ones, of the least
+    weight, count by twos: one of them alone can't lift a pair above the threshold.  Nodes with
+    different lines of business never meet, as the line is part of the index key; nodes without
+    one meet all.
 3.  Partners are scored by cosine and checked by edit distance, which a typing error keeps small
     and another name doesn't.
 4.  Average linkage, weighted by how often a spelling occurs, groups the nodes of one line: the
@@ -40,6 +40,12 @@ from postmill.session import cut_lineage
 GRAM = 3
 COSINE = 0.2  # of two cores, to be looked at
 LINK = 0.15  # mean similarity at which groups join
+#: An n-gram in this share of the nodes (and in so many at least) is frequent: names are built of
+#: few syllables.
+COMMON_SHARE = 0.02
+COMMON_NODES = 50
+#: Cores with so few n-grams are indexed by frequent ones too.
+FEW_GRAMS = 6
 EDITS = 2  # typing errors in a core; a swap of neighbours is one
 
 # Words around a name.
@@ -210,7 +216,15 @@ def _grams(squeezed: list[str]) -> list[str]:
     return sorted(out)
 
 
-PARTS = "name string, core string, turned string, line string, first string, grams array<string>"
+def _letters(core: str) -> int:
+    """A bit for each letter that occurs an odd number of times; an edit changes two bits at most."""
+    mask = 0
+    for c in core:
+        mask ^= 1 << (ord(c) % 61)
+    return mask
+
+
+PARTS = "name string, core string, turned string, line string, first string, grams array<string>, letters long"
 
 
 def take_apart(names: DataFrame) -> DataFrame:
@@ -226,12 +240,12 @@ def take_apart(names: DataFrame) -> DataFrame:
                 got = parts_of(name)
                 if got:
                     words = got[0].split()
-                    rows.append((name, "".join(words), "".join(words[::-1]), got[1], got[2], _grams(words)))
+                    rows.append((name, "".join(words), "".join(words[::-1]), got[1], got[2], _grams(words), _letters("".join(words))))
             if rows:
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.string()) for c in columns[:5]), pa.array(columns[5], pa.list_(pa.string()))],
-                    ["name", "core", "turned", "line", "first", "grams"],
+                    [*(pa.array(c, pa.string()) for c in columns[:5]), pa.array(columns[5], pa.list_(pa.string())), pa.array(columns[6], pa.int64())],
+                    ["name", "core", "turned", "line", "first", "grams", "letters"],
                 )
 
     return names.select("name").mapInArrow(run, PARTS)
@@ -242,39 +256,43 @@ def _node_id() -> Column:
 
 
 def node_vectors(nodes: DataFrame) -> DataFrame:
-    """``id, gram, weight, rest``: the unit vector of each node, heaviest entries first; ``rest`` is
-    the norm of what comes at and behind an entry."""
+    """``id, v``: the unit vector of each node, as an array of n-gram, weight and whether it's frequent."""
     grams = nodes.select("id", F.explode("grams").alias("gram"))
     total = nodes.count()
     held = grams.groupBy("gram").agg(F.count("id").alias("df"))
     # n-grams of letters: their number is bounded by the alphabet, not by the data; checked all the same
     held = F.broadcast(held) if held.count() <= 2_000_000 else held
-    weighted = grams.join(held, "gram").withColumn("w", F.log(F.lit(1.0 + total) / F.col("df")) + 1.0)
-    packed = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("w", "gram")), asc=False).alias("v"))
+    weighted = grams.join(held, "gram").withColumn("w", F.log(F.lit(1.0 + total) / F.col("df")) + 1.0).withColumn(
+        "frequent", F.col("df") >= max(COMMON_NODES, COMMON_SHARE * total)
+    )
+    packed = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("w", "gram", "frequent")), asc=False).alias("v"))
     normed = packed.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.w * x.w)))
     return normed.select(
         "id",
-        F.transform("v", lambda x: F.struct(x.gram.alias("gram"), (x.w / F.col("norm")).alias("w"))).alias("v"),
+        F.transform("v", lambda x: F.struct(x.gram.alias("gram"), (x.w / F.col("norm")).alias("w"), x.frequent.alias("frequent"))).alias("v"),
     )
 
 
 def _index(vectors: DataFrame) -> DataFrame:
-    """The entries of each vector that must be indexed: behind them the norm is below COSINE."""
-    swept = F.aggregate(
-        "v",
-        F.struct(F.lit(1.0).alias("left"), F.array().cast("array<string>").alias("keys")),
-        lambda s, x: F.when(
-            s.left >= COSINE * COSINE - 1e-9,
-            F.struct((s.left - x.w * x.w).alias("left"), F.concat(s.keys, F.array(x.gram)).alias("keys")),
-        ).otherwise(s),
+    """The keys by which vectors meet: each n-gram that isn't frequent, and each two frequent ones.
+
+    A pair that shares one frequent n-gram and nothing else stays below COSINE: of n entries it has
+    the least weight, so the product is 1 / n at most.  Cores with few n-grams, for which that
+    doesn't hold, are indexed by single frequent ones too.
+    """
+    often = F.array_sort(F.transform(F.filter("v", lambda x: x.frequent), lambda x: x.gram))
+    seldom = F.transform(F.filter("v", lambda x: ~x.frequent), lambda x: x.gram)
+    spread = vectors.select("*", often.alias("often"), seldom.alias("seldom"))
+    twos = F.flatten(
+        F.transform("often", lambda x, i: F.transform(F.slice("often", i + 2, F.size("often")), lambda y: F.concat(x, F.lit("|"), y)))
     )
-    return vectors.withColumn("gram", F.explode(swept.getField("keys")))
+    alone = F.when(F.size("v") <= FEW_GRAMS, F.col("often")).otherwise(F.array().cast("array<string>"))
+    return spread.withColumn("gram", F.explode(F.concat("seldom", twos, alone)))
 
 
-def _cosine(a: Column, b: Column) -> Column:
-    """The product of two packed unit vectors."""
-    left = F.map_from_entries(a)
-    return F.aggregate(b, F.lit(0.0), lambda s, x: s + x.w * F.coalesce(F.try_element_at(left, x.gram), F.lit(0.0)))
+def _cosine(weights: Column, other: Column) -> Column:
+    """The product of two unit vectors, one as a map of weights, one as an array of entries."""
+    return F.aggregate(other, F.lit(0.0), lambda s, x: s + x.w * F.coalesce(F.try_element_at(weights, x.gram), F.lit(0.0)))
 
 
 def _swap_distance(a: str, b: str, most: int) -> int:
@@ -319,10 +337,9 @@ def _may_be_near() -> Column:
 def partners(nodes: DataFrame) -> DataFrame:
     """``a, b, sim, edits``: nodes whose cores are alike and whose first names agree, a < b, of one
     line or with one of them stating none."""
-    vectors = node_vectors(nodes)
-    posted = _index(vectors).join(nodes.select("id", "core", "turned", "line", "first"), "id")
-    entry = cut_lineage(posted.select("id", "gram", "core", "turned", "line", "first", "v"))
-    slim = entry.select("id", "gram", "core", "turned", "line", "first")
+    vectors = cut_lineage(node_vectors(nodes))
+    kept = ["id", "core", "turned", "line", "first", "letters"]
+    slim = cut_lineage(_index(vectors).join(nodes.select(*kept), "id").select("gram", *kept))
     agree = (
         (F.col("x.first") == F.col("y.first"))
         | (F.col("x.first") == "")
@@ -330,19 +347,24 @@ def partners(nodes: DataFrame) -> DataFrame:
         | ((F.length("x.first") == 1) & F.col("y.first").startswith(F.col("x.first")))
         | ((F.length("y.first") == 1) & F.col("x.first").startswith(F.col("y.first")))
     )
-    near = F.abs(F.length("x.core") - F.length("y.core")) <= EDITS
+    # bounds that cost next to nothing come first
+    near = (F.bit_count(F.col("x.letters").bitwiseXOR(F.col("y.letters"))) <= 2 * EDITS) & (
+        F.abs(F.length("x.core") - F.length("y.core")) <= EDITS
+    )
+    # in this order: the edit distance is worked out for what all cheaper bounds let pass
+    likely = near & agree & _may_be_near()
     same_line = slim.alias("x").join(
         slim.alias("y"),
-        (F.col("x.gram") == F.col("y.gram")) & (F.col("x.line") == F.col("y.line")) & (F.col("x.id") < F.col("y.id")) & near & agree,
+        (F.col("x.gram") == F.col("y.gram")) & (F.col("x.line") == F.col("y.line")) & (F.col("x.id") < F.col("y.id")) & likely,
     )
     # nodes that state no line are matched with those that do
     one_silent = slim.where("line = ''").alias("x").join(
-        slim.where("line <> ''").alias("y"), (F.col("x.gram") == F.col("y.gram")) & near & agree
+        slim.where("line <> ''").alias("y"), (F.col("x.gram") == F.col("y.gram")) & likely
     )
     columns = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("id", "core", "turned")]
     pairs = (
-        same_line.where(_may_be_near()).select(*columns)
-        .unionByName(one_silent.where(_may_be_near()).select(*columns))
+        same_line.select(*columns)
+        .unionByName(one_silent.select(*columns))
         .dropDuplicates(["x_id", "y_id"])
     )
     found = (
@@ -350,11 +372,12 @@ def partners(nodes: DataFrame) -> DataFrame:
         .where((F.col("edits") <= EDITS) & ((F.length("x_core") >= 7) | (F.col("edits") <= 1)))
         .select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), "edits")
     )
-    v = vectors.select("id", "v")
+    # the map is made once for each node, ahead of the join
+    mapped = F.map_from_arrays(F.transform("v", lambda x: x.gram), F.transform("v", lambda x: x.w))
     scored = (
-        found.join(v.select(F.col("id").alias("a"), F.col("v").alias("va")), "a")
-        .join(v.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-        .withColumn("sim", _cosine(F.col("va"), F.col("vb")))
+        found.join(vectors.select(F.col("id").alias("a"), mapped.alias("ma")), "a")
+        .join(vectors.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+        .withColumn("sim", _cosine(F.col("ma"), F.col("vb")))
     )
     return scored.where(F.col("sim") >= COSINE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim", "edits")
 
@@ -413,7 +436,7 @@ def link_names(names: DataFrame) -> DataFrame:
     spelled = cut_lineage(parts.join(counted, "name"))
     nodes = cut_lineage(
         spelled.groupBy("id").agg(
-            *[F.min(c).alias(c) for c in ("core", "turned", "line", "first", "grams")], F.sum("n").alias("weight")
+            *[F.min(c).alias(c) for c in ("core", "turned", "line", "first", "grams", "letters")], F.sum("n").alias("weight")
         )
     )
     edges = cut_lineage(partners(nodes))
