@@ -462,10 +462,19 @@ def result_rows_37(spark, folder):
     "select post_id, site, row_number() over (order by site nulls last, date_posted desc nulls last, post_id) as place from job_posts where site = 'bayt'",
 )
 def result_order(spark, folder):
-    """The place of each row of one site in the final order; a site is a partition of the sort."""
-    posts = table(spark, folder, "job_posts").where("site = 'bayt'")
-    order = Window.partitionBy("site").orderBy(F.col("date_posted").desc_nulls_last(), "post_id")
-    return posts.select("post_id", "site", F.row_number().over(order).cast("long").alias("place"))
+    """The rows of one site, as its SQL states; result_places has all."""
+    posts = _posts(spark, folder).where("site = 'bayt'").select("post_id", "site", "date_posted", "sequence")
+    return listings.with_place(posts).select("post_id", "site", "place")
+
+
+@query(
+    "result_places",
+    "select post_id, site, row_number() over (order by site nulls last, date_posted desc nulls last, post_id) as place from job_posts",
+)
+def result_places(spark, folder):
+    """The place of each row of all sites, and of none, in the final order."""
+    posts = _posts(spark, folder).select("post_id", "site", "date_posted", "sequence")
+    return listings.with_place(posts).select("post_id", "site", "place")
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:

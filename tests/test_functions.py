@@ -105,3 +105,22 @@ def test_first_seen_and_limits_with_ties_nulls_and_hot_keys(spark):
     assert listings.per_site_limit(df, 2, ["sequence"]).count() == 5
     assert listings.per_site_limit(df, 0, ["sequence"]).count() == 0
     assert listings.skip_raw(df, 299, ["sequence"]).count() == 1
+
+
+def test_places_are_those_of_the_final_order_over_all_sites_and_none(spark):
+    rows = [(i, [None, "indeed", "bayt", "zip"][i % 4], None if i % 5 == 0 else f"2025-01-{i % 7 + 1:02d}") for i in range(200)]
+    df = spark.createDataFrame(rows, "sequence int, site string, day string").repartition(7).selectExpr("sequence", "site", "to_date(day) as date_posted")
+    day = lambda r: 0 if r[2] is None else int(r[2][-2:])
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[1] is None, r[1] or "", -day(r), r[0]))]
+    got = sorted(listings.with_place(df).select("place", "sequence").collect())
+    assert [tuple(r) for r in got] == list(enumerate(want, 1))
+    assert listings.with_place(df.limit(0)).columns == ["sequence", "site", "date_posted", "place"]
+
+
+def test_a_query_places_the_posts_of_all_sites(spark, tmp_path):
+    from postmill.plans import catalogue
+
+    posts = "values (1L, 'bayt', date'2025-01-01'), (2L, 'zip', date'2025-01-01'), (3L, null, date'2025-01-02'), (4L, 'bayt', null) as t(post_id, site, date_posted)"
+    spark.sql(f"select * from {posts}").write.parquet(f"{tmp_path}/job_posts.parquet")
+    got = {r.post_id: r.place for r in catalogue.QUERIES["result_places"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 4: 2, 2: 3, 3: 4}
