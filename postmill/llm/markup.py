@@ -7,8 +7,9 @@ the content.  That stretch is written out without markup: headings stand on line
 items of lists begin with a bullet, cells of a table row are divided by a bar, and code and
 formulas keep their text.
 
-A fragment without any page furniture (navigation, forms, scripts, footers) is content as a whole;
-the scan then only confirms it, since every stretch of words outweighs its inline tags.
+A fragment without any page furniture (navigation, forms, scripts, footers) is not scanned: the
+scan would cut off short headings, and sentences around a link, at its edges.  It is content as a
+whole, but for blocks of links alone at its edges.  The kinds of markup don't come from the scan.
 
 Signs in prose are no markup: a sign counts as a construct only in the form that its language
 gives it (a known tag or entity, paired emphasis that touches its words, a list sign at the start
@@ -49,6 +50,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "header hr html main nav ol p pre section summary table tbody tfoot thead ul br".split()
 )
+#: Blocks whose ends part links from other words; rows and entries belong to their table or list.
+BORDERS = frozenset("address article blockquote center div dl fieldset figure main menu ol p section table ul".split())
 FURNITURE = frozenset("nav footer header aside form button select input script style iframe".split())
 
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*(?::[A-Za-z][A-Za-z0-9]*)?)((?:\s[^<>]*)?|/)>|<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s+[\w:-]+\s*=[^<>]*)?$")
@@ -162,7 +165,7 @@ def content_of(text: str) -> tuple[str, bool]:
     """The content of a page, and whether anything was cut off around it."""
     tokens = list(_token_classes(text))
     if not any(n.startswith("tag:") and n[4:] in FURNITURE for n, _, _ in tokens):
-        return text, False
+        return _without_edge_links(text, tokens)
     live = [t for t in _outside_dropped(tokens)]
     start, end, _ = best_stretch(live)
     if end <= start:
@@ -175,6 +178,43 @@ def content_of(text: str) -> tuple[str, bool]:
     return text[start:end], True
 
 
+_INTRODUCES = re.compile(r"(?:\s|</\w+>)*?(?::|</[hH][1-6])")
+_ADDRESS = re.compile(r"href\s*=\s*[\"']?\s*(?:mailto|tel):", re.I)
+
+
+def _without_edge_links(text: str, tokens: list[tuple[str, int, int]]) -> tuple[str, bool]:
+    """A fragment without the blocks at its edges that hold two links or more and no other words.
+
+    Links that share a paragraph, list or table with other words stay, as do mail addresses,
+    telephone numbers, and what a heading or a colon introduces.
+    """
+    words = [t for t in tokens if t[0] == "word"]
+    if not words or not any(n == "linked word" for n, _, _ in tokens):
+        return text, False
+    first, last = words[0][1], words[-1][2]
+    borders = [(s, e, text[s + 1] == "/") for n, s, e in tokens if n.startswith("tag:") and n[4:] in BORDERS]
+
+    def links(start: int, end: int) -> bool:
+        opened = sum(n == "tag:a" and text[s + 1] != "/" for n, s, _ in tokens if start <= s < end)
+        return opened >= 2 and any(n == "linked word" for n, s, _ in tokens if start <= s < end) and not _ADDRESS.search(text, start, end)
+
+    begin, stop = 0, len(text)
+    if before := [b for b in borders if b[1] <= first]:
+        s, e, closing = before[-1]
+        begin = e if closing else s
+        # the elements that hold the first words belong to them
+        for s, e, closing in reversed(before):
+            if closing or text[e:begin].strip():
+                break
+            begin = s
+        begin = begin if links(0, begin) else 0
+    if after := [b for b in borders if b[0] >= last]:
+        s, e, closing = after[0]
+        stop = e if closing else s
+        stop = stop if links(stop, len(text)) and not _INTRODUCES.match(text, last) else len(text)
+    return text[begin:stop], begin > 0 or stop < len(text)
+
+
 def _outside_dropped(tokens: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
     depth: str | None = None
     for token in tokens:

@@ -50,6 +50,27 @@ def test_page_furniture_is_cut_off():
     assert markup.content_of("<p>short</p>") == ("<p>short</p>", False)
 
 
+LINKS = "<div><a href='#'>Share</a><a href='#'>Print</a></div>"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"{LINKS}<p>Cook for us.</p>", "<p>Cook for us.</p>"), (f"<p>Cook for us.</p>{LINKS}", "<p>Cook for us.</p>"),
+    (f"{LINKS}<div><p>Cook <a href='/x'>here</a></p></div>{LINKS}", "<div><p>Cook <a href='/x'>here</a></p>"),
+])
+def test_blocks_of_links_at_the_edges_are_cut_off(page, want):
+    got, cut = markup.content_of(page)
+    assert cut and got.startswith(want) and "Share" not in got
+
+
+@pytest.mark.parametrize("page", [
+    LINKS, "<p>Apply at <a href='/a'>one</a> or <a href='/b'>two</a></p>", "<p>Cook.</p><p><a href='/a'>Apply here</a></p>", "<p>Sites:</p><ul><li><a href='/a'>A</a></li><li><a href='/b'>B</a></li></ul>",
+    "<h2>Sites</h2><ul><li><a href='/a'>A</a></li><li><a href='/b'>B</a></li></ul>", "<ul><li>Plain</li><li><a href='/a'>A</a></li><li><a href='/b'>B</a></li></ul>",
+    "<p>Write to us</p><p><a href='mailto:a@x.test'>Ann</a> <a href='mailto:b@x.test'>Bob</a></p>", "<table><tr><td>Site</td></tr><tr><td><a href='/a'>A</a><a href='/b'>B</a></td></tr></table>",
+])
+def test_links_that_belong_to_words_stay(page):
+    assert markup.content_of(page) == (page, False)
+
+
 def test_best_stretch_is_the_best_of_all():
     import random
 
