@@ -17,9 +17,10 @@ their sets reaches the threshold.
     then against the sketches: the bits in which two
     parity sketches differ can't outnumber the runs in which the sets differ, so a pair with too
     many is dropped and no link is lost.
-5.  Answer-level skipping.  Pairs that survive are checked on the exact sets of the
-    representatives only; the answers of a class's other members are derived from their
-    representative's answers.
+5.  Answer-level skipping, for exact copies only.  Pairs that survive are checked on the exact sets
+    of the representatives; the answers of a class's other members are derived from their
+    representative's answers.  A set that differs by one run is probed and checked from scratch:
+    deriving its answers from a similar set's isn't built.
 
 Lists of runs that many records share (more than LIST_ROWS) are cut into pieces, and each pair of
 pieces is worked off on its own, so no task ever holds a whole hot list.
