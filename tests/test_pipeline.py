@@ -1,6 +1,9 @@
 import datetime
+import math
 import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from postmill.functions.money import with_statement
@@ -59,6 +62,20 @@ def test_a_shifted_stretch_of_a_source_is_reversed(spark):
         assert abs(got[(row_id, "min")] - want) <= 1
 
 
+@pytest.mark.parametrize("off", [40, 8, 5, 52 / 12, 260 / 12, 2080 / 12, 1e7, 1e4, 12, 52, 260, 2080, 100, 1e3, 1e5])
+def test_all_ratios_of_periods_and_scales_are_known(off):
+    for shift in (off, 1 / off):
+        assert abs(units.known_factor(math.log10(shift)) / shift - 1) < 1e-6
+    history = pd.DataFrame([("s", day, 40, 40 * v, 40 * (v * v + 0.01)) for day in range(30) for v in [4.5 + (math.log10(off) if 10 <= day < 18 else 0)]], columns=["source", "bucket", "n", "s", "q"])
+    got = units.shifted_levels(history)
+    assert sorted(got["bucket"]) == list(range(10, 18)) and all(abs(f / off - 1) < 1e-6 for f in got["factor"])
+
+
+def test_levels_of_a_few_rows_are_left_as_stated():
+    few = pd.DataFrame([("s", day, 1, v, v * v) for day in range(units.MIN_ROWS * 2 - 1) for v in [4.5 + (2 if day < 29 else 0)]], columns=["source", "bucket", "n", "s", "q"])
+    assert units.shifted_levels(few).empty and units.known_factor(0.0) == 1.0 and units.known_factor(0.3) == 1.0
+
+
 def test_cuts_are_the_best_of_all(spark):
     rnd = random.Random(3)
     for _ in range(20):
