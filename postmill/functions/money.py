@@ -116,6 +116,7 @@ STATED_PERIOD = {
 }
 ONLY_HIGH = r"(?iU)(\bup to\b|\bbis zu\b|\bjusqu|\bhasta\b|\bmax(imum)?\b|\bat most\b)[^\d]{0,12}\d"
 ONLY_LOW = r"(?iU)(\bfrom\b|\bab\b|\bstarting\b|\bdès\b|\bdesde\b|\bmin(imum)?\b|\bat least\b)[^\d]{0,12}\d"
+OPENS_RANGE = r"(?iU)^[^\d]*\b(between|zwischen|entre|de|desde|von)\b[^\d]*\d"
 MINOR_UNIT = r"(?iU)\b(cents?|pence|paise)\b"
 
 
@@ -142,10 +143,15 @@ def with_statement(df: DataFrame, text: str) -> DataFrame:
     if that has none.  Cents and pence are a hundredth; pence state GBP.
     """
     amount = rf"({NUMBER}){_SCALE}"
-    span = r"[^\d]{0,14}?(?:-|–|—|\bto\b|\bbis\b|\bà\b|\ba\b|\band\b|\bund\b|\by\b)[^\d]{0,12}?"
+    # signs and words of a range stand anywhere between two amounts; words that also join other things
+    # stand close by, unless the statement opens as a range
+    span = r"(?:[^\d]*?(?:-|–|—|\bto\b|\bbis\b)[^\d]*?|[^\d]{0,14}?(?:\bà\b|\ba\b|\band\b|\bund\b|\by\b)[^\d]{0,12}?)"
+    opened = r"[^\d]*?(?:-|–|—|\bto\b|\bbis\b|\bà\b|\ba\b|\band\b|\bund\b|\by\b|\bet\b)[^\d]*?"
     shape = rf"(?i)^[^\d]*{amount}(?:{span}{amount})?"
+    range_shape = rf"(?i)^[^\d]*{amount}(?:{opened}{amount})?"
     t = F.col(text)
-    part = lambda k: F.nullif(F.regexp_extract(t, shape, k), F.lit(""))
+    said = lambda k: F.when(t.rlike(OPENS_RANGE), F.regexp_extract(t, range_shape, k)).otherwise(F.regexp_extract(t, shape, k))
+    part = lambda k: F.nullif(said(k), F.lit(""))
     out = _step(
         df,
         _a=part(1), _as=scale_of(part(2)), _b=part(3), _bs=scale_of(part(4)),

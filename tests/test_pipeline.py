@@ -36,6 +36,20 @@ def test_statements_about_pay(spark):
         assert (number(r.said_low), number(r.said_high), r.said_currency, r.said_period) == (low, high, currency, period), cases[k]
 
 
+def test_the_second_amount_may_stand_behind_other_words(spark):
+    cases = [
+        ("Salary: 40,000 US dollars per year to 50,000 US dollars per year", 40000, 50000, "USD", "yearly"),
+        ("Pay: 20 euros gross per hour of work – depending on skill up to 25 euros per hour", 20, 25, "EUR", "hourly"),
+        ("Pay: between 40,000 US dollars per year and 50,000 US dollars per year", 40000, 50000, "USD", "yearly"),
+        ("Salaire : de 40 000 euros bruts par an à 50 000 euros bruts par an", 40000, 50000, "EUR", "yearly"),
+        ("Pay: 40,000 US dollars per year, and in addition 20 days off", 40000, 40000, "USD", "yearly"),
+    ]
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, t string")
+    got = {r.k: r for r in with_statement(df, "t").collect()}
+    for k, (_, low, high, currency, period) in enumerate(cases):
+        assert (float(got[k].said_low), float(got[k].said_high), got[k].said_currency, got[k].said_period) == (low, high, currency, period), cases[k]
+
+
 def test_evidence_prevails_and_unknown_units_give_nothing(spark):
     at = datetime.datetime(2025, 3, 1)
     got = _usd(spark, [
