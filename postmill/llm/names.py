@@ -4,8 +4,8 @@
     of parts and nicknames are evened out; what remains is the proper part (``core``), the stated
     line of business (``line``) and a person's first name (``first``).  Equal parts make one node.
 2.  The cores become vectors of character n-grams, weighted by tf-idf over all nodes.  A sparse
-    cosine join finds partners over an index of n-grams, in which frequent ones, of the least
-    weight, count by twos: one of them alone can't lift a pair above the threshold.  Nodes with
+    cosine join finds partners over an index of n-grams, in which frequent ones count by
+    twos, and alone only where their weight could lift a pair to the threshold.  Nodes with
     different lines of business never meet, as the line is part of the index key; nodes without
     one meet all.
 3.  Partners are scored by cosine and checked by edit distance, which a typing error keeps small
@@ -44,8 +44,6 @@ LINK = 0.15  # mean similarity at which groups join
 #: few syllables.
 COMMON_SHARE = 0.02
 COMMON_NODES = 50
-#: Cores with so few n-grams are indexed by frequent ones too.
-FEW_GRAMS = 6
 EDITS = 2  # typing errors in a core; a swap of neighbours is one
 
 # Words around a name.
@@ -274,11 +272,12 @@ def node_vectors(nodes: DataFrame) -> DataFrame:
 
 
 def _index(vectors: DataFrame) -> DataFrame:
-    """The keys by which vectors meet: each n-gram that isn't frequent, and each two frequent ones.
+    """The keys by which vectors (``id, v, core``) meet: each n-gram that isn't frequent, each two
+    frequent ones, and a frequent one alone where it could lift a pair to COSINE.
 
-    A pair that shares one frequent n-gram and nothing else stays below COSINE: of n entries it has
-    the least weight, so the product is 1 / n at most.  Cores with few n-grams, for which that
-    doesn't hold, are indexed by single frequent ones too.
+    A pair that shares one frequent n-gram and nothing else has the product of its two weights.  The
+    other weight is that of a core whose length differs by EDITS at most, so the greatest one among
+    those bounds the product; both of a pair that reaches COSINE pass their bound.
     """
     often = F.array_sort(F.transform(F.filter("v", lambda x: x.frequent), lambda x: x.gram))
     seldom = F.transform(F.filter("v", lambda x: ~x.frequent), lambda x: x.gram)
@@ -286,8 +285,16 @@ def _index(vectors: DataFrame) -> DataFrame:
     twos = F.flatten(
         F.transform("often", lambda x, i: F.transform(F.slice("often", i + 2, F.size("often")), lambda y: F.concat(x, F.lit("|"), y)))
     )
-    alone = F.when(F.size("v") <= FEW_GRAMS, F.col("often")).otherwise(F.array().cast("array<string>"))
-    return spread.withColumn("gram", F.explode(F.concat("seldom", twos, alone)))
+    keyed = spread.withColumn("gram", F.explode(F.concat("seldom", twos))).select(*vectors.columns, "gram")
+    n = F.length("core")
+    entries = vectors.select("*", n.alias("_n"), F.explode(F.filter("v", lambda x: x.frequent)).alias("_x"))
+    greatest = entries.groupBy(F.col("_x.gram").alias("gram"), "_n").agg(F.max("_x.w").alias("w"))
+    near = greatest.select("gram", F.explode(F.sequence(F.col("_n") - EDITS, F.col("_n") + EDITS)).alias("_n"), "w")
+    bound = near.groupBy("gram", "_n").agg(F.max("w").alias("_most"))
+    # frequent n-grams by length: bounded by COMMON_SHARE, not by the data
+    alone = entries.withColumn("gram", F.col("_x.gram")).join(F.broadcast(bound), ["gram", "_n"])
+    alone = alone.where(F.col("_x.w") * F.col("_most") >= COSINE - 1e-9).select(*vectors.columns, "gram")
+    return keyed.unionByName(alone)
 
 
 def _cosine(weights: Column, other: Column) -> Column:
@@ -339,7 +346,7 @@ def partners(nodes: DataFrame) -> DataFrame:
     line or with one of them stating none."""
     vectors = cut_lineage(node_vectors(nodes))
     kept = ["id", "core", "turned", "line", "first", "letters"]
-    slim = cut_lineage(_index(vectors).join(nodes.select(*kept), "id").select("gram", *kept))
+    slim = cut_lineage(_index(vectors.join(nodes.select(*kept), "id")).select("gram", *kept))
     agree = (
         (F.col("x.first") == F.col("y.first"))
         | (F.col("x.first") == "")
