@@ -372,18 +372,15 @@ def _finder(towns: tuple[str, ...]) -> Finder:
     return _FINDERS[towns]
 
 
-#: Towns that may be sent to the executors; a longer list is not used, and punctuation decides alone.
-MAX_TOWNS = 200_000
-
-
 def towns_of(*columns: tuple[DataFrame, Column]) -> tuple[str, ...]:
-    """Distinct names of towns in structured columns, if they are few enough to be sent."""
+    """Distinct names of towns in structured columns; all of them, however many, as the ends of
+    addresses depend on them."""
     names = None
     for df, column in columns:
         part = df.select(F.btrim(column).alias("town")).where("length(town) between 2 and 60")
         names = part if names is None else names.union(part)
-    got = [r.town for r in names.distinct().limit(MAX_TOWNS + 1).collect()] if names is not None else []
-    return tuple(sorted(got)) if len(got) <= MAX_TOWNS else ()
+    got = [r.town for r in names.distinct().collect()] if names is not None else []
+    return tuple(sorted(got))
 
 
 def find_personal(df: DataFrame, key: str, text: str, origin: str, towns: tuple[str, ...] = ()) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from postmill.llm import leaks, markup, mixing, pii, repetition
 
@@ -115,6 +116,11 @@ def test_pieces_are_found(text, want):
     assert {(k, text[s:e]) for s, e, k in FINDER.find(text)} == want
 
 
+def test_a_long_list_of_towns_is_used_as_a_whole(spark):
+    towns = pii.towns_of((spark.range(200_001).selectExpr("concat('Town', id) as town"), F.col("town")))
+    assert len(towns) == 200_001
+
+
 def test_redaction_keeps_the_rest(spark):
     text = "Reach Ada Lund at a@b.test, then a@b.test."
     assert pii.redacted(text, FINDER.find(text)) == "Reach [PERSON_NAME] at [EMAIL], then [EMAIL]."
