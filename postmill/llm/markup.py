@@ -82,8 +82,9 @@ WIKI_TABLE = re.compile(r"^[ \t]*(?:\{\|[^\n]*|\|\}|\|-[^\n]*)$", re.M)
 WIKI_ITEM = re.compile(r"^([*#:;]+)(?=[^\s*#:;])", re.M)
 
 TEX_COMMAND = re.compile(r"\\(?:[A-Za-z]{2,}\*?(?![A-Za-z])|[%&#_{}$](?=\s|\w|$))")
-TEX_MATH = re.compile(r"\$\$([^$]{1,2000}?)\$\$|(?<![\\$\w])\$(?=[^\s$])([^$\n<>]{0,300}?[\\^_{][^$\n<>]{0,300}?)(?<![\s\\])\$(?![\w$])")
-TEX_DISPLAY = re.compile(r"\\\[(.{1,2000}?)\\\]|\\\((.{1,500}?)\\\)", re.S)
+# Formulas of any length: possessive runs stop at the next delimiter, so the scan for it is linear.
+TEX_MATH = re.compile(r"\$\$([^$]++)\$\$|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n<>\\^_{]*+[\\^_{])([^$\n<>]++)(?<![\s\\])\$(?![\w$])")
+TEX_DISPLAY = re.compile(r"(?<!(?<!\\)\\)(?:\\\[((?:[^\\]|\\[^\[\]])++)\\\]|\\\(((?:[^\\]|\\[^()])++)\\\))")
 TEX_BREAK = re.compile(r"\\\\(?:\[[^\]\n]*\])?")
 TEX_STYLE = re.compile(r"\\(?:textbf|textit|emph|texttt|underline|textsc|text|mbox|textrm|textsf|textsl)\s*\{([^{}]*)\}")
 TEX_HEADING = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph|title)\*?\s*\{([^{}]*)\}")

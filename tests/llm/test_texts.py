@@ -116,6 +116,15 @@ def test_pieces_are_found(text, want):
     assert {(k, text[s:e]) for s, e, k in FINDER.find(text)} == want
 
 
+@pytest.mark.parametrize(("left", "right"), [("$$", "$$"), ("$", "$"), (r"\(", r"\)"), (r"\[", r"\]")])
+def test_formulas_of_any_length_are_kept(left, right):
+    formula = " + ".join([r"\frac{a}{b}"] * 400)
+    text, counts = markup.clean(f"so {left}{formula}{right} it is")
+    assert formula in text and counts["formula"] == 1 and markup.kinds_of(f"so {left}{formula}{right} it is") == ["latex"]
+    rows = r"\[ a \\[2pt] b \]"
+    assert markup.clean(rows)[0] == r"a \\[2pt] b"
+
+
 def test_a_long_list_of_towns_is_used_as_a_whole(spark):
     towns = pii.towns_of((spark.range(200_001).selectExpr("concat('Town', id) as town"), F.col("town")))
     assert len(towns) == 200_001
