@@ -73,8 +73,10 @@ def with_key(df: DataFrame) -> DataFrame:
 def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key.
 
-    One hash aggregation with ``min_by``: copies are combined before the shuffle, so a hot key costs
-    a row per task and is never gathered or sorted in one place.
+    One aggregation with ``min_by``: copies are combined before the shuffle, so a hot key costs a row
+    per task and is never gathered in one place.  Whole rows are carried along in structs, for which
+    Spark sorts the rows of a task by key instead of hashing them; choosing ids by hash first would
+    need a second shuffle of the whole rows.
     """
     rest = [c for c in df.columns if c not in keys]
     first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
