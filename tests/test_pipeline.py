@@ -129,3 +129,20 @@ def test_one_copy_of_each_message_stays(spark):
     kept = delivery.exactly_once(log)
     assert kept.columns == log.columns and kept.count() == len(rows) - len(surplus)
     assert kept.where(F.col("log_id") == 2).first()._key == "y"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_delivery_is_a_hash_aggregation(spark):
+    log = spark.createDataFrame([(1, "k", 1, None, None)], "log_id bigint, job_key string, sequence bigint, emitted_at timestamp, received_at timestamp")
+    for df in (delivery.surplus_ids(log), delivery.exactly_once(log)):
+        assert "HashAggregate" in _plan(df) and "SortAggregate" not in _plan(df)
+
+
+def test_delivery_order_holds_for_any_time_and_id(spark):
+    rows = [(k, t, i) for k, (t, i) in enumerate([("0001-01-02 00:00:00", 5), ("1969-12-31 23:59:59", -(2**63)), ("1969-12-31 23:59:59", 2**63 - 1), ("2025-01-01 00:00:00", 0), ("9999-12-31 23:59:59", 1), (None, -5), (None, 7)])]
+    df = spark.createDataFrame(rows, "k int, t string, i bigint").withColumn("t", F.col("t").cast("timestamp"))
+    got = df.select("k", delivery.delivery_order(F.col("t"), F.col("i")).alias("o")).orderBy("o").collect()
+    assert [r.k for r in got] == list(range(len(rows))) and len({r.o for r in got}) == len(rows)
