@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("POSTMILL_DRIVER_MEMORY", "8g"),
         "spark.sql.adaptive.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     builder = SparkSession.builder.master(f"local[{cores}]").appName("postmill")
     for key, value in settings.items():
@@ -35,14 +36,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint folder exists, as in tests on one machine,
-    is a temporary folder made.
+    Only in a session on one machine, as in tests, is a temporary folder made where neither that
+    setting nor a checkpoint folder exists; on a cluster that is an error.
     """
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="postmill-checkpoint-")
     spark.sparkContext.setCheckpointDir(named)
     return named
