@@ -83,14 +83,15 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first.select(*keys, "_row.*").select(*df.columns)
 
 
-def per_site_limit(df: DataFrame, wanted: int, order: list[str], site: str = "site") -> DataFrame:
-    """The first ``wanted`` rows of each site; 0 gives none.
+def per_site_limit(df: DataFrame, wanted: int, order: list[str], site: str = "site", rank: str | None = None) -> DataFrame:
+    """The first ``wanted`` rows of each site; 0 gives none.  ``rank`` names a column for their place.
 
     A bounded window per site: Spark keeps the top rows of each map partition ahead of the shuffle
     (window group limit), so a site with a third of all rows sends ``wanted`` rows per task.
     """
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(site).orderBy(*order)))
-    return ranked.where(F.col("_rank") <= wanted).drop("_rank")
+    name = rank or "_rank"
+    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(site).orderBy(*order))).where(F.col(name) <= wanted)
+    return ranked if rank else ranked.drop(name)
 
 
 def skip_raw(df: DataFrame, offset: int, order: list[str], site: str = "site") -> DataFrame:
@@ -141,26 +142,64 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*columns, *[c for c in ("sequence",) if c in df.columns])
 
 
+def _final_columns(df: DataFrame) -> list[Column]:
+    ties = F.col("sequence").asc() if "sequence" in df.columns else F.col("id").asc_nulls_last()
+    return [F.col("site").asc_nulls_last(), F.col("date_posted").desc_nulls_last(), ties]
+
+
 def final_order(df: DataFrame) -> DataFrame:
     """By site, then newest first, unknown values last; ties in order of arrival."""
-    ties = [F.col("sequence").asc()] if "sequence" in df.columns else [F.col("id").asc_nulls_last()]
-    return df.orderBy(F.col("site").asc_nulls_last(), F.col("date_posted").desc_nulls_last(), *ties)
+    return df.orderBy(*_final_columns(df))
 
 
-def with_place(df: DataFrame) -> DataFrame:
-    """Adds ``place``, from 1: where each row stands in the final order.
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``, from 1: where each row stands in an order.
 
     A range sort, then the rows ahead of each partition: no row number is made in one task, and
     only the counts of the partitions meet in one place.
     """
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    parted = cut_lineage(final_order(df).withColumns({"_part": F.spark_partition_id(), "_row": row}))
+    parted = cut_lineage(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_row": row}))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     starts = counts.select("_part", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_start"))
     # a row per partition of the sort
-    placed = parted.join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + F.col("_row") + 1)
-    return placed.select(*df.columns, "place")
+    placed = parted.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_row") + 1)
+    return placed.select(*df.columns, name)
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """Adds ``place``: where each row stands in the final order."""
+    return numbered(df, _final_columns(df), "place")
+
+
+def failures_in_order(events: DataFrame) -> DataFrame:
+    """The error events, with ``place`` by their sequence."""
+    return numbered(events.where("type = 'error'"), [F.col("sequence").asc(), F.col("site").asc_nulls_last()], "place")
+
+
+def wanted_by(request, as_of: str) -> Column:
+    """What of a request's filters can be told from a listing itself.
+
+    Boards evaluate words and places by rules of their own; here every word of the search term has to
+    stand in title, employer or description, and the place in the place shown.  Listings that don't
+    state what a filter asks for pass.  Distance and easy application can't be told.
+    """
+    keep = F.lit(True)
+    if request.hours_old is not None:
+        oldest = F.date_sub(F.lit(as_of).cast("date"), max(-(-request.hours_old // 24), 1))
+        keep &= F.col("date_posted").isNull() | (F.col("date_posted") >= oldest)
+    if request.job_type is not None:
+        keep &= F.col("job_type").isNull() | F.array_contains("job_type", request.job_type)
+    if request.is_remote:
+        keep &= F.coalesce("is_remote", F.lit(False))
+    said = F.lower(F.concat_ws(" ", "title", "company_name", "description"))
+    for word in (request.search_term or "").lower().split():
+        keep &= said.contains(word)
+    if request.location and request.location.strip():
+        shown = F.lower(places.shown(F.col("location")))
+        keep &= shown.isNull() | (shown == "") | shown.contains(request.location.strip().lower())
+    return keep
 
 
 def result_table(df: DataFrame, **how) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import asdict, dataclass, field, replace
 
 from postmill.vocabulary import COUNTRY_OF, JOB_TYPE_OF, SITE_ALIASES, SITES
@@ -20,6 +21,18 @@ def site_name(text: str) -> str:
     return SITE_ALIASES.get(name, name)
 
 
+SOURCE_NAME = re.compile(r"[a-z][a-z0-9_]{0,63}")
+
+
+def source_name(text: str) -> str:
+    """The name of a board or of a source of one's own, evened out: letters, digits and underscores, 64
+    at most, beginning with a letter."""
+    name = site_name(text)
+    if not SOURCE_NAME.fullmatch(name):
+        raise ValueError(f"not the name of a source: {text!r}")
+    return name
+
+
 @dataclass(frozen=True)
 class SearchRequest:
     """A search; all values are checked and evened out when it is made."""
@@ -37,15 +50,17 @@ class SearchRequest:
     hours_old: int | None = None
     description_format: str = "markdown"
     max_pages: int = 50
+    company_ids: tuple[int, ...] = ()
     annual_salary: bool = False
     infer_salary: bool = False
     extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     def __post_init__(self) -> None:
-        sites = tuple(dict.fromkeys(site_name(s) for s in self.sites))
+        sites = tuple(dict.fromkeys(source_name(s) for s in self.sites))
         if not sites:
             raise ValueError("a search needs a site")
         object.__setattr__(self, "sites", sites)
+        object.__setattr__(self, "company_ids", tuple(self.company_ids or ()))
         country = COUNTRY_OF.get(self.country.strip().lower(), self.country.strip().upper())
         if country not in COUNTRY_OF.values():
             raise ValueError(f"unknown country: {self.country!r}")

@@ -1,93 +1,138 @@
-"""Recorded pages as a Spark data source, for batches and streams.
+"""Recorded pages as Spark data sources, for batches and streams.
 
-``spark.read.format("listing_replay").option("path", folder)`` reads ``<site>.jsonl`` files, one
-recorded page a line: ``{"page": n, "items": [{"raw": ..., "detail": ...}, ...]}``.  Each site is a
-partition.  As a stream, every trigger takes one page of each site that has one left; the offset
-is the map of sites to pages taken, so a restart goes on behind the last page.
+A site's file is ``<site>.jsonl`` below the folder of option ``path``, one recorded page a line:
+
+    {"page": 1, "items": [{"raw": ..., "detail": ...}, ...], "cursor": "..."}
+
+``cursor`` names the next page.  Instead of ``items`` a page may hold the ``body`` that the board
+sent, which is taken apart here.  ``failures`` lists failures that were recorded ahead of the page
+(``{"status": 503, "message": ..., "retry_after": ...}``): attempt k of a reader meets the k-th.
+
+``listing_replay`` reads all sites, each a partition; as a stream, offsets are byte positions in the
+files, and a partition reads its own range, so a restart begins at the first byte not yet taken.
+``replay_<site>`` reads one site page by page, from a resume state on, by that board's rules.
+
+Folders may be on any file system that pyarrow can open.  The order of listings of a site
+(``sequence``) is their page's position in the file plus their place in the page: a page takes more
+bytes than it has listings, so numbers never meet, however long a page is.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from pathlib import Path
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-SCHEMA = "site string, page int, sequence bigint, raw string, detail string"
+from postmill.sources import mappers, wire
+from postmill.sources.boards import BOARDS, Board
 
-#: Room for the items of a page in the sequence numbers of a site.
-PAGE_ROOM = 100_000
+SCHEMA = (
+    "site string, kind string, page int, sequence bigint, raw string, detail string, position bigint, state string, "
+    "has_more boolean, units int, byte bigint"
+)
 
 
-class SitePages(InputPartition):
-    def __init__(self, site: str, path: str) -> None:
-        super().__init__(site)
-        self.site, self.path = site, path
+def _open(path: str):
+    """A file system and the path on it."""
+    from pyarrow import fs
 
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(path if not path.startswith("file:/") or path.startswith("file://") else "file://" + path[5:])
 
-def _rows(site: str, number: int, page: dict) -> Iterator[tuple]:
-    for k, item in enumerate(page.get("items", [])):
-        raw = item.get("raw") if isinstance(item, dict) else item
-        detail = item.get("detail") if isinstance(item, dict) else None
-        text = raw if isinstance(raw, str) or raw is None else json.dumps(raw, ensure_ascii=False)
-        yield site, int(page.get("page", number)), number * PAGE_ROOM + k, text, detail
 
+def _files(options: dict) -> dict[str, tuple[str, int]]:
+    """Path and size of each wanted site's file."""
+    from pyarrow import fs
 
-def _files(options: dict) -> dict[str, str]:
-    folder = Path(options["path"])
+    system, folder = _open(options["path"])
     wanted = [s for s in options.get("sites", "").split(",") if s]
-    found = {p.stem: str(p) for p in sorted(folder.glob("*.jsonl"))}
-    return {s: p for s, p in found.items() if not wanted or s in wanted}
+    found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    out = {i.base_name.removesuffix(".jsonl"): (i.path, i.size) for i in sorted(found, key=lambda i: i.base_name) if i.base_name.endswith(".jsonl")}
+    return {s: f for s, f in out.items() if not wanted or s in wanted}
+
+
+def _lines(options: dict, path: str, begin: int = 0, end: int | None = None) -> Iterator[tuple[int, int, dict]]:
+    """``start, end, page`` of each recorded page that starts between two byte positions."""
+    system, _ = _open(options["path"])
+    with system.open_input_file(path) as raw:
+        raw.seek(begin)
+        at, rest = begin, b""
+        while end is None or at < end:
+            chunk = raw.read(1 << 20)
+            rest += chunk
+            *whole, rest = rest.split(b"\n") if chunk else (rest, b"")
+            for line in whole:
+                if end is not None and at >= end:
+                    return
+                if line.strip():
+                    yield at, at + len(line) + 1, json.loads(line)
+                at += len(line) + 1
+            if not chunk:
+                return
+
+
+def listings_in(site: str, page: dict) -> list[tuple[str | None, str | None]]:
+    """``raw, detail`` of each listing of a recorded page."""
+    if "items" not in page:
+        return [(raw, None) for raw in wire.listings_in_body(site, page.get("body"))]
+    out = []
+    for item in page["items"] or []:
+        raw, detail = (item.get("raw"), item.get("detail")) if isinstance(item, dict) and "raw" in item else (item, None)
+        out.append((raw if isinstance(raw, str) or raw is None else json.dumps(raw, ensure_ascii=False), detail))
+    return out
+
+
+def _cursor(site: str, page: dict) -> str | None:
+    return page.get("cursor") or (wire.cursor_in_body(page["body"]) if "body" in page and site == "google" else None)
+
+
+class SiteRange(InputPartition):
+    def __init__(self, site: str, path: str, begin: int = 0, end: int | None = None) -> None:
+        super().__init__(site)
+        self.site, self.path, self.begin, self.end = site, path, begin, end
+
+
+def _all_rows(options: dict, part: SiteRange, most: int | None = None) -> Iterator[tuple]:
+    for number, (start, end, page) in enumerate(_lines(options, part.path, part.begin, part.end)):
+        if most is not None and number >= most:
+            return
+        named = int(page.get("page", number + 1))
+        for k, (raw, detail) in enumerate(listings_in(part.site, page)):
+            yield part.site, "listing", named, start + k, raw, detail, None, None, None, None, start
+        yield part.site, "progress", named, end - 1, None, None, None, None, None, named, end
 
 
 class ReplayReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.files = _files(options)
-        self.most = int(options.get("max_pages", 1_000_000))
+        self.options, self.files = options, _files(options)
 
     def partitions(self) -> list[InputPartition]:
-        return [SitePages(s, p) for s, p in self.files.items()]
-
-    def read(self, partition: SitePages) -> Iterator[tuple]:
-        if partition is None:
-            return
-        with open(partition.path, encoding="utf-8") as lines:
-            for number, line in enumerate(lines):
-                if number >= self.most:
-                    break
-                yield from _rows(partition.site, number, json.loads(line))
+        # a split for no site stands in for an empty folder
+        return [SiteRange(s, p, 0, size) for s, (p, size) in self.files.items()] or [SiteRange("", "")]
 
+    def read(self, partition: SiteRange) -> Iterator[tuple]:
+        if partition.site:
+            yield from _all_rows(self.options, partition, int(self.options.get("max_pages", 1_000_000)))
 
-class ReplayStream(SimpleDataSourceStreamReader):
-    """One page of each site for a trigger."""
 
+class ReplayStream(DataSourceStreamReader):
     def __init__(self, options: dict) -> None:
-        self.files = _files(options)
+        self.options = options
 
     def initialOffset(self) -> dict:
-        return {site: 0 for site in self.files}
-
-    def _page(self, site: str, number: int) -> dict | None:
-        with open(self.files[site], encoding="utf-8") as lines:
-            return next((json.loads(line) for k, line in enumerate(lines) if k == number), None)
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, after = [], dict(start)
-        for site in self.files:
-            page = self._page(site, start.get(site, 0))
-            if page is not None:
-                rows.extend(_rows(site, start.get(site, 0), page))
-                after[site] = start.get(site, 0) + 1
-        return iter(rows), after
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for site in self.files:
-            for number in range(start.get(site, 0), end.get(site, 0)):
-                page = self._page(site, number)
-                if page is not None:
-                    yield from _rows(site, number, page)
+        return {}
+
+    def latestOffset(self) -> dict:
+        return {site: size for site, (_, size) in _files(self.options).items()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        files = _files(self.options)
+        return [SiteRange(s, files[s][0], start.get(s, 0), upto) for s, upto in end.items() if upto > start.get(s, 0)]
+
+    def read(self, partition: SiteRange) -> Iterator[tuple]:
+        yield from _all_rows(self.options, partition)
 
     def commit(self, end: dict) -> None:
         pass
@@ -104,32 +149,93 @@ class ListingReplay(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return ReplayReader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return ReplayStream(self.options)
 
 
-class Registry:
-    """Sources by name; a name is registered once unless it is replaced on purpose."""
+# -- page by page ------------------------------------------------------------------------------------
+
+
+def _failed(board: Board, page: int, failure: dict) -> tuple:
+    return board.site, "error", page, -1, json.dumps(failure), None, None, None, None, None, None
+
+
+def walk(board: Board, options: dict, path: str) -> Iterator[tuple]:
+    """Rows of the next ``steps`` pages from ``state`` on, each page ended by its progress.
+
+    ``byte`` and ``before`` tell where the page begins in the file and how many listings and pages
+    lie ahead of it; without them the file is read from its start.
+    """
+    state = json.loads(options["state"]) if options.get("state") else board.first(int(options.get("offset", 0)))
+    steps, attempt = int(options.get("steps", 1)), int(options.get("attempt", 0))
+    max_pages = int(options.get("max_pages", 50))
+    ahead_pages, ahead_items = (int(x) for x in options.get("before", "0,0").split(","))
+    by_place = "start" in state
+    cursor = None
+    if not board.may_fetch(state, max_pages):
+        return
+    for start, end, page in _lines(options, path, int(options.get("byte", 0))):
+        items = listings_in(board.site, page)
+        first = int(state["start"]) - ahead_items if by_place else 0
+        here = first < len(items) if by_place else ahead_pages + 1 >= board.page(state)
+        ahead_pages, ahead_items = ahead_pages + 1, ahead_items + len(items)
+        if not here:
+            cursor = _cursor(board.site, page)
+            continue
+        asked = state.get(board.cursor_field)
+        if asked and cursor is not None and asked != cursor:
+            yield _failed(board, ahead_pages, {"status": 410, "message": "cursor expired", "cursor": True})
+            return
+        if attempt < len(page.get("failures", ())):
+            yield _failed(board, ahead_pages, {**page["failures"][attempt], "cursor": bool(asked) or board.fetched(state) > 0})
+            return
+        cursor = _cursor(board.site, page)
+        shown = items[first:]
+        for k, (raw, detail) in enumerate(shown):
+            then = json.dumps(board.at_listing(state, k))
+            yield board.site, "listing", ahead_pages, start + k, raw, detail, board.position(state, k), then, None, None, start
+        if not shown:
+            return
+        ended = board.ends(len(shown), cursor)
+        state = board.after(state, len(shown), cursor)
+        more = board.has_more(len(shown), cursor)
+        note = json.dumps({"before": f"{ahead_pages},{ahead_items}", "ended": ended})
+        yield board.site, "progress", ahead_pages, end - 1, note, None, state.get("raw_seen"), json.dumps(state), more, board.fetched(state), end
+        steps -= 1
+        if ended or steps <= 0 or not board.may_fetch(state, max_pages):
+            return
+
+
+class BoardReader(DataSourceReader):
+    def __init__(self, board: Board, options: dict) -> None:
+        self.board, self.options = board, options
+        self.path, self.size = _files({**options, "sites": board.site}).get(board.site, ("", 0))
+
+    def partitions(self) -> list[InputPartition]:
+        return [SiteRange(self.board.site, self.path, 0, self.size)]
+
+    def read(self, partition: SiteRange) -> Iterator[tuple]:
+        if partition.path:
+            yield from walk(self.board, self.options, partition.path)
+        else:
+            yield _failed(self.board, 0, {"status": 404, "message": "nothing is recorded"})
 
-    def __init__(self, sources: dict[str, type[DataSource]] | None = None) -> None:
-        self._sources = dict(sources or {})
 
-    def register(self, source: type[DataSource], replace: bool = False) -> None:
-        name = source.name()
-        if name in self._sources and not replace:
-            raise ValueError(f"a source named {name!r} is registered already")
-        self._sources[name] = source
+class BoardReplay(DataSource):
+    """One board, page by page; the classes below name it."""
 
-    def install(self, spark: SparkSession) -> None:
-        for source in self._sources.values():
-            spark.dataSource.register(source)
+    board: Board
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return BoardReader(BOARDS[self.name().removeprefix("replay_")], self.options)
 
-    def copy(self) -> Registry:
-        return Registry(self._sources)
 
-    def names(self) -> list[str]:
-        return sorted(self._sources)
+def _source_of(site: str) -> type[DataSource]:
+    return type(f"Replay_{site}", (BoardReplay,), {"name": classmethod(lambda cls: f"replay_{site}")})
 
 
-def default_registry() -> Registry:
-    return Registry({ListingReplay.name(): ListingReplay})
+BOARD_SOURCES: dict[str, type[DataSource]] = {site: _source_of(site) for site in BOARDS}
+assert set(BOARD_SOURCES) == set(mappers.MAPPERS)

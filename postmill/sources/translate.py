@@ -20,6 +20,13 @@ SUPPORTED = {
     "bdjobs": frozenset("search_term offset description_format".split()),
 }
 
+# The kinds of work that boards can be asked for; a board that isn't named takes any.
+JOB_TYPES = {
+    "indeed": frozenset("fulltime parttime contract internship".split()),
+    "linkedin": frozenset(LINKEDIN_TYPES),
+    "google": frozenset("fulltime parttime internship contract".split()),
+}
+
 
 def whole_days(hours: int) -> int:
     return max(-(-hours // 24), 1)
@@ -37,6 +44,22 @@ def one_of(request: SearchRequest) -> tuple[str | None, list[str]]:
     return (asked[0] if asked else None), asked[1:]
 
 
+def exclusive_warning(site: str, request: SearchRequest) -> str | None:
+    """What a board that takes a single filter leaves out."""
+    chosen, dropped = one_of(request)
+    return f"{site} filters by {chosen} only; left out: {', '.join(dropped)}" if site == "indeed" and dropped else None
+
+
+def glassdoor_location(found: list[dict] | None, remote: bool) -> tuple[int, str]:
+    """Id and kind of the place that a search is for, out of what the board's place lookup gave."""
+    if remote:
+        return 11047, "STATE"  # fixed values: the board's place for remote work
+    if not found:
+        raise ValueError("the board doesn't know the place")
+    kind = found[0]["locationType"]
+    return int(found[0]["locationId"]), {"C": "CITY", "S": "STATE", "N": "COUNTRY"}.get(kind, kind)
+
+
 def params(site: str, request: SearchRequest) -> dict[str, object]:
     """The query of a board; what isn't asked for is left out."""
     days = whole_days(request.hours_old) if request.hours_old is not None else None
@@ -45,6 +68,7 @@ def params(site: str, request: SearchRequest) -> dict[str, object]:
         made = {
             "keywords": request.search_term, "location": request.location, "distance": request.distance, "f_JT": LINKEDIN_TYPES.get(request.job_type or ""),
             "f_WT": 2 if request.is_remote else None, "f_TPR": f"r{request.hours_old * 3600}" if request.hours_old is not None else None, "f_AL": "true" if request.easy_apply else None,
+            "f_C": ",".join(map(str, request.company_ids)) or None,
         }
     elif site == "zip_recruiter":
         kind = ZIP_TYPES.get(request.job_type or "", request.job_type)

@@ -1,8 +1,8 @@
-"""Reading the event log one event at a time, with acknowledgement.
+"""Reading an event log one event at a time, with acknowledgement.
 
-An event that isn't acknowledged is delivered again after a restart; one that is, never.  Each
-acknowledgement is a revision of the ledger, so of two consumers of one ledger only one advances.
-Events are fetched in pages, never the whole log.
+Events have dense numbers, so an acknowledged number says exactly what was delivered: after a restart
+the next one follows.  Each acknowledgement is a revision of a checkpoint, so of two consumers of one
+store only one advances.  An epoch is sorted once and its rows are fetched as they are asked for.
 """
 
 from __future__ import annotations
@@ -10,59 +10,52 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from postmill.streaming.checkpoint import Change, IncrementalStore, Store, changed, preflight
+from postmill.streaming.listing_stream import EventLog
+from postmill.streaming.search import Unacknowledged
 
-from postmill.streaming.ledger import Commit, FolderLedger, MemoryLedger
-
-PAGE = 500
-
-
-class Unacknowledged(RuntimeError):
-    """The next event was asked for before the last one was acknowledged."""
+_LOG = "log"
 
 
 class Consumer:
-    def __init__(self, events: DataFrame, ledger: FolderLedger | MemoryLedger, fingerprint: str, explicit: bool = False) -> None:
-        self.events, self.ledger, self.explicit = events, ledger, explicit
-        held = ledger.load()
-        if held is None:
-            held = Commit(fingerprint, 1, state={"epoch": -1, "site": "", "sequence": -1, "count": 0})
-            ledger.save(held)
-        elif held.fingerprint != fingerprint:
-            raise ValueError("the ledger belongs to another search")
-        self.commit = held
+    def __init__(self, log: EventLog, store: Store, fingerprint: str, explicit: bool = False) -> None:
+        self.log, self.store, self.explicit = log, store, explicit
+        self.checkpoint = preflight(store, fingerprint, {_LOG: 1})
         self.pending = None
 
-    def _page(self, after: tuple) -> list:
-        epoch, site, sequence = after
-        ahead = (F.col("epoch") > epoch) | ((F.col("epoch") == epoch) & ((F.col("site") > site) | ((F.col("site") == site) & (F.col("sequence") > sequence))))
-        return self.events.where(ahead).orderBy("epoch", "site", "sequence").limit(PAGE).collect()
+    @property
+    def _at(self) -> dict:
+        return {"epoch": 0, "number": 0} | dict(self.checkpoint.sites[_LOG].state)
 
     def __iter__(self) -> Iterator:
-        at = tuple(self.commit.state[k] for k in ("epoch", "site", "sequence"))
-        while rows := self._page(at):
-            for row in rows:
+        at = self._at
+        for epoch in [e for e in self.log.epochs() if e >= at["epoch"]]:
+            ahead = self.log.epoch(epoch).where(f"number > {at['number']}").orderBy("number")
+            for row in ahead.toLocalIterator():
                 if self.pending is not None:
                     if self.explicit:
                         raise Unacknowledged("acknowledge the last event first")
-                    self.ack(self.pending)
-                self.pending = row
+                    self.ack(self.pending[1])
+                self.pending = (epoch, row)
                 yield row
-            at = (rows[-1].epoch, rows[-1].site, rows[-1].sequence)
         if self.pending is not None and not self.explicit:
-            self.ack(self.pending)
+            self.ack(self.pending[1])
 
     def ack(self, row) -> None:
         """Acknowledge the event that was delivered last; doing it again changes nothing."""
         if self.pending is None:
             return
-        if row != self.pending:
+        epoch, last = self.pending
+        if row is not last:
             raise ValueError("only the event that was delivered last can be acknowledged")
-        state = {"epoch": row.epoch, "site": row.site, "sequence": row.sequence, "count": self.commit.state["count"] + 1}
-        new = self.commit.after(state)
-        self.ledger.save(new)
-        self.commit, self.pending = new, None
+        c = self.checkpoint
+        change = Change(c.fingerprint, c.generation, c.revision + 1, _LOG, {"epoch": epoch, "number": last.number})
+        new = changed(c, change)
+        if isinstance(self.store, IncrementalStore):
+            self.store.apply(change)
+        else:
+            self.store.save(new)
+        self.checkpoint, self.pending = new, None
 
 
 def supervised(run: Callable[[], object], retries: int = 1, backoff: float = 0.5, retryable: Callable[[Exception], tuple[bool, float | None]] = lambda e: (False, None), sleep=time.sleep):
@@ -76,3 +69,4 @@ def supervised(run: Callable[[], object], retries: int = 1, backoff: float = 0.5
             if not again or attempt == retries:
                 raise
             sleep(max(backoff * 2**attempt, asked or 0.0))
+

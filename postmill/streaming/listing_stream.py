@@ -1,84 +1,115 @@
-"""Listings as a stream: pages in, each listing once out, up to a limit for each site.
+"""Listings as a Structured Streaming query: pages in, each listing once out, up to a limit for each site.
 
-Every micro-batch is worked off with the batch operators: map, check, first of each key, anti join
-against the log, top rows of each site for what is left of its limit.  Its events are written as
-one epoch of the log, which is overwritten if the batch runs again, so a restart neither loses nor
-repeats a listing.  The log is the state; it is read by column, and no key is kept in memory.
+Whether a key was seen is kept in the state store, spread by site and key, so neither a site with a
+third of all listings nor a long history ends up in one task or is read again.  The limit of each
+site and the numbers of events need one row for each site from the epoch before.  Every epoch of
+events is overwritten if its batch runs again, so a restart neither loses nor repeats a listing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from postmill.operators import listings
 from postmill.request import SearchRequest
 from postmill.session import ensure_checkpoint_dir
 from postmill.sources.mappers import map_raw
+from postmill.sources.replay import _open
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class EventLog:
-    """Epochs of events in a folder that all executors reach."""
+    """Epochs of numbered events in a folder that all executors reach."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
-    def _epochs(self) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        return sorted(s.getPath().toString() for s in fs.listStatus(path) if s.getPath().getName().startswith("epoch="))
+    def epochs(self) -> list[int]:
+        from pyarrow import fs
+
+        system, path = _open(f"{self.folder}/events")
+        found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        return sorted(int(i.base_name.removeprefix("epoch=")) for i in found if i.base_name.startswith("epoch="))
+
+    def read(self) -> DataFrame | None:
+        """All events, with their epoch."""
+        return self.spark.read.parquet(f"{self.folder}/events") if self.epochs() else None
+
+    def epoch(self, number: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/events/epoch={number}")
+
+    def totals(self, number: int) -> DataFrame | None:
+        """``site, held, last``: listings of each site and the last event number, up to an epoch."""
+        path = f"{self.folder}/totals/epoch={number}"
+        return self.spark.read.parquet(path) if number in self.epochs() else None
+
+    def write(self, number: int, events: DataFrame, totals: DataFrame) -> None:
+        """Totals first: an epoch counts once its events are there."""
+        totals.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/totals/epoch={number}")
+        events.write.mode("overwrite").parquet(f"{self.folder}/events/epoch={number}")
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """All events, or those of epochs ahead of one."""
-        paths = [p for p in self._epochs() if before is None or int(p.rsplit("=", 1)[1]) < before]
-        return self.spark.read.option("basePath", self.folder).parquet(*paths) if paths else None
 
-    def write(self, epoch: int, events: DataFrame) -> None:
-        events.write.mode("overwrite").parquet(f"{self.folder}/epoch={epoch:012d}")
+class FirstOfKey(StatefulProcessor):
+    """Lets the first row of each key pass, once and for all."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "there boolean")
 
-def process(log: EventLog, request: SearchRequest, as_of: str, pages: DataFrame, epoch: int) -> None:
-    """One micro-batch: its new listings become events of this epoch."""
-    today = F.lit(as_of).cast("date")
-    mapped = map_raw(pages, today, list(request.sites), kind=request.description_format)
+    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
+        first = min(rows, key=lambda r: r.sequence)
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+def candidates(pages: DataFrame, request: SearchRequest, as_of: str) -> DataFrame:
+    """Events of a stream of pages: new listings, warnings about unsound ones, and progress."""
+    mapped = map_raw(pages.where("kind = 'listing'"), F.lit(as_of).cast("date"), list(request.sites), kind=request.description_format)
     checked = listings.validity(mapped)
-    rejected = checked.where("invalid_reason is not null").select(
-        "site", F.lit("warning").alias("type"), "sequence", F.col("invalid_reason").alias("message")
+    rejected = checked.where("invalid_reason is not null").select("site", F.lit("warning").alias("type"), "sequence", F.col("invalid_reason").alias("message"))
+    sound = listings.normalize(checked.where("invalid_reason is null").drop("invalid_reason"), request.annual_salary, request.infer_salary, request.country)
+    keyed = listings.with_key(sound)
+    fresh = keyed.groupBy("site", "job_key").transformWithState(FirstOfKey(), keyed.schema, "append", "none")
+    come = pages.where("kind = 'progress'").select("site", F.lit("progress").alias("type"), "sequence", "page", F.col("byte").alias("upto"))
+    out = fresh.withColumn("type", F.lit("job"))
+    return out.unionByName(rejected, allowMissingColumns=True).unionByName(come, allowMissingColumns=True)
+
+
+def process(log: EventLog, request: SearchRequest, batch: DataFrame, epoch: int) -> None:
+    """One micro-batch: its events, within the limits, become an epoch of the log."""
+    before = log.totals(epoch - 1) if epoch else None
+    held = before if before is not None else log.spark.createDataFrame([], "site string, held long, last long")
+    # a row for each site
+    started = (held.agg(F.max("last")).first()[0] or 0) if before is not None else 0
+    counts = F.broadcast(held.select("site", "held"))
+    jobs = listings.per_site_limit(batch.where("type = 'job'"), request.results_wanted, ["sequence"], rank="_rank").join(counts, "site", "left")
+    taken = jobs.where(F.col("_rank") + F.coalesce("held", F.lit(0)) <= request.results_wanted).drop("_rank", "held")
+    every = taken.unionByName(batch.where("type <> 'job'"))
+    order = [F.col("site"), F.col("sequence"), F.col("type")]
+    numbered = listings.numbered(every, order, "number").withColumn("number", F.col("number") + started)
+    new = numbered.groupBy("site").agg(F.count_if(F.col("type") == "job").alias("more"), F.max("number").alias("upto"))
+    totals = held.join(new, "site", "full_outer").select(
+        "site", (F.coalesce("held", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("held"), F.greatest(F.coalesce("upto", F.lit(0)), F.coalesce("last", F.lit(0))).alias("last")
     )
-    sound = listings.normalize(
-        checked.where("invalid_reason is null").drop("invalid_reason"), request.annual_salary, request.infer_salary, request.country
-    )
-    fresh = listings.first_seen(listings.with_key(sound), ["site", "job_key"], ["sequence"])
-    held = log.read(before=epoch)
-    if held is not None:
-        jobs = held.where("type = 'job'")
-        fresh = listings.unseen(fresh, jobs, ["site", "job_key"])
-        # a row for each site
-        counts = F.broadcast(jobs.groupBy("site").agg(F.count(F.lit(1)).alias("_held")))
-        fresh = fresh.join(counts, "site", "left").withColumn("_held", F.coalesce("_held", F.lit(0)))
-    else:
-        fresh = fresh.withColumn("_held", F.lit(0))
-    capped = listings.per_site_limit(fresh, request.results_wanted, ["sequence"])
-    rank = F.row_number().over(Window.partitionBy("site").orderBy("sequence"))
-    taken = capped.withColumn("_rank", rank).where(F.col("_rank") + F.col("_held") <= request.results_wanted).drop("_rank", "_held")
-    events = taken.withColumn("type", F.lit("job")).unionByName(rejected, allowMissingColumns=True)
-    # how far each site has come in this batch
-    come = pages.groupBy("site").agg(F.max("page").alias("page"), F.count(F.lit(1)).alias("raw_seen"), F.max("sequence").alias("sequence"))
-    log.write(epoch, events.unionByName(come.withColumn("type", F.lit("progress")), allowMissingColumns=True))
+    log.write(epoch, numbered, totals)
 
 
 def start(spark: SparkSession, pages: DataFrame, request: SearchRequest, folder: str, as_of: str, drain: bool = True) -> StreamingQuery:
     """Run the stream of ``pages`` into the log below ``folder``; ``drain`` stops when nothing is left."""
     ensure_checkpoint_dir(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     log = EventLog(spark, f"{folder}/log")
-    writer = pages.writeStream.option("checkpointLocation", f"{folder}/progress").foreachBatch(
-        lambda batch, epoch: process(log, request, as_of, batch, epoch)
-    )
+    events = candidates(pages, request, as_of)
+    writer = events.writeStream.option("checkpointLocation", f"{folder}/progress").foreachBatch(lambda batch, epoch: process(log, request, batch, epoch))
     return (writer.trigger(availableNow=True) if drain else writer).start()
 
 
@@ -86,23 +117,10 @@ def replayed(spark: SparkSession, path: str, sites: tuple[str, ...] = ()) -> Dat
     return spark.readStream.format("listing_replay").option("path", path).option("sites", ",".join(sites)).load()
 
 
-def run_to_end(spark: SparkSession, path: str, request: SearchRequest, folder: str, as_of: str, most: int = 10_000) -> EventLog:
-    """Step page by page until no step brings anything new."""
-    log = EventLog(spark, f"{folder}/log")
-    for _ in range(min(most, request.max_pages + 1)):
-        before = len(log._epochs())
-        start(spark, replayed(spark, path, request.sites), request, folder, as_of).awaitTermination()
-        if len(log._epochs()) == before:
-            break
-    return log
-
-
-def once_each(events: DataFrame, delay: str | None = None) -> DataFrame:
-    """The streaming form of dedup by key where no limit is asked for: native state, one entry for
-    each key; with ``delay`` entries are dropped behind a watermark on ``emitted_at``."""
-    if delay is None:
-        return events.dropDuplicates(["site", "job_key"])
-    return events.withWatermark("emitted_at", delay).dropDuplicatesWithinWatermark(["site", "job_key"])
+def run_to_end(spark: SparkSession, path: str, request: SearchRequest, folder: str, as_of: str) -> EventLog:
+    """Take all pages that there are; run again, it goes on behind them."""
+    start(spark, replayed(spark, path, request.sites), request, folder, as_of).awaitTermination()
+    return EventLog(spark, f"{folder}/log")
 
 
 def local_folder(path: str | Path) -> str:

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from postmill.functions.url import identity_of
-from postmill.sources import mappers
+from postmill.sources import cards as card_pages
 from postmill.sources.mappers import MAPPERS, POST_FIELDS, map_raw
 
 
@@ -41,11 +41,11 @@ def test_zip_country_codes_and_bad_numbers(spark):
 
 
 def test_glassdoor_age_estimates_and_remote(spark):
-    header = {"employerNameFromSearch": "Acme", "employer": {"id": 7}, "locationName": "Berlin, Germany", "ageInDays": 2, "payPeriod": "ANNUAL", "payCurrency": "EUR",
-              "payPeriodAdjustedPay": {"p10": 70000, "p90": 90000}, "salarySource": "EMPLOYER_ESTIMATED", "adOrderSponsorshipLevel": "SPONSORED"}
-    raw = {"jobview": {"job": {"listingId": 9001, "jobTitleText": "Dev"}, "header": header}}
+    header = {"employerNameFromSearch": "Acme", "employer": {"id": 7}, "locationName": "Berlin, Germany", "ageInDays": 5, "payPeriod": "ANNUAL", "payCurrency": "EUR",
+              "payPeriodAdjustedPay": {"p10": 61500, "p90": 78250}, "salarySource": "EMPLOYER_ESTIMATED", "adOrderSponsorshipLevel": "SPONSORED"}
+    raw = {"jobview": {"job": {"listingId": 417, "jobTitleText": "Dev"}, "header": header}}
     r = _one(spark, "glassdoor", raw)
-    assert (r.id, r.location.city, r.location.state, str(r.date_posted), r.salary_source, r.listing_type) == ("gd-9001", "Berlin", "Germany", "2025-06-29", "estimated", "sponsored")
+    assert (r.id, r.location.city, r.location.state, str(r.date_posted), r.salary_source, r.listing_type) == ("gd-417", "Berlin", "Germany", "2025-06-26", "estimated", "sponsored")
     header["locationType"] = "REMOTE"
     assert _one(spark, "glassdoor", raw).location is None
 
@@ -94,7 +94,7 @@ def test_bayt_id_is_the_hash_of_the_address(spark):
 def test_bdjobs_cards_dates_and_details(spark):
     page = """<div class="job-item"><a href="jobdetails.asp?JobID=77">Officer</a><div class="comp-name-text">Acme</div><div class="locon-text-d">Dhaka, Gulshan, Bangladesh</div>
       <span class="published">Published: 5 Mar 2025</span></div><div class="job-item"><a href="jobdetails.asp?x=1">Clerk</a></div>"""
-    cards = mappers.bdjobs_cards(page)
+    cards = card_pages.bdjobs_cards(page)
     assert len(cards) == 2
     r = _one(spark, "bdjobs", cards[0], '<div class="jobcontent"><script>x</script><p>Mail hr@acme.test</p></div><span>Job type</span><span>Full-time</span>')
     assert (r.id, r.title, r.company_name, str(r.date_posted), r.emails, r.job_type) == ("bd-77", "Officer", "Acme", "2025-03-05", ["hr@acme.test"], ["fulltime"])
