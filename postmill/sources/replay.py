@@ -1,6 +1,7 @@
 """Recorded pages as Spark data sources, for batches and streams.
 
-A site's file is ``<site>.jsonl`` below the folder of option ``path``, one recorded page a line:
+A site's file is ``<site>.jsonl`` below the folder of option ``path``, or all files in a folder of that
+name, one recorded page a line:
 
     {"page": 1, "items": [{"raw": ..., "detail": ...}, ...], "cursor": "..."}
 
@@ -8,8 +9,8 @@ A site's file is ``<site>.jsonl`` below the folder of option ``path``, one recor
 sent, which is taken apart here.  ``failures`` lists failures that were recorded ahead of the page
 (``{"status": 503, "message": ..., "retry_after": ...}``): attempt k of a reader meets the k-th.
 
-``listing_replay`` reads all sites, each a partition; as a stream, offsets are byte positions in the
-files, and a partition reads its own range, so a restart begins at the first byte not yet taken.
+``listing_replay`` reads all sites, a partition for each SPLIT bytes of a file; as a stream, offsets are
+byte positions, counted through a site's files, so a restart begins at the first byte not yet taken.
 ``replay_<site>`` reads one site page by page, from a resume state on, by that board's rules.
 
 Folders may be on any file system that pyarrow can open.  The order of listings of a site
@@ -42,37 +43,64 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path if not path.startswith("file:/") or path.startswith("file://") else "file://" + path[5:])
 
 
-def _files(options: dict) -> dict[str, tuple[str, int]]:
-    """Path and size of each wanted site's file."""
+#: Bytes of a file that a partition of a batch reads.
+SPLIT = 64 << 20
+
+#: A file of a site: its path, the bytes of the files ahead of it, and its size.
+Part = tuple[str, int, int]
+
+
+def _files(options: dict) -> dict[str, list[Part]]:
+    """The files of each wanted site: ``<site>.jsonl``, or all files in a folder of that name."""
     from pyarrow import fs
 
     system, folder = _open(options["path"])
     wanted = [s for s in options.get("sites", "").split(",") if s]
-    found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-    out = {i.base_name.removesuffix(".jsonl"): (i.path, i.size) for i in sorted(found, key=lambda i: i.base_name) if i.base_name.endswith(".jsonl")}
-    return {s: f for s, f in out.items() if not wanted or s in wanted}
+    found: dict[str, list[Part]] = {}
+    for entry in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        site = entry.base_name.removesuffix(".jsonl")
+        if site == entry.base_name or (wanted and site not in wanted):
+            continue
+        inner = system.get_file_info(fs.FileSelector(entry.path)) if entry.type == fs.FileType.Directory else [entry]
+        base = 0
+        for file in sorted((f for f in inner if f.base_name[0] not in "._" and f.type == fs.FileType.File), key=lambda f: f.base_name):
+            found.setdefault(site, []).append((file.path, base, file.size))
+            base += file.size
+    return dict(sorted(found.items()))
+
+
+def _size(parts: list[Part]) -> int:
+    return sum(size for _, _, size in parts)
 
 
 def _lines(options: dict, path: str, begin: int = 0, end: int | None = None) -> Iterator[tuple[int, int, dict]]:
-    """``start, end, page`` of each recorded page that starts between two byte positions."""
+    """``start, end, page`` of each recorded page that starts between two byte positions of a file."""
     system, _ = _open(options["path"])
     with system.open_input_file(path) as raw:
-        raw.seek(begin)
-        at, rest = begin, b""
+        # a line that began ahead of the range belongs to the one before
+        raw.seek(max(0, begin - 1))
+        at, rest, inside = max(0, begin - 1), b"", begin == 0
         while end is None or at < end:
             chunk = raw.read(1 << 20)
-            rest += chunk
-            *whole, rest = rest.split(b"\n") if chunk else (rest, b"")
+            *whole, rest = (rest + chunk).split(b"\n") if chunk else (rest, b"")
             for line in whole:
                 if end is not None and at >= end:
                     return
-                if line.strip():
+                if inside and line.strip():
                     yield at, at + len(line) + 1, json.loads(line)
                 at += len(line) + 1
+                inside = True
             if not chunk:
                 return
 
 
+def _site_lines(options: dict, parts: list[Part], begin: int = 0) -> Iterator[tuple[int, int, dict]]:
+    """The same over all files of a site, positions counted through."""
+    for path, base, size in parts:
+        if base + size > begin:
+            yield from ((base + a, base + b, page) for a, b, page in _lines(options, path, max(0, begin - base)))
+
+
 def listings_in(site: str, page: dict) -> list[tuple[str | None, str | None]]:
     """``raw, detail`` of each listing of a recorded page."""
     if "items" not in page:
@@ -89,19 +117,29 @@ def _cursor(site: str, page: dict) -> str | None:
 
 
 class SiteRange(InputPartition):
-    def __init__(self, site: str, path: str, begin: int = 0, end: int | None = None) -> None:
+    def __init__(self, site: str, path: str = "", base: int = 0, begin: int = 0, end: int | None = None) -> None:
         super().__init__(site)
-        self.site, self.path, self.begin, self.end = site, path, begin, end
+        self.site, self.path, self.base, self.begin, self.end = site, path, base, begin, end
+
 
+def _ranges(site: str, parts: list[Part], begin: int, end: int, most: int) -> list[SiteRange]:
+    """The bytes from ``begin`` to ``end`` of a site, in partitions of at most ``most`` bytes of a file."""
+    out = []
+    for path, base, size in parts:
+        first, last = max(0, begin - base), min(size, end - base)
+        out.extend(SiteRange(site, path, base, k, min(k + most, last)) for k in range(first, last, most))
+    return out
 
-def _all_rows(options: dict, part: SiteRange, most: int | None = None) -> Iterator[tuple]:
+
+def _all_rows(options: dict, part: SiteRange, max_pages: int | None = None) -> Iterator[tuple]:
     for number, (start, end, page) in enumerate(_lines(options, part.path, part.begin, part.end)):
-        if most is not None and number >= most:
-            return
+        # pages that don't say their number are counted, which a part of a file can only do by itself
         named = int(page.get("page", number + 1))
+        if max_pages is not None and named > max_pages:
+            continue
         for k, (raw, detail) in enumerate(listings_in(part.site, page)):
-            yield part.site, "listing", named, start + k, raw, detail, None, None, None, None, start
-        yield part.site, "progress", named, end - 1, None, None, None, None, None, named, end
+            yield part.site, "listing", named, part.base + start + k, raw, detail, None, None, None, None, part.base + start
+        yield part.site, "progress", named, part.base + end - 1, None, None, None, None, None, named, part.base + end
 
 
 class ReplayReader(DataSourceReader):
@@ -109,8 +147,9 @@ class ReplayReader(DataSourceReader):
         self.options, self.files = options, _files(options)
 
     def partitions(self) -> list[InputPartition]:
+        found = [r for s, parts in self.files.items() for r in _ranges(s, parts, 0, _size(parts), SPLIT)]
         # a split for no site stands in for an empty folder
-        return [SiteRange(s, p, 0, size) for s, (p, size) in self.files.items()] or [SiteRange("", "")]
+        return found or [SiteRange("")]
 
     def read(self, partition: SiteRange) -> Iterator[tuple]:
         if partition.site:
@@ -125,11 +164,11 @@ class ReplayStream(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        return {site: size for site, (_, size) in _files(self.options).items()}
+        return {site: _size(parts) for site, parts in _files(self.options).items()}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         files = _files(self.options)
-        return [SiteRange(s, files[s][0], start.get(s, 0), upto) for s, upto in end.items() if upto > start.get(s, 0)]
+        return [r for s, upto in end.items() for r in _ranges(s, files[s], start.get(s, 0), upto, SPLIT)]
 
     def read(self, partition: SiteRange) -> Iterator[tuple]:
         yield from _all_rows(self.options, partition)
@@ -160,7 +199,7 @@ def _failed(board: Board, page: int, failure: dict) -> tuple:
     return board.site, "error", page, -1, json.dumps(failure), None, None, None, None, None, None
 
 
-def walk(board: Board, options: dict, path: str) -> Iterator[tuple]:
+def walk(board: Board, options: dict, parts: list[Part]) -> Iterator[tuple]:
     """Rows of the next ``steps`` pages from ``state`` on, each page ended by its progress.
 
     ``byte`` and ``before`` tell where the page begins in the file and how many listings and pages
@@ -174,7 +213,7 @@ def walk(board: Board, options: dict, path: str) -> Iterator[tuple]:
     cursor = None
     if not board.may_fetch(state, max_pages):
         return
-    for start, end, page in _lines(options, path, int(options.get("byte", 0))):
+    for start, end, page in _site_lines(options, parts, int(options.get("byte", 0))):
         items = listings_in(board.site, page)
         first = int(state["start"]) - ahead_items if by_place else 0
         here = first < len(items) if by_place else ahead_pages + 1 >= board.page(state)
@@ -209,14 +248,14 @@ def walk(board: Board, options: dict, path: str) -> Iterator[tuple]:
 class BoardReader(DataSourceReader):
     def __init__(self, board: Board, options: dict) -> None:
         self.board, self.options = board, options
-        self.path, self.size = _files({**options, "sites": board.site}).get(board.site, ("", 0))
+        self.parts = _files({**options, "sites": board.site}).get(board.site, [])
 
     def partitions(self) -> list[InputPartition]:
-        return [SiteRange(self.board.site, self.path, 0, self.size)]
+        return [SiteRange(self.board.site)]
 
     def read(self, partition: SiteRange) -> Iterator[tuple]:
-        if partition.path:
-            yield from walk(self.board, self.options, partition.path)
+        if self.parts:
+            yield from walk(self.board, self.options, self.parts)
         else:
             yield _failed(self.board, 0, {"status": 404, "message": "nothing is recorded"})
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from postmill import api
 from postmill.request import SearchRequest, unsupported
-from postmill.sources import translate, wire
+from postmill.sources import replay, translate, wire
 from postmill.sources.boards import BOARDS, Capabilities
 from postmill.sources.registry import Registry, check_listings, check_source, default_registry, legacy_source
 from postmill.sources.replay import ListingReplay, walk
@@ -68,7 +68,8 @@ def test_places_of_the_review_board():
 def _recorded(tmp_path, site, pages, **more):
     lines = [json.dumps({"items": [{"raw": f"{k}.{i}"} for i in range(n)], "cursor": c, **more.get(f"page{k}", {})}) for k, (n, c) in enumerate(pages, 1)]
     (tmp_path / f"{site}.jsonl").write_text("\n".join(lines))
-    return {"path": str(tmp_path), "steps": "99"}, str(tmp_path / f"{site}.jsonl")
+    file = tmp_path / f"{site}.jsonl"
+    return {"path": str(tmp_path), "steps": "99"}, [(str(file), 0, file.stat().st_size)]
 
 
 def _walked(site, options, path, **more):
@@ -90,7 +91,7 @@ def test_a_board_is_read_to_its_end_and_from_any_state(site, tmp_path):
     assert sequence == sorted(sequence) and len(set(sequence)) == len(sequence)
     # from the state of each page on, with and without the hint where it lies, the rest follows
     for row in (r for r in rows if r[1] == "progress" and not json.loads(r[4])["ended"]):
-        rest = whole[[r[3] for r in rows if r[1] == "listing" and r[3] < row[3]].__len__() :]
+        rest = whole[sum(r[1] == "listing" and r[3] < row[3] for r in rows) :]
         hint = {"byte": row[10], "before": json.loads(row[4])["before"]}
         assert _walked(site, options, path, state=row[7])[0] == rest == _walked(site, options, path, state=row[7], **hint)[0]
     assert len(_walked(site, options, path, max_pages="1")[1]) == 1
@@ -132,6 +133,27 @@ def test_a_page_of_any_length_keeps_numbers_apart(spark, tmp_path):
     assert spark.read.format("listing_replay").option("path", str(tmp_path / "none")).load().count() == 0
 
 
+def test_files_of_a_site_are_read_through_and_in_parts(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "naukri.jsonl"
+    folder.mkdir()
+    for part in range(3):
+        (folder / f"part-{part}").write_text("".join(json.dumps({"page": part * 4 + k + 1, "items": [{"raw": f"{part}.{k}.{i}"} for i in range(20)]}) + "\n" for k in range(4)))
+    (folder / "_SUCCESS").write_text("")
+    options = {"path": str(tmp_path), "steps": "99"}
+    parts = replay._files(options)["naukri"]
+    whole, states, rows = _walked("naukri", options, parts)
+    assert len(whole) == 240 and states[-1]["page"] == 13
+    fifth = [r for r in rows if r[1] == "progress"][5]
+    assert _walked("naukri", options, parts, state=fifth[7], byte=fifth[10], before=json.loads(fifth[4])["before"])[0] == whole[120:]
+    every = [r for r in replay._all_rows(options, replay.SiteRange("naukri", *parts[0][:2], 0, parts[0][2]))]
+    for most in (7, 100, 333, 10_000):
+        split = [r for x in replay._ranges("naukri", parts[:1], 0, parts[0][2], most) for r in replay._all_rows(options, x)]
+        assert split == every
+    default_registry().install(spark)
+    got = spark.read.format("listing_replay").option("path", str(tmp_path)).load().where("kind = 'listing'")
+    assert sorted(r.raw for r in got.collect()) == sorted(whole) and got.select("sequence").distinct().count() == 240
+
+
 # -- registry -----------------------------------------------------------------------------------------------
 
 
