@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, failures, places, salary, text, url
 from postmill.operators import listings
 from postmill.session import table
-from postmill.vocabulary import COUNTRY_CURRENCY, COUNTRY_OF, COUNTRY_SHOWN, JOB_TYPE_OF, RESULT_NAMES
+from postmill.vocabulary import BOARD_DOMAIN, COUNTRY_CURRENCY, COUNTRY_OF, COUNTRY_SHOWN, JOB_TYPE_OF, RESULT_NAMES, REVIEW_HOST, SITES
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -58,12 +58,15 @@ def canonical_url_of_dressed(spark, folder):
 
 @query(
     "canonical_url_posts",
-    r"""select post_id, regexp_replace(regexp_replace(trim(job_url), '[?#].*$', ''), '/+$', '') as bare
-        from job_posts where job_url is not null""",
+    r"""with p as (select post_id, regexp_replace(trim(job_url), '#.*$', '') as u from job_posts where job_url is not null),
+        q as (select post_id, string_split(u, '?')[1] as front, list_sort(list_filter(list_filter(string_split(coalesce(string_split(u, '?')[2], ''), '&'), lambda x: x <> ''),
+                lambda x: not regexp_matches(lower(x), '^(utm_[^=]*|trk|trackingid|refid)(=|$)'))) as kept from p)
+        select post_id, lower(regexp_extract(front, '^[^/]*//[^/]*')) || case when regexp_replace(front, '^[^/]*//[^/]*|/+$', '', 'g') = '' then '/' else regexp_replace(front, '^[^/]*//[^/]*|/+$', '', 'g') end
+            || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as canonical from q""",
 )
 def canonical_url_posts(spark, folder):
     posts = table(spark, folder, "job_posts").where("job_url is not null")
-    return posts.select("post_id", F.regexp_replace(F.regexp_replace(url.canonical_url(F.col("job_url")), r"\?.*$", ""), "/+$", "").alias("bare"))
+    return posts.select("post_id", url.canonical_url(F.col("job_url")).alias("canonical"))
 
 
 @query("stable_identity")
@@ -95,13 +98,14 @@ def emails_in_descriptions(spark, folder):
 
 
 @query(
-    "emails_of_documents",
-    rf"""select doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{text.EMAIL}'), lambda x: lower(trim(x))))), ', ') as emails
-        from documents where regexp_matches(text, '{text.EMAIL}')""",
+    "emails_tidied",
+    rf"""with f as (select row_id, list_transform(regexp_extract_all(emails, '{text.EMAIL}'), lambda x: lower(trim(x))) as e from job_rows where length(emails) > 0)
+        select row_id, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), ', ') as emails from f where len(e) > 0""",
 )
-def emails_of_documents(spark, folder):
-    docs = table(spark, folder, "documents")
-    return docs.select("doc_id", F.array_join(F.array_sort(text.tidy_emails(text.emails_in(F.col("text")))), ", ").alias("emails")).where("emails is not null")
+def emails_tidied(spark, folder):
+    """Addresses in the free text of a column, each once in order of first sight."""
+    found = text.tidy_emails(text.emails_in(F.col("emails")))
+    return table(spark, folder, "job_rows").select("row_id", F.array_join(found, ", ").alias("emails")).where("emails is not null")
 
 
 @query(
@@ -209,12 +213,17 @@ _FACTOR = "case compensation.interval when 'hourly' then 2080 when 'daily' then
 
 @query(
     "annualized_pay",
-    f"""select post_id, 'yearly' as interval, round(compensation.min_amount * {_FACTOR}, 2) as low, round(compensation.max_amount * {_FACTOR}, 2) as high, compensation.currency as currency
-        from job_posts where compensation is not null and compensation.interval in ('hourly', 'daily', 'weekly', 'monthly', 'yearly')""",
+    f"""select post_id, case when compensation.interval in ('hourly', 'daily', 'weekly', 'monthly', 'yearly') then 'yearly' else compensation.interval end as interval,
+            round(compensation.min_amount * {_FACTOR}, 2) as low, round(compensation.max_amount * {_FACTOR}, 2) as high, compensation.currency as currency from
+            (select post_id, case when post_id % 5 = 0 then struct_pack("interval" := 'per gig', min_amount := compensation.min_amount, max_amount := compensation.max_amount, currency := compensation.currency) else compensation end as compensation
+             from job_posts where compensation is not null)""",
 )
 def annualized_pay(spark, folder):
-    posts = table(spark, folder, "job_posts").where("compensation is not null and compensation.interval in ('hourly', 'daily', 'weekly', 'monthly', 'yearly')")
-    by_year = salary.annualized(F.col("compensation"))
+    """Every fifth post is given a period that isn't known."""
+    pay = F.col("compensation")
+    odd = F.when(F.col("post_id") % 5 == 0, pay.withField("interval", F.lit("per gig"))).otherwise(pay)
+    posts = table(spark, folder, "job_posts").where("compensation is not null")
+    by_year = salary.annualized(odd)
     return posts.select("post_id", by_year["interval"].alias("interval"), F.round(by_year["min_amount"], 2).alias("low"), F.round(by_year["max_amount"], 2).alias("high"), by_year["currency"].alias("currency"))
 
 
@@ -230,42 +239,106 @@ def currency_hint(spark, folder):
 
 @query(
     "listed_number",
-    "select row_id, round(cast(round(min_amount, 2) as double), 2) as value from job_rows where min_amount between 1 and 900000000",
+    """select row_id, case post_form when 3 then null when 2 then round(trunc(min_amount), 2) else round(cast(round(min_amount, 2) as double), 2) end as value
+        from (select *, row_id % 4 as post_form from job_rows)""",
 )
 def listed_number(spark, folder):
-    rows = table(spark, folder, "job_rows").where("min_amount between 1 and 900000000")
-    written = F.concat(F.lit("EUR "), F.format_number(F.round("min_amount", 2), 2), F.lit(" /mo"))
-    return rows.select("row_id", salary.listed_number(written).alias("value"))
+    """Amounts written in English and continental style, in thousands that lose their letter, and not at all."""
+    written = F.format_number(F.round("min_amount", 2), 2)
+    german = F.translate(written, ",.", ".,")
+    form = F.element_at(F.array(F.concat(F.lit("EUR "), written, F.lit(" /mo")), F.concat(german, F.lit(" €")), F.concat(F.format_number(F.floor("min_amount"), 0), F.lit("K")), F.lit("on request")), (F.col("row_id") % 4 + 1).cast("int"))
+    return table(spark, folder, "job_rows").select("row_id", salary.listed_number(form).alias("value"))
 
 
 @query(
     "lakh_range",
-    "select post_id, (10 + post_id % 7) * 100000.0::double as low, (20 + post_id % 7) * 100000.0::double as high from job_posts",
+    """select post_id, case post_id % 6 when 0 then 10 * 100000.0 when 1 then 10.5 * 100000.0 when 2 then 1.25 * 10000000.0 when 3 then 3 * 100000.0 end::double as low,
+            case post_id % 6 when 0 then 20 * 100000.0 when 1 then 20 * 100000.0 when 2 then 2 * 10000000.0 when 3 then 3 * 100000.0 end::double as high from job_posts""",
 )
 def lakh_range(spark, folder):
-    written = F.concat((10 + F.col("post_id") % 7).cast("string"), F.lit(" - "), (20 + F.col("post_id") % 7).cast("string"), F.lit(" Lacs P.A."))
-    low, high = salary.lakh_range(written)
+    forms = ["10 - 20 Lacs P.A.", " 10.5-20 lakhs", "1.25 - 2 Cr.", "3 - 3 Lac", "Not disclosed", None]
+    said = F.element_at(F.array(*[F.lit(f) for f in forms]), (F.col("post_id") % 6 + 1).cast("int"))
+    low, high = salary.lakh_range(said)
     return table(spark, folder, "job_posts").select("post_id", low.alias("low"), high.alias("high"))
 
 
+#: Statements with ``{a}`` and ``{b}``, and what they come to: period, low, high and currency in terms of
+#: a and b, or nothing.
+_SAID = [
+    ("We grow. Salary: USD {a} - {b} per year. Bonus apart.", "yearly", 1, "USD"), ("Gehalt: {a} EUR bis {b} EUR pro Jahr", "yearly", 1, "EUR"), ("Salaire : {a} € à {b} € par an", "yearly", 1, "EUR"),
+    ("Sueldo {a} - {b} EUR al año", "yearly", 1, "EUR"), ("Wages of £{a} to £{b} per annum", "yearly", 1, "GBP"), ("Pay: ₹{a} – ₹{b} monthly", "monthly", 1, "INR"), ("Compensation CHF {a}—{b} p.a.", "yearly", 1, "CHF"),
+    ("Salary: CA$ {a} - {b} monthly", "monthly", 1, "CAD"), ("Remuneration: A${a} to A${b} a year", "yearly", 1, "AUD"), ("Lohn {a}€-{b}€/jahr", "yearly", 1, "EUR"), ("Pay: BDT {a} - {b} per month", "monthly", 1, "BDT"),
+    ("Salary: NZD {a} to ${b} annually<br>and more", "yearly", 1, "NZD"), ("Salary: USD {a}k - {b}k per year", "yearly", 1000, "USD"),
+    ("Salary: USD {a} - {b}", None, 0, None), ("Salary: {a} - {b} per year", None, 0, None), ("Signing bonus beside the salary: USD {a} - {b} per year", None, 0, None), ("Budget: USD {a} - {b} per year", None, 0, None),
+    ("Salary: USD {b} - {a} per year", None, 0, None), ("Salary: USD {a} - EUR {b} per year", None, 0, None), ("Salary: USD {a} - {b} per year or per month", None, 0, None), ("Salary: USD {a} - {b}\nLeave per year", None, 0, None),
+    ("Salary: USD {a} - {b} per hour", None, 0, None), ("Salary: SEK {a} - {b} per year", None, 0, None), ("Contract value and pay: USD {a} - {b} per year", None, 0, None),
+]
+
+
+def _said_sql() -> str:
+    """Rows of the statements by number."""
+    rows = ", ".join(f"({k}, {repr(p) if p else 'null'}, {m}, {repr(c) if c else 'null'})" for k, (_, p, m, c) in enumerate(_SAID))
+    return f"(values {rows}) as s(k, period, times, code)"
+
+
 @query(
     "pay_inferred",
-    """select post_id, 'yearly' as interval, (40000 + post_id % 1000)::double as low, (60000 + post_id % 1000)::double as high, 'USD' as currency,
-            'USD ' || (40000 + post_id % 1000) || ' - ' || (60000 + post_id % 1000) || ' per year' as evidence from job_posts""",
+    f"""select post_id, period as interval, case when times > 0 then (case when times = 1 then 30000 + post_id % 1000 else 30 + post_id % 10 end * times)::double end as low,
+            case when times > 0 then (case when times = 1 then 50000 + post_id % 1000 else 50 + post_id % 10 end * times)::double end as high, code as currency
+        from job_posts join {_said_sql()} on s.k = post_id % {len(_SAID)}""",
 )
 def pay_inferred(spark, folder):
-    posts = table(spark, folder, "job_posts")
-    low, high = (F.lit(n) + F.col("post_id") % 1000 for n in (40000, 60000))
-    said = F.concat(F.lit("We grow. Salary: USD "), low.cast("string"), F.lit(" - "), high.cast("string"), F.lit(" per year. Bonus apart."))
-    got = salary.parse_pay(said, F.lit(None).cast("string"))
-    return posts.select("post_id", got["interval"].alias("interval"), got["min_amount"].alias("low"), got["max_amount"].alias("high"), got["currency"].alias("currency"), got["evidence"].alias("evidence"))
+    """Sound and unsound statements of two dozen forms."""
+    small = F.lit(False)
+    for k, (_, _, times, _) in enumerate(_SAID):
+        if times == 1000:
+            small |= F.col("post_id") % len(_SAID) == k
+    low = F.when(small, 30 + F.col("post_id") % 10).otherwise(30000 + F.col("post_id") % 1000).cast("string")
+    high = F.when(small, 50 + F.col("post_id") % 10).otherwise(50000 + F.col("post_id") % 1000).cast("string")
+    form = F.element_at(F.array(*[F.lit(t) for t, *_ in _SAID]), (F.col("post_id") % len(_SAID) + 1).cast("int"))
+    got = salary.parse_pay(F.replace(F.replace(form, F.lit("{a}"), low), F.lit("{b}"), high), F.lit(None).cast("string"))
+    return table(spark, folder, "job_posts").select("post_id", got["interval"].alias("interval"), got["min_amount"].alias("low"), got["max_amount"].alias("high"), got["currency"].alias("currency"))
 
 
-@query("pay_in_descriptions")
-def pay_in_descriptions(spark, folder):
-    posts = table(spark, folder, "job_posts").where("length(description) > 0")
-    got = salary.parse_pay(F.col("description"), F.lit("USD"))
-    return posts.select("post_id", got.alias("s")).where("s is not null").select("post_id", "s.*")
+_SIMPLE = r"^(?:Pay|Salary|Wage|Compensation): (USD|EUR|GBP|INR|CHF) ([0-9]{1,3}(?:,[0-9]{3})*|[0-9]+) (?:-|–|to) (?:USD |EUR |GBP |INR |CHF )?([0-9]{1,3}(?:,[0-9]{3})*|[0-9]+) (?:a|per|/) ?(hour|week|year)$"
+
+
+@query(
+    "pay_in_evidence",
+    f"""select row_id, v.period as interval, low, high, cur as currency from (
+            select row_id, regexp_extract(salary_evidence, '{_SIMPLE}', 1) as cur, try_cast(replace(regexp_extract(salary_evidence, '{_SIMPLE}', 2), ',', '') as double) as low,
+                try_cast(replace(regexp_extract(salary_evidence, '{_SIMPLE}', 3), ',', '') as double) as high, regexp_extract(salary_evidence, '{_SIMPLE}', 4) as unit
+            from job_rows where regexp_matches(salary_evidence, '{_SIMPLE}')) e
+        join (values ('hour', 'hourly', 1, 10000, 40), ('week', 'weekly', 25, 500000, 1500), ('year', 'yearly', 1000, 100000000, 60000)) v(unit, period, least, most, rupees) on v.unit = e.unit
+        where low < high and high <= most and high <= 20 * low and low >= case when cur = 'INR' then rupees else least end""",
+)
+def pay_in_evidence(spark, folder):
+    """Statements of the data themselves; those of a form that SQL can read are compared."""
+    rows = table(spark, folder, "job_rows").where(F.col("salary_evidence").rlike(_SIMPLE))
+    got = salary.parse_pay(F.col("salary_evidence"), F.lit(None).cast("string"))
+    return rows.select("row_id", got["interval"].alias("interval"), got["min_amount"].alias("low"), got["max_amount"].alias("high"), got["currency"].alias("currency")).where("interval is not null")
+
+
+@query("pay_in_texts")
+def pay_in_texts(spark, folder):
+    """All statements about pay of the data, dollars being US dollars."""
+    got = salary.parse_pay(F.col("salary_evidence"), F.lit("USD"))
+    return table(spark, folder, "job_rows").select("row_id", got.alias("s")).where("s is not null").select("row_id", "s.*")
+
+
+@query(
+    "pay_of_phrase",
+    """select post_id, case when k < 3 then case k when 0 then 'hourly' when 1 then 'yearly' else 'monthly' end end as interval, case k when 0 then 20 + post_id % 9 when 1 then 40000 + post_id % 9 when 2 then 3000 + post_id % 9 end::double as low,
+            case k when 0 then 30 + post_id % 9 when 1 then 60000 + post_id % 9 when 2 then 4000 + post_id % 9 end::double as high, case when k < 3 then case k when 2 then 'EUR' else 'USD' end end as currency
+        from (select post_id, post_id % 6 as k from job_posts)""",
+)
+def pay_of_phrase(spark, folder):
+    """Bare statements; the last ones lie outside the bounds by the year, or state no period."""
+    n = (F.col("post_id") % 9).cast("int")
+    two = lambda a, b, form: F.format_string(form, n + a, n + b)
+    said = F.array(two(20, 30, "$%d - $%d per hour"), two(40000, 60000, "$%d to %d a year"), two(3000, 4000, "EUR %d - %d monthly"), two(500, 600, "$%d - $%d per hour"), two(20, 30, "$%d - $%d"), F.lit("competitive"))
+    got = salary.infer_phrase(F.element_at(said, (F.col("post_id") % 6 + 1).cast("int")))
+    return table(spark, folder, "job_posts").select("post_id", got["interval"].alias("interval"), got["min_amount"].alias("low"), got["max_amount"].alias("high"), got["currency"].alias("currency"))
 
 
 @query(
@@ -283,20 +356,36 @@ def salary_provenance(spark, folder):
 
 @query(
     "relative_date",
-    f"""select post_id, case post_id % 4 when 0 then date '{AS_OF}' when 1 then date '{AS_OF}' - (post_id % 9)::int when 2 then date '{AS_OF}' - (post_id % 9)::int * 7
-            else date '{AS_OF}' - (post_id % 9)::int * 30 end as posted from job_posts""",
+    f"""select post_id, case post_id % 9 when 0 then date '{AS_OF}' when 1 then date '{AS_OF}' - (post_id % 13)::int when 2 then date '{AS_OF}' - (post_id % 13)::int * 7
+            when 3 then date '{AS_OF}' - (post_id % 13)::int * 30 when 4 then date '{AS_OF}' when 5 then date '{AS_OF}' end as posted from job_posts""",
 )
 def relative_date(spark, folder):
-    n = (F.col("post_id") % 9).cast("string")
-    said = F.element_at(F.array(F.lit("Just posted"), F.concat(n, F.lit(" days ago")), F.concat(n, F.lit(" Weeks ago")), F.concat(n, F.lit(" months ago"))), (F.col("post_id") % 4 + 1).cast("int"))
-    return table(spark, folder, "job_posts").select("post_id", dates.relative_date(said, _as_of()).alias("posted"))
+    n = (F.col("post_id") % 13).cast("string")
+    said = [F.lit("Just posted"), F.concat(n, F.lit(" days ago")), F.concat(F.lit("  "), n, F.lit(" Weeks ago")), F.concat(n, F.lit("+ MONTHS")), F.concat(n, F.lit(" minutes ago")), F.concat(n, F.lit(" hours ago")), F.concat(n, F.lit(" years ago")), F.lit("yesterday"), F.lit(None)]
+    return table(spark, folder, "job_posts").select("post_id", dates.relative_date(F.element_at(F.array(*said), (F.col("post_id") % 9 + 1).cast("int")), _as_of()).alias("posted"))
+
+
+@query(
+    "time_stamps",
+    f"""select post_id, case when post_id % 4 < 2 then date_posted end as iso, case when post_id % 4 <> 3 then date_posted end as plain, date_posted as epoch, date '{AS_OF}' - (post_id % 90)::int as aged from job_posts""",
+)
+def time_stamps(spark, folder):
+    """ISO time stamps, plain days, milliseconds and ages; broken ones give nothing."""
+    day, k = F.col("date_posted").cast("string"), F.col("post_id") % 4
+    iso = F.when(k == 0, F.concat(day, F.lit("T23:59:59Z"))).when(k == 1, day).when(k == 2, F.concat(day, F.lit("T9"))).otherwise("2025-02-30")
+    plain = F.when(k == 3, F.concat(day, F.lit("T00:00"))).otherwise(day)
+    return table(spark, folder, "job_posts").select(
+        "post_id", dates.iso_date(iso).alias("iso"), dates.plain_date(plain).alias("plain"), dates.epoch_millis_date(F.unix_millis(F.col("date_posted").cast("timestamp")) + 3_600_000).alias("epoch"),
+        dates.days_ago((F.col("post_id") % 90).cast("int"), _as_of()).alias("aged"),
+    )
 
 
-@query("published_date", "select post_id, date_posted as posted from job_posts where date_posted is not null")
+@query("published_date", "select post_id, case when post_id % 7 > 1 then date_posted end as posted from job_posts")
 def published_date(spark, folder):
-    posts = table(spark, folder, "job_posts").where("date_posted is not null")
+    posts = table(spark, folder, "job_posts")
     forms = ["d MMM yyyy", "d-MMM-yyyy", "d MMMM yyyy", "MMMM d, yyyy", "d/M/yyyy"]
     written = F.element_at(F.array(*[F.concat(F.lit("Published: "), F.date_format("date_posted", f)) for f in forms]), (F.col("post_id") % 5 + 1).cast("int"))
+    written = F.when(F.col("post_id") % 7 == 0, F.concat(F.lit("Deadline "), written)).when(F.col("post_id") % 7 == 1, F.lit("31/02/2025")).otherwise(written)
     return posts.select("post_id", dates.published_date(written).alias("posted"))
 
 
@@ -387,13 +476,28 @@ def message_class(spark, folder):
 
 @query(
     "retry_delay",
-    """select log_id, greatest(0.5 * pow(2, log_id % 6), least(greatest((log_id % 700 - 100)::double, 0), 300)) as seconds from job_log""",
+    """select log_id, greatest(0.5 * pow(2, log_id % 6), case log_id % 5 when 0 then least(greatest((log_id % 700 - 100)::double, 0), 300) when 1 then least((log_id % 400)::double, 300) else 0 end) as seconds from job_log""",
 )
 def retry_delay(spark, folder):
-    asked = failures.retry_after_seconds((F.col("log_id") % 700 - 100).cast("string"), F.current_timestamp())
+    """Waits asked for in seconds, as HTTP dates, unreadably and not at all."""
+    now = F.lit("2025-07-01 00:00:00").cast("timestamp")
+    at = F.date_format(F.timestamp_seconds(F.unix_timestamp(now) + F.col("log_id") % 400), "EEE, dd MMM yyyy HH:mm:ss")
+    forms = F.array((F.col("log_id") % 700 - 100).cast("string"), F.concat(at, F.lit(" GMT")), F.lit("nan"), F.lit("soon"), F.lit(None))
+    asked = failures.retry_after_seconds(F.element_at(forms, (F.col("log_id") % 5 + 1).cast("int")), now)
     return table(spark, folder, "job_log").select("log_id", failures.retry_delay((F.col("log_id") % 6).cast("double"), 0.5, asked).alias("seconds"))
 
 
+_RAISED = [("SSLError", "x", "authentication_configuration"), ("ProxyError", "x", "authentication_configuration"), ("ReadTimeout", "x", "transient_network"), ("ConnectionError", "HTTP 404", "transient_network"), ("ValueError", "HTTP 500", "invalid_request"),
+           ("Odd", "got http 503 back", "transient_network"), ("Odd", "HTTP 429", "rate_limited"), ("Odd", "HTTP 4290", "adapter_failure"), ("Odd", "Rate Limit reached", "rate_limited"), ("Odd", "boom", "adapter_failure")]
+
+
+@query("exception_class", "select log_id, c as code from job_log join (values {}) as r(k, c) on r.k = log_id % {}".format(", ".join(f"({k}, '{c}')" for k, (_, _, c) in enumerate(_RAISED)), len(_RAISED)))
+def exception_class(spark, folder):
+    k = (F.col("log_id") % len(_RAISED) + 1).cast("int")
+    kind, said = (F.element_at(F.array(*[F.lit(r[n]) for r in _RAISED]), k) for n in (0, 1))
+    return table(spark, folder, "job_log").select("log_id", failures.exception_class(kind, said).alias("code"))
+
+
 # -- dedup, limits, joins -----------------------------------------------------------------------------
 
 
@@ -428,10 +532,15 @@ def offset_skip(spark, folder):
     return listings.skip_raw(table(spark, folder, "job_posts").select("post_id", "site"), 25, ["post_id"])
 
 
-@query("resume_anti_join", "select log_id, site from job_log l where not exists (select 1 from job_posts p where p.id = l.job_id and p.site = l.site)")
+@query(
+    "resume_anti_join",
+    "select log_id, site from job_log l where not exists (select 1 from job_posts p where p.id = l.job_id and p.site = l.site and p.fetched_at < timestamp '2025-04-01')",
+)
 def resume_anti_join(spark, folder):
+    """Messages about listings that weren't known before a day."""
     log = table(spark, folder, "job_log").select("log_id", "site", F.col("job_id").alias("id"))
-    return listings.unseen(log, table(spark, folder, "job_posts"), ["id", "site"]).select("log_id", "site")
+    known = table(spark, folder, "job_posts").where("fetched_at < timestamp'2025-04-01'")
+    return listings.unseen(log, known, ["id", "site"]).select("log_id", "site")
 
 
 @query("detail_left_join", "select r.row_id, p.post_id, p.job_level as detail from job_rows r left join job_posts p on p.id = r.id")
@@ -459,19 +568,9 @@ def result_rows_37(spark, folder):
 
 @query(
     "result_order",
-    "select post_id, site, row_number() over (order by site nulls last, date_posted desc nulls last, post_id) as place from job_posts where site = 'bayt'",
-)
-def result_order(spark, folder):
-    """The rows of one site, as its SQL states; result_places has all."""
-    posts = _posts(spark, folder).where("site = 'bayt'").select("post_id", "site", "date_posted", "sequence")
-    return listings.with_place(posts).select("post_id", "site", "place")
-
-
-@query(
-    "result_places",
     "select post_id, site, row_number() over (order by site nulls last, date_posted desc nulls last, post_id) as place from job_posts",
 )
-def result_places(spark, folder):
+def result_order(spark, folder):
     """The place of each row of all sites, and of none, in the final order."""
     posts = _posts(spark, folder).select("post_id", "site", "date_posted", "sequence")
     return listings.with_place(posts).select("post_id", "site", "place")
@@ -503,29 +602,51 @@ _SUMMARY = """with e as (select site, log_id, case when log_id % 97 = 0 then 'er
             coalesce(arg_max(type = 'site_complete', log_id) filter (type <> 'job'), false) as completed from e group by site)"""
 
 
-@query("site_summary", _SUMMARY + " select site, jobs_emitted, failure_count, completed from s")
+@query("site_summary", _SUMMARY + " select site, jobs_emitted, failure_count, completed from s union all select 'own_board', 0, 0, false")
 def site_summary(spark, folder):
-    return listings.site_summary(_events(spark, folder), table(spark, folder, "job_log").select("site"))
+    """All boards, and one that the log knows nothing of."""
+    return listings.site_summary(_events(spark, folder), spark.createDataFrame([(s,) for s in (*SITES, "own_board")], "site string"))
 
 
 @query(
     "search_outcome",
     _SUMMARY + """ select cast(sum(jobs_emitted) as bigint) as total_jobs, cast(sum(failure_count) as bigint) as total_failures, bool_and(completed) as completed,
-        case when bool_and(completed) then 'succeeded' when sum(jobs_emitted) > 0 or bool_or(completed) then 'partial' else 'failed' end as status from s""",
+        case when bool_and(completed) then 'succeeded' when sum(jobs_emitted) > 0 or bool_or(completed) then 'partial' else 'failed' end as status from (select site, jobs_emitted, failure_count, completed from s union all select 'own_board', 0, 0, false) s""",
 )
 def search_outcome(spark, folder):
     return listings.outcome(site_summary(spark, folder))
 
 
-@query("broken_invariants", _SUMMARY + " select site from s where (completed and failure_count > 0) or (not completed and failure_count = 0)")
+@query("broken_invariants", _SUMMARY + " select site from s where (completed and failure_count > 0) or (not completed and failure_count = 0) union all select 'own_board'")
 def broken_invariants(spark, folder):
     return listings.broken_invariants(site_summary(spark, folder)).select("site")
 
 
-@query("failures_in_order", "select site, log_id as sequence, row_number() over (partition by site order by log_id) as place from job_log where log_id % 97 = 0")
+@query("failures_in_order", "select site, log_id as sequence, row_number() over (order by log_id) as place from job_log where log_id % 97 = 0")
 def failures_in_order(spark, folder):
-    failed = _events(spark, folder).where("type = 'error'")
-    return failed.select("site", "sequence", F.row_number().over(Window.partitionBy("site").orderBy("sequence")).cast("long").alias("place"))
+    return listings.failures_in_order(_events(spark, folder)).select("site", "sequence", "place")
+
+
+@query("board_hosts", f"select k as spelling, d as domain, c as code, h as host from (values {', '.join(str((k, BOARD_DOMAIN[n][0], BOARD_DOMAIN[n][1], REVIEW_HOST.get(n) or '')) for k, n in COUNTRY_OF.items())}) as t(k, d, c, h)")
+def board_hosts(spark, folder):
+    """Domain, country code and review host of each spelling of a country."""
+    spellings = spark.createDataFrame([(k,) for k in COUNTRY_OF], "spelling string")
+    country = places.country_named(F.col("spelling"))
+    return spellings.select("spelling", places.board_domain(country).alias("domain"), places.board_country_code(country).alias("code"), F.coalesce(places.review_host(country), F.lit("")).alias("host"))
+
+
+@query(
+    "normalized_with_inference",
+    """select post_id, case when compensation is not null then coalesce(salary_source, 'direct_data') when post_id % 2 = 0 then 'description' else salary_source end as source,
+            case when compensation is not null or post_id % 2 = 0 then 'yearly' end as interval, case when compensation is not null then round(compensation.min_amount * f, 2) when post_id % 2 = 0 then 41600.0 end as low,
+            case when compensation is not null then case when salary_source = 'description' then left(salary_provenance.evidence, 160) end when post_id % 2 = 0 then '$20 - $30 per hour' else salary_provenance.evidence end as evidence
+        from (select *, case compensation.interval when 'hourly' then 2080 when 'daily' then 260 when 'weekly' then 52 when 'monthly' then 12 else 1 end as f from job_posts)""",
+)
+def normalized_with_inference(spark, folder):
+    """Pay by the year, from the description where nothing else states it."""
+    said = F.when(F.col("post_id") % 2 == 0, F.lit("The pay is $20 - $30 per hour.")).otherwise("No word of it")
+    posts = listings.normalize(_posts(spark, folder).withColumn("description", said), annual=True, infer=True, country="USA")
+    return posts.select("post_id", F.col("salary_source").alias("source"), F.col("compensation.interval").alias("interval"), F.round("compensation.min_amount", 2).alias("low"), F.col("salary_provenance.evidence").alias("evidence"))
 
 
 assert len(RESULT_NAMES) == 37

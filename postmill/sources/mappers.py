@@ -209,7 +209,7 @@ def _cards(df: DataFrame, read: Callable[[str], dict], fields: tuple[str, ...],
     """Adds STRUCT ``c`` (and ``d``) of what a card (and its detail page) says, in Arrow batches."""
     schema = ", ".join(f"{f} string" for f in fields + tuple(f"d_{m}" for m in more))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for card, page in batches:
             rows = []
             for c, p in zip(card, page):
@@ -218,7 +218,8 @@ def _cards(df: DataFrame, read: Callable[[str], dict], fields: tuple[str, ...],
                 rows.append([got.get(f) for f in fields] + [extra.get(m) for m in more])
             yield pd.DataFrame(rows, columns=[*fields, *(f"d_{m}" for m in more)], dtype="object")
 
-    udf = F.pandas_udf(run, schema, functionType=F.PandasUDFType.SCALAR_ITER)
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    udf = F.pandas_udf(run, schema)
     page = F.col("detail") if "detail" in df.columns else F.lit(None).cast("string")
     return df.withColumn("c", udf(F.col("raw"), page))
 

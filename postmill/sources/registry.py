@@ -155,8 +155,9 @@ class Registry:
         return other
 
 
-def default_registry(path: str = "", as_of: str = "1970-01-01", steps: int = 1) -> Registry:
-    """The eight boards over their recorded pages below ``path``."""
+def default_registry(path: str = "", as_of: str = "1970-01-01", steps: int = 4) -> Registry:
+    """The eight boards over their recorded pages below ``path``; ``steps`` pages are read by one Spark job,
+    and delivered page by page."""
     from postmill.sources.replay import BOARD_SOURCES, ListingReplay
     from postmill.streaming.search import RecordedBoard
 

@@ -141,5 +141,5 @@ def test_a_query_places_the_posts_of_all_sites(spark, tmp_path):
 
     posts = "values (1L, 'bayt', date'2025-01-01'), (2L, 'zip', date'2025-01-01'), (3L, null, date'2025-01-02'), (4L, 'bayt', null) as t(post_id, site, date_posted)"
     spark.sql(f"select * from {posts}").write.parquet(f"{tmp_path}/job_posts.parquet")
-    got = {r.post_id: r.place for r in catalogue.QUERIES["result_places"](spark, str(tmp_path)).collect()}
+    got = {r.post_id: r.place for r in catalogue.QUERIES["result_order"](spark, str(tmp_path)).collect()}
     assert got == {1: 1, 4: 2, 2: 3, 3: 4}
