@@ -3,8 +3,13 @@
 One Aho-Corasick automaton finds anchors in a single scan: at-signs and their spelled-out forms,
 digits and plus signs, cues of identity numbers, words of streets and boxes, and phrases that
 introduce or follow a person's name.  Each anchor starts a local parser that expands to both
-sides, validates the piece and fixes its boundaries.  A parser sees only a window around its
-anchor, so the time is linear in the text, whatever its length.
+sides, validates the piece and fixes its boundaries.  A piece may be of any length: a parser goes on
+as long as its characters do, or for as many words as its form has, so the time is linear in the
+text.
+
+Towns known from structured data settle where an address ends.  A list of at most MAX_TOWNS is
+broadcast; a longer one is joined to the records by the words at which their addresses ask for a
+town, with the same result.
 
 Pieces may not overlap; the kinds are tried in the order e-mail, identity number, address,
 phone, name.
@@ -16,7 +21,8 @@ replaced, and reported once per record; text between markup is treated like text
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -37,7 +43,7 @@ STREET_WORDS = ["street", "st.", " st,", " st ", "road", " rd", "lane", " row",
 PLACE_ANCHORS = ["rue ", "avenue ", "boulevard ", "calle ", "avenida ", "plaza ", "weg ", "str. ", "straße ", "strasse ",
                  "gasse ", "platz ", "allee ", "am ", "p.o. box", "po box", "p. o. box", "postfach ", "apartado "]
 NAME_BEFORE = ["reach ", "ask for ", "on behalf of ", "contact is ", "request for ", "regards, ", "contacto: ",
-               "it was ", "ansprechpartner: ", "ansprechpartnerin: ", "signed ", "interlocuteur : ", "interlocuteur: ",
+               "it was ", "speak to ", "speak with ", "talk to ", "prepared by ", "written by ", "recruiter: ", "hiring manager: ", "ansprechpartner: ", "ansprechpartnerin: ", "signed ", "interlocuteur : ", "interlocuteur: ",
                "interlocutrice : ", "sincerely, ", "yours, ", "contact person: ", "attn: ", "attention: "]
 NAME_AFTER = [" leads the unit", ") lives at", " lives at", ") arranges the trial", " arranges the trial", " | ", " <", " &lt;"]
 
@@ -45,7 +51,8 @@ _GAP = r"(?:[  ]|&nbsp;)"
 _LOCAL = r"[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ._%+'\-]*[A-Za-z0-9À-ɏ_%+\-])?"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 
-LOCAL_END = re.compile(_LOCAL + r"$")
+LOCAL = re.compile(_LOCAL)
+_LOCAL_CHARS = re.compile(r"[A-Za-z0-9À-ɏ._%+'\-]")
 DOMAIN = re.compile(rf"{_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,24}}(?![A-Za-z0-9-]*@)")
 SPELLED_DOMAIN = re.compile(
     rf"{_LABEL}(?:(?:\.| ?[\[({{]dot[\])}}] ?| dot ){_LABEL})*(?:\.| ?[\[({{]dot[\])}}] ?| dot )[A-Za-z]{{2,24}}(?![A-Za-z0-9])", re.I
@@ -147,6 +154,39 @@ def _automaton() -> ahocorasick.Automaton:
     return _SHARED[0]
 
 
+#: Words that a street, a place behind its kind, and a name with all its parts can have.
+STREET_WORDS_AHEAD, STREET_WORDS_BEHIND, NAME_WORDS = 9, 9, 14
+
+
+def _words_back(text: str, at: int, count: int) -> int:
+    """Where the ``count`` words ahead of ``at`` begin, words of any length."""
+    while at > 0 and count >= 0:
+        blank = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at), text.rfind("\u00a0", 0, at))
+        if blank < 0:
+            return 0
+        at, count = blank, count - 1
+    return at
+
+
+def _words_on(text: str, at: int, count: int) -> int:
+    """Where the ``count`` words behind ``at`` end."""
+    for _ in range(count):
+        m = _NEXT_BLANK.search(text, at)
+        if m is None:
+            return len(text)
+        at = m.end()
+    return at
+
+
+_NEXT_BLANK = re.compile(r"[ \n\u00a0]")
+_FIRST_WORD = re.compile(r"[^\s\-,.;/|<\u00a0]*")
+
+
+def first_word(low: str, at: int = 0) -> str:
+    """The word by which a town is looked up."""
+    return _FIRST_WORD.match(low, at).group()
+
+
 def _lower_same_length(text: str) -> str:
     low = text.lower()
     return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
@@ -156,10 +196,15 @@ class Finder:
     """Finds the pieces of one text.  ``towns`` are names of towns known from structured data; they
     settle where a town of several words ends if no punctuation does."""
 
-    def __init__(self, towns: list[str] | None = None) -> None:
+    def __init__(self, towns: Iterable[str] | None = None) -> None:
+        self.know(towns or ())
+        self.asked: list[str] | None = None  # words at which a town was asked for, if they are wanted
+
+    def know(self, towns: Iterable[str]) -> None:
+        """Make these the known towns."""
         self.towns: dict[str, list[str]] = {}
-        for town in sorted({t.strip() for t in towns or [] if t and t.strip()}, key=len, reverse=True):
-            self.towns.setdefault(town.split()[0].lower(), []).append(town.lower())
+        for town in sorted({t.strip().lower() for t in towns if t and t.strip()}, key=lambda t: (-len(t), t)):
+            self.towns.setdefault(first_word(town), []).append(town)
 
     def find(self, text: str | None) -> list[tuple[int, int, str]]:
         """``start, end, kind`` of each piece, in order, without overlaps."""
@@ -179,45 +224,49 @@ class Finder:
         taken: list[tuple[int, int, str]] = []
         self._emails(text, low, by, taken)
         self._identities(text, by, taken)
-        self._addresses(text, by, taken)
+        self._addresses(text, low, by, taken)
         self._phones(text, by, taken)
         self._names(text, low, by, taken)
-        return sorted(taken)
+        return taken
 
     @staticmethod
     def _add(taken: list[tuple[int, int, str]], start: int, end: int, kind: str) -> bool:
-        if any(start < e and s < end for s, e, _ in taken):
+        """Put a piece in its place among the pieces so far, unless it meets one."""
+        k = bisect_left(taken, (start,))
+        if (k and taken[k - 1][1] > start) or (k < len(taken) and taken[k][0] < end):
             return False
-        taken.append((start, end, kind))
+        taken.insert(k, (start, end, kind))
         return True
 
     def _emails(self, text: str, low: str, by: dict, taken: list) -> None:
         for start, end, word in by.get("email", ()):
-            window = text[max(0, start - 90) : start]
             if word == " at ":
                 # only the upper-case form is an address, and only with a spelled-out dot
-                if text[start:end] != " AT " or " DOT " not in text[end : end + 90]:
+                domain = SPELLED_DOMAIN.match(text, end) if text[start:end] == " AT " else None
+                if domain is None or " DOT " not in domain.group():
                     continue
-                domain = SPELLED_DOMAIN.match(text, end)
+                stop = start
             elif word == "@":
-                gap = len(window) - len(window.rstrip(" "))
+                stop = start - (text[start - 1 : start] == " ")
                 after = end + (text[end : end + 1] == " ")
-                if gap > 1 or (gap == 1) != (after > end):
+                if text[stop - 1 : stop] == " " or (stop < start) != (after > end):
                     continue
-                window = window.rstrip(" ") if gap else window
                 domain = DOMAIN.match(text, after)
-                local = LOCAL_END.search(window)
-                if domain and local:
-                    self._add(taken, start - gap - len(local.group()), domain.end(), "email")
-                continue
             else:
-                window = window.rstrip(" ")
-                blank = text[end : end + 1] == " "
-                domain = SPELLED_DOMAIN.match(text, end + blank)
-            local = LOCAL_END.search(window)
-            if domain and local:
-                gap = start - max(0, start - 90) - len(window)
-                self._add(taken, start - gap - len(local.group()), domain.end(), "email")
+                stop = start
+                while text[stop - 1 : stop] == " ":
+                    stop -= 1
+                domain = SPELLED_DOMAIN.match(text, end + (text[end : end + 1] == " "))
+            if domain is None:
+                continue
+            first = stop
+            while first and _LOCAL_CHARS.match(text, first - 1):
+                first -= 1
+            # the part may begin with signs that no address begins with
+            while first < stop and not text[first].isalnum():
+                first += 1
+            if first < stop and LOCAL.fullmatch(text, first, stop):
+                self._add(taken, first, domain.end(), "email")
 
     def _identities(self, text: str, by: dict, taken: list) -> None:
         for _, end, _ in by.get("id", ()):
@@ -235,54 +284,53 @@ class Finder:
             if m:
                 self._add(taken, *m.span(), "id_number")
 
-    def _town(self, text: str, at: int) -> int:
+    def _town(self, text: str, low: str, at: int) -> int:
         """The end of the name of a town that begins at ``at``; -1 if none does."""
-        first = re.match(r"[\w'’]+", text[at : at + 60])
-        if not first or not (first.group()[0].isupper()):
+        if not text[at : at + 1].isupper():
             return -1
-        tail = text[at : at + 80]
-        low = tail.lower().replace(" ", " ")
-        m = FREE_TOWN.match(tail)
-        key = re.split(r"[\s-]", first.group().lower())[0]
-        for town in self.towns.get(low.split(" ")[0].rstrip(",.;/|<"), ()) or self.towns.get(key, ()):
-            if low.startswith(town) and not low[len(town) : len(town) + 1].isalnum():
+        key = first_word(low, at)
+        if self.asked is not None:
+            self.asked.append(key)
+        for town in self.towns.get(key, ()):
+            if low.startswith(town, at) and not low[at + len(town) : at + len(town) + 1].isalnum():
                 return at + len(town)
-        caps = ALL_CAPS_TOWN.match(tail)
-        if caps:
-            return at + caps.end()
-        if not m:
+        if caps := ALL_CAPS_TOWN.match(text, at):
+            return caps.end()
+        free = FREE_TOWN.match(text, at)
+        if not free:
             return -1
-        more = MORE_TOWN.match(tail, m.end())
-        return at + (more.end() if more else m.end())
+        more = MORE_TOWN.match(text, free.end())
+        return more.end() if more else free.end()
 
-    def _tail(self, text: str, at: int) -> int:
+    def _tail(self, text: str, low: str, at: int) -> int:
         """The end of postal code, town and state behind the street."""
         code = CODE_FIRST.match(text, at)
         if code:
-            town = self._town(text, code.end())
+            town = self._town(text, low, code.end())
             return town if town > 0 else code.end() - 1
         gap = TOWN_GAP.match(text, at)
         if not gap:
             return at
-        town = self._town(text, gap.end())
+        town = self._town(text, low, gap.end())
         if town < 0 or ("," not in gap.group() and not AFTER_TOWN.match(text, town)):
             return at
         more = AFTER_TOWN.match(text, town)
         return more.end() if more else town
 
-    def _addresses(self, text: str, by: dict, taken: list) -> None:
+    def _addresses(self, text: str, low: str, by: dict, taken: list) -> None:
         seen = -1
+        even = low.replace("\u00a0", " ")
         spots = sorted({(s, e) for g in ("street", "place") for s, e, _ in by.get(g, ())})
         for start, end in spots:
-            if start < seen:
+            if start < seen and self.asked is None:
                 continue
-            begin = max(0, start - 75)
+            begin, stop = _words_back(text, start, STREET_WORDS_AHEAD), _words_on(text, end, STREET_WORDS_BEHIND)
             for form in (BOX, STREET, RUE, CALLE, WEG):
-                hit = next((m for m in form.finditer(text, begin, min(len(text), end + 60)) if m.start() <= end and m.end() >= start), None)
+                hit = next((m for m in form.finditer(text, begin, stop) if m.start() <= end and m.end() >= start), None)
                 if hit:
-                    stop = self._tail(text, hit.end())
-                    if stop > hit.end() and self._add(taken, hit.start(), stop, "address"):
-                        seen = stop
+                    last = self._tail(text, even, hit.end())
+                    if last > hit.end() and self._add(taken, hit.start(), last, "address"):
+                        seen = last
                     break
 
     def _phones(self, text: str, by: dict, taken: list) -> None:
@@ -322,12 +370,12 @@ class Finder:
                     break
                 at = also.end()
         for start, _, word in by.get("after", ()):
-            window_from = max(0, start - 90)
             if word in (" | ", " <", " &lt;"):
                 behind = start + len(word)
                 behind += 7 if low.startswith("mailto:", behind) else 0
                 if behind not in emails:
                     continue
+            window_from = _words_back(text, start, NAME_WORDS)
             window = text[window_from:start]
             if word.startswith(")"):
                 opened = window.rfind("(")
@@ -362,36 +410,79 @@ def redacted(text: str, pieces: list[tuple[int, int, str]]) -> str:
     return "".join(out)
 
 
+#: Towns that are broadcast; more are joined by the words that ask for them.
+MAX_TOWNS = 100_000
+
 _FINDERS: dict[tuple[str, ...], Finder] = {}
 
 
 def _finder(towns: tuple[str, ...]) -> Finder:
     if towns not in _FINDERS:
         _FINDERS.clear()
-        _FINDERS[towns] = Finder(list(towns))
+        _FINDERS[towns] = Finder(towns)
     return _FINDERS[towns]
 
 
-def towns_of(*columns: tuple[DataFrame, Column]) -> tuple[str, ...]:
-    """Distinct names of towns in structured columns; all of them, however many, as the ends of
-    addresses depend on them."""
+def towns_of(*columns: tuple[DataFrame, Column]) -> DataFrame:
+    """``town``: distinct names of towns in structured columns; all of them, however many."""
     names = None
     for df, column in columns:
-        part = df.select(F.btrim(column).alias("town")).where("length(town) between 2 and 60")
+        part = df.select(F.lower(F.btrim(column)).alias("town")).where("length(town) >= 2")
         names = part if names is None else names.union(part)
-    got = [r.town for r in names.distinct().collect()] if names is not None else []
-    return tuple(sorted(got))
+    return names.distinct()
+
+
+class _Towns:
+    """The known towns of a run: one list for all records, or a list with each."""
+
+    def __init__(self, rows: DataFrame, towns: DataFrame | None) -> None:
+        spark = rows.sparkSession
+        # one more than may be broadcast tells whether there are more
+        got = [r.town for r in towns.limit(MAX_TOWNS + 1).collect()] if towns is not None else []
+        self.many = len(got) > MAX_TOWNS
+        self.shared = spark.sparkContext.broadcast(() if self.many else tuple(sorted(got)))
+        self.rows = _with_own_towns(rows, towns) if self.many else rows
 
+    def finders(self, batch: pa.RecordBatch) -> Iterator[Finder]:
+        """The finder for each record of a batch."""
+        finder = _finder(self.shared.value)
+        if batch.num_columns == 2:
+            yield from (finder for _ in range(batch.num_rows))
+            return
+        for towns in batch.column(2).to_pylist():
+            finder.know(towns or ())
+            yield finder
 
-def find_personal(df: DataFrame, key: str, text: str, origin: str, towns: tuple[str, ...] = ()) -> DataFrame:
+
+def _with_own_towns(rows: DataFrame, towns: DataFrame) -> DataFrame:
+    """Adds the known towns that begin with a word at which the record's addresses ask for one."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder()
+        for batch in batches:
+            keys, words = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                finder.asked = []
+                finder.find(text)
+                for word in set(finder.asked):
+                    keys.append(key), words.append(word)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["k", "word"])
+
+    asked = rows.mapInArrow(ask, "k long, word string").distinct()
+    first = F.regexp_extract("town", _FIRST_WORD.pattern, 0)
+    # the towns of a record are those that its own addresses ask for
+    own = asked.join(towns.select(first.alias("word"), "town"), "word").groupBy("k").agg(F.collect_set("town").alias("towns"))
+    return rows.join(own, "k", "left").select("k", "t", "towns")
+
+
+def find_personal(df: DataFrame, key: str, text: str, origin: str, towns: DataFrame | None = None) -> DataFrame:
     """``origin, record_id, kind, found``: a row for each distinct piece of each record."""
-    shared = df.sparkSession.sparkContext.broadcast(towns)
+    known = _Towns(df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("length(t) > 0"), towns)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(shared.value)
         for batch in batches:
             ids, kinds, found = [], [], []
-            for ident, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ident, value, finder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), known.finders(batch)):
                 for kind, piece in dict.fromkeys((k, value[s:e]) for s, e, k in finder.find(value)):
                     ids.append(ident), kinds.append(kind), found.append(piece)
             if ids:
@@ -400,19 +491,23 @@ def find_personal(df: DataFrame, key: str, text: str, origin: str, towns: tuple[
                     ["origin", "record_id", "kind", "found"],
                 )
 
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("length(t) > 0")
-    return rows.mapInArrow(scan, FOUND)
+    return _run(known, scan, FOUND)
+
+
+def _run(known: _Towns, scan, schema: str) -> DataFrame:
+    """``scan`` over the records of ``known``, which goes to the workers without its DataFrame."""
+    rows, known.rows = known.rows, None
+    return rows.mapInArrow(scan, schema)
 
 
-def redact(df: DataFrame, key: str, text: str, towns: tuple[str, ...] = ()) -> DataFrame:
+def redact(df: DataFrame, key: str, text: str, towns: DataFrame | None = None) -> DataFrame:
     """``record_id, text, pieces``: each record's text with placeholders, and how many it has."""
-    shared = df.sparkSession.sparkContext.broadcast(towns)
+    known = _Towns(df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), towns)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(shared.value)
         for batch in batches:
             texts, counts = [], []
-            for value in batch.column(1).to_pylist():
+            for value, finder in zip(batch.column(1).to_pylist(), known.finders(batch)):
                 pieces = finder.find(value)
                 texts.append(redacted(value, pieces) if value is not None else None)
                 counts.append(len(pieces))
@@ -420,5 +515,4 @@ def redact(df: DataFrame, key: str, text: str, towns: tuple[str, ...] = ()) -> D
                 [batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["record_id", "text", "pieces"]
             )
 
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(scan, "record_id long, text string, pieces int")
+    return _run(known, scan, "record_id long, text string, pieces int")

@@ -58,7 +58,7 @@ def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.membership(members, links).withColumnRenamed("id", "post_id")
 
 
-def _towns(posts: DataFrame) -> tuple[str, ...]:
+def _towns(posts: DataFrame) -> DataFrame:
     return pii.towns_of((posts, F.col("location.city")))
 
 

@@ -125,9 +125,40 @@ def test_formulas_of_any_length_are_kept(left, right):
     assert markup.clean(rows)[0] == r"a \\[2pt] b"
 
 
-def test_a_long_list_of_towns_is_used_as_a_whole(spark):
-    towns = pii.towns_of((spark.range(200_001).selectExpr("concat('Town', id) as town"), F.col("town")))
-    assert len(towns) == 200_001
+def test_a_list_of_towns_of_any_length_gives_the_same(spark, monkeypatch):
+    towns = pii.towns_of((spark.createDataFrame([("Harlan Bluff",), (" Steinau am Forst ",), ("Saint-Aubry",), ("Port Linden",), (None,), ("x",)], "town string"), F.col("town")))
+    texts = ["at 55 Ninth Avenue, Harlan Bluff Manor, IL; then Am Kanal 12, 00128 Steinau am Forst Mitte.", "98 rue des Tanneurs, 00926 Saint-Aubry Nord, x", None, "", "Unit 34, 112 Copperbeech Close, PORT LINDEN, ON"]
+    df = spark.createDataFrame([(k % 4, t, "c") for k, t in enumerate(texts)], "id bigint, text string, towns string")
+    got = {}
+    for most in (pii.MAX_TOWNS, 2):
+        monkeypatch.setattr(pii, "MAX_TOWNS", most)
+        found = sorted(pii.find_personal(df, "id", "text", "o", towns).collect())
+        got[most] = found, sorted(pii.redact(df, "id", "text", towns).collect(), key=str)
+        assert any(r.found == "55 Ninth Avenue, Harlan Bluff" for r in found) and any(r.found.endswith("Steinau am Forst") for r in found)
+    assert got[2] == got[100_000]
+    assert pii.find_personal(df, "id", "text", "o").count() == 4
+
+
+def test_pieces_of_any_length_are_found_whole():
+    long = "x" * 5_000
+    for text, want in [
+        (f"mail {long}.y@z.test now", f"{long}.y@z.test"), (f"mail {long} (at) {long}.test", f"{long} (at) {long}.test"), (f"Regards, A{long} B{long}, desk", f"A{long} B{long}"),
+        (f"at 12 A{long} B{long} Street, C{long}, IL 01460.", f"12 A{long} B{long} Street, C{long}, IL 01460"), (f"A{long} Paka <v@x.test>", f"A{long} Paka"),
+    ]:
+        assert want in {text[s:e] for s, e, _ in FINDER.find(text)}
+
+
+def test_the_time_is_linear_in_the_text():
+    import time
+
+    def took(count):
+        text = "Write to ann.lee@mail.test or call +49-279-5555741. " * count
+        began = time.perf_counter()
+        assert len(FINDER.find(text)) == 2 * count
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(8_000) < 40 * took(800)
 
 
 def test_redaction_keeps_the_rest(spark):
