@@ -43,9 +43,11 @@ STREET_WORDS = ["street", "st.", " st,", " st ", "road", " rd", "lane", " row",
 PLACE_ANCHORS = ["rue ", "avenue ", "boulevard ", "calle ", "avenida ", "plaza ", "weg ", "str. ", "straße ", "strasse ",
                  "gasse ", "platz ", "allee ", "am ", "p.o. box", "po box", "p. o. box", "postfach ", "apartado "]
 NAME_BEFORE = ["reach ", "ask for ", "on behalf of ", "contact is ", "request for ", "regards, ", "contacto: ",
-               "it was ", "speak to ", "speak with ", "talk to ", "prepared by ", "written by ", "recruiter: ", "hiring manager: ", "ansprechpartner: ", "ansprechpartnerin: ", "signed ", "interlocuteur : ", "interlocuteur: ",
+               "it was ", "speak to ", "speak with ", "talk to ", "phone ", "call ", "prepared by ", "written by ",
+               "recruiter: ", "hiring manager: ", "our engineer ", "our recruiter ", "our manager ", "your recruiter ", "ansprechpartner: ", "ansprechpartnerin: ", "signed ", "interlocuteur : ", "interlocuteur: ",
                "interlocutrice : ", "sincerely, ", "yours, ", "contact person: ", "attn: ", "attention: "]
-NAME_AFTER = [" leads the unit", ") lives at", " lives at", ") arranges the trial", " arranges the trial", " | ", " <", " &lt;"]
+NAME_AFTER = [" leads the unit", ") lives at", " lives at", ") arranges the trial", " arranges the trial", " prepared this", " wrote this",
+              " will help", " will interview", " will call", " will contact", " looks forward to", " is your contact", " is the contact", " is your recruiter", " | ", " <", " &lt;"]
 
 _GAP = r"(?:[  ]|&nbsp;)"
 _LOCAL = r"[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ._%+'\-]*[A-Za-z0-9À-ɏ_%+\-])?"

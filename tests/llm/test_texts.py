@@ -107,6 +107,7 @@ CASES = [
     ("Reach Jelsen, Callum at x@y.test. Your contact is Ms Ada B. de Vries from here.", {("person_name", "Jelsen, Callum"), ("email", "x@y.test"), ("person_name", "Ada B. de Vries")}),
     ("Regards, ANNA MUN and Bo Lee-Kim, desk", {("person_name", "ANNA MUN"), ("person_name", "Bo Lee-Kim")}),
     ("nuno drukquist | n@x.test | Viggo Paka <v@x.test>", {("person_name", "nuno drukquist"), ("email", "n@x.test"), ("person_name", "Viggo Paka"), ("email", "v@x.test")}),
+    ("Alice Brown prepared this. Please phone Maria Lopez tomorrow. Our engineer John Smith will help.", {("person_name", "Alice Brown"), ("person_name", "Maria Lopez"), ("person_name", "John Smith")}),
     ("Project Juniper Traedrerk is internal. Reach out at once. It was Monday.", set()),
 ]
 
