@@ -71,20 +71,27 @@ def _hash_block(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashed * np.uint64(0xD6E8FEB86659FD93), counts
 
 
-def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
-    """A 64-bit hash of each word of each text, in order; worked off in blocks."""
-    out: list[np.ndarray] = []
-    block: list[str] = []
+def _blocks(texts: list[str | None]) -> list[list[str]]:
+    """The texts, in blocks of about BLOCK_CHARS."""
+    out: list[list[str]] = [[]]
     held = 0
     for text in texts:
-        if block and held + len(text or "") > BLOCK_CHARS:
-            out.extend(_cut(*_hash_block(block)))
-            block, held = [], 0
-        block.append(text or "")
+        if out[-1] and held + len(text or "") > BLOCK_CHARS:
+            out.append([])
+            held = 0
+        out[-1].append(text or "")
         held += len(text or "")
-    if block:
-        out.extend(_cut(*_hash_block(block)))
-    return out
+    return [block for block in out if block]
+
+
+def flat_hashes(texts: list[str | None]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+    """By blocks of texts: the texts, a 64-bit hash of each word of all of them, and their numbers of words."""
+    return [(block, *_hash_block(block)) for block in _blocks(texts)]
+
+
+def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """A 64-bit hash of each word of each text, in order; worked off in blocks."""
+    return [h for _, hashed, counts in flat_hashes(texts) for h in _cut(hashed, counts)]
 
 
 def _cut(hashed: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:

@@ -220,23 +220,64 @@ def test_shares_are_exact_and_nothing_is_missed(spark):
     assert repetition.repetitive(df.where("doc_id < 0")).count() == 0
 
 
+def _vectors(texts):
+    import numpy as np
+
+    from postmill.llm.words import flat_hashes
+
+    return np.concatenate([repetition.features_of(*block) for block in flat_hashes(texts)])
+
+
 def test_model_tells_repetition_on_rows_it_has_not_seen():
     import random
 
     import numpy as np
 
-    from postmill.llm.words import word_hashes
-
     rnd = random.Random(4)
     texts = []
-    for _ in range(600):
+    for _ in range(900):
         base = [f"w{rnd.randrange(300)}" for _ in range(rnd.randrange(20, 60))]
         texts.append(" ".join(base * (3 if rnd.random() < 0.3 else 1)))
-    hashed = word_hashes(texts)
-    x = np.stack([repetition.features_of(t, h)[0] for t, h in zip(texts, hashed)])
-    y = np.array([_share(t) >= 0.3 for t in texts], dtype=float)
-    model = repetition.fit_model(x[:400], y[:400])
-    assert ((model.probability(x[400:]) > 0.5) == (y[400:] > 0)).mean() > 0.97
+    x, y = _vectors(texts), np.array([_share(t) >= repetition.SUSPECT for t in texts], dtype=float)
+    model = repetition.fit_model(x[:600], y[:600])
+    p = model.probability(x[600:])
+    assert ((p > 0.5) == (y[600:] > 0)).mean() > 0.97 and (p[y[600:] > 0] >= repetition.ASK_FROM).all() and (p[y[600:] == 0] < repetition.ASK_FROM).mean() > 0.8
+
+
+def test_the_answer_of_the_model_decides(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([(k, f"t{k} " + "a b c d e f g " * 5) for k in range(40)], "doc_id bigint, text string")
+    never = repetition.Model(np.zeros(repetition.FEATURES), 0.0, 0.0, -30.0)
+    assert repetition.repetitive(df, model=never).count() == 0 and repetition.repetitive(df).count() == 40
+
+
+def test_rare_repetition_that_no_sample_shows_is_found(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(8)
+    text = lambda: " ".join(f"w{rnd.randrange(500)}" for _ in range(80))
+    rows = [(k, text()) for k in range(3000)]
+    for k in (700, 1500, 2999):
+        words = rows[k][1].split()
+        rows[k] = (k, " ".join(words[:50] + words[:45] + words[50:]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(repetition, "SAMPLE_ROWS", 200)
+    want = {k for k, t in rows if _share(t) >= 0.3}
+    assert len(want) == 3 and {r.doc_id for r in repetition.repetitive(df).collect()} == want
+    model = repetition.train(df, 200)
+    assert repetition.score_repetition(df, model, all_shares=False).where("likely").count() < 600
+
+
+def test_features_of_a_block_are_those_of_each_text():
+    import numpy as np
+
+    texts = ["a b a b a b", "", "Ärger über x" * 9, "one", "b " * 50]
+    together = _vectors(texts)
+    for k, t in enumerate(texts):
+        alone = _vectors([t])[0]
+        # a character n-gram may reach into the next text
+        assert np.allclose(alone[: repetition.WORD_BUCKETS], together[k][: repetition.WORD_BUCKETS]) and np.allclose(alone[-5:], together[k][-5:])
 
 
 # -- mixing --------------------------------------------------------------------------------------------------------
