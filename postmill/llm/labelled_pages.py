@@ -36,3 +36,23 @@ PAGES = [
         ("b", "<script>track()</script><a href='/prev'>Back</a><a href='/next'>Next</a>"),
     ],
 ]
+
+#: Small labelled texts, written for this package: the kinds of markup that each has, and the text.  Those
+#: without a kind use the signs of markup in the way that prose does.
+TEXTS = [
+    ("html", "<p>You plan the shifts of the ward.</p><p>You train new people.</p>"), ("html", "First line<br>second line<br/>third line"), ("html", "Bring <b>boots</b> and a coat"),
+    ("html", "&lt;ul&gt;&lt;li&gt;early shift&lt;/li&gt;&lt;/ul&gt;"), ("html", "Sales &amp; service in one team"), ("html", "Ten&nbsp;days of leave &#8211; at least"), ("html", "<!-- draft --> The office is near the station"),
+    ("html", "<div class='x'><h2>Who we are</h2> A small workshop"), ("html", "we bake <o:p></o:p> and deliver"), ("html", "&amp;lt;p&amp;gt;Twice escaped&amp;lt;/p&amp;gt;"), ("html", "the end of a list</li></ul>"), ("html", "<?xml version='1.0'?> a note"),
+    ("markdown", "## What we offer\n\nA desk by the window"), ("markdown", "The **head cook** decides"), ("markdown", "It is *quite* simple"), ("markdown", "It is _quite_ simple"), ("markdown", "Read [the guide](https://guide.test) first"),
+    ("markdown", "Run `make all` every night"), ("markdown", "```\nmake all\n```"), ("markdown", "- bread\n- milk\n- eggs"), ("markdown", "1. wash\n2. dry\n3. fold"), ("markdown", "~~closed~~ open"), ("markdown", "> we said so\n\nand meant it"),
+    ("markdown", "Title of it\n=====\n\ntext"), ("markdown", "Part one\n\n---\n\npart two\n---"), ("markdown", "| day | hours |\n|-----|-------|\n| Mon | 8 |"), ("markdown", "__Bold__ claim and ![a plan](plan.png)"), ("markdown", "### Tasks\n\n* lift\n* carry"),
+    ("wiki", "== Tasks ==\n*lift\n*carry"), ("wiki", "A '''bold''' claim"), ("wiki", "A ''quiet'' place"), ("wiki", "See [[Main page|the start]]"), ("wiki", "See [[Harbour]] for more"), ("wiki", "Ask [https://guide.test the guide] first"),
+    ("wiki", "{{note|closed on Monday}}"), ("wiki", "{| class=x\n|-\n| Mon || 8\n|}"), ("wiki", "=== Hours ===\n#first\n#second"),
+    ("latex", "\\section*{Tasks}\n\\begin{itemize}\n\\item lift\n\\end{itemize}"), ("latex", "The \\textbf{head cook} decides"), ("latex", "Costs grow like $n^{2}$ at most"), ("latex", "$$ a_1 + a_2 = b $$"), ("latex", "so \\(k \\geq 3\\) holds"),
+    ("latex", "\\[ x = \\frac{1}{2} \\]"), ("latex", "first \\\\ second"), ("latex", "45\\% of all \\& more \\ldots{} to come"), ("latex", "$\\sum_i w_i$ is one"),
+    ("", "We were voted #1 twice, write C# and F#, and ticket #3451 is ours"), ("", "Latency < 5 ms and uptime > 99 %, 3 <x and y> 4"), ("", "Rooms of 5 * 7 m, 4*4 drive, and a 5* hotel"), ("", "the weekly_team_report and snake_case_names"),
+    ("", "From $ 47k to $ 66k, US$20-$30, and $5 a day"), ("", "R&D, AT&T, Smith & Sons, Q&A"), ("", "[hybrid roles only] and notes [1] or [see below]"), ("", "x^2 grows, c_1 and ~45 % more"), ("", "• first\n• second\n– third"),
+    ("", "a - b, nine - five, well-known; 9-5 | 8-4"), ("", "don't, o'clock, 'quoted' and ''"), ("", "mail <ann@x.test> or <Acme>"), ("", "C:\\temp\\new and and/or \\ backslash"), ("", "a == b, x = 3, ==> next"), ("", "Plain words, nothing else; a colon: and (brackets) {braces} too"),
+    ("", "Room [A] and [B], desks [1-4] and [all notes]"), ("", "it's the owners' choice, isn't it"), ("", "if a == b then c == d"), ("", "costs $3 or $ 45 and 2^8 units"), ("markdown", "it's [a list](x.md) with owners' names"),
+    ("latex", "it's $x_1$ in [all notes]"), ("html", "it's <i>here</i> [1]"), ("", "We plan the shifts of the ward and train new people in the first weeks"), ("", "The team is small. It keeps the machines of the plant running day and night"), ("", "Call us on Monday at 8:30 or write a short letter about yourself"),
+]

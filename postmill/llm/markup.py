@@ -1,22 +1,23 @@
 """Markup residue in text: which kinds there are, and clean text that keeps the structure.
 
-A scanner cuts a text into words and constructs of HTML, Markdown, wiki and LaTeX markup.  Words
-score positive, tags negative, with weights fitted on labelled pages as log odds of content
-against surroundings; one linear scan finds the contiguous stretch with the largest sum, which is
-the content.  That stretch is written out without markup: headings stand on lines of their own,
-items of lists begin with a bullet, cells of a table row are divided by a bar, and code and
-formulas keep their text.
+Both answers come from maximum-scoring stretches, found by one linear scan each, with weights fitted on
+labelled pages and texts as log odds.
 
-A fragment without any page furniture (navigation, forms, scripts, footers) is not scanned: the
-scan would cut off short headings, and sentences around a link, at its edges.  It is content as a
-whole, but for blocks of links alone at its edges.  The kinds of markup don't come from the scan.
+Kinds.  A text is cut into words and signs; a sign belongs to a class, such as a known tag, a heading, a
+link between brackets, a command, or a number sign in prose.  For each kind of markup its signs score
+by how much more often they stand in texts labelled with the kind than in others, so that signs as
+prose uses them score below zero, as words do.  The kind is there if its best stretch reaches LEAST.
 
-Signs in prose are no markup: a sign counts as a construct only in the form that its language
-gives it (a known tag or entity, paired emphasis that touches its words, a list sign at the start
-of a line, a command with a backslash, a formula between dollar signs that has TeX in it).
+Content.  Words score positive, tags negative, words inside links below other words; the best stretch
+is the content of a page.  Its ends are moved to the borders of the blocks that they lie in, and only
+page furniture or blocks of links are cut off: links that share a block with other words stay, as do
+mail addresses, telephone numbers, and what a heading or a colon introduces.
+
+The content is written out without markup: headings stand on lines of their own, items of lists begin
+with a bullet, cells of a table row are divided by a bar, and code and formulas keep their text.
 
 Defined cases: null stays null, with no kinds; empty and blank texts become empty; escaped tags are
-resolved (as often as they are escaped) and count as HTML; unclosed and truncated tags are
+resolved, as often as they are escaped, and count as HTML; unclosed and truncated tags are
 dropped; a text without markup keeps its lines, with blanks collapsed.
 """
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.labelled_pages import PAGES
+from postmill.llm.labelled_pages import PAGES, TEXTS
 
 KINDS = ("html", "markdown", "wiki", "latex")
 
@@ -54,6 +55,8 @@ BLOCKS = frozenset(
 BORDERS = frozenset("address article blockquote center div dl fieldset figure main menu ol p section table ul".split())
 FURNITURE = frozenset("nav footer header aside form button select input script style iframe".split())
 
+EDGES = BORDERS | FURNITURE
+
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*(?::[A-Za-z][A-Za-z0-9]*)?)((?:\s[^<>]*)?|/)>|<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s+[\w:-]+\s*=[^<>]*)?$")
 COMMENT = re.compile(r"<!--.*?(?:-->|$)|<![A-Za-z][^>]*>|<\?[a-z][^>]*\?>", re.S)
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
@@ -164,56 +167,51 @@ def best_stretch(tokens: list[tuple[str, int, int]], weights: dict[str, float] =
 
 def content_of(text: str) -> tuple[str, bool]:
     """The content of a page, and whether anything was cut off around it."""
-    tokens = list(_token_classes(text))
-    if not any(n.startswith("tag:") and n[4:] in FURNITURE for n, _, _ in tokens):
-        return _without_edge_links(text, tokens)
-    live = [t for t in _outside_dropped(tokens)]
-    start, end, _ = best_stretch(live)
+    tokens = list(_outside_dropped(list(_token_classes(text))))
+    if not any(n.startswith("tag:") for n, _, _ in tokens):
+        return text, False
+    start, end, _ = best_stretch(tokens)
     if end <= start:
         return text, False
-    # whole elements at the border: tags right before the first word belong to it
-    for name, s, e in reversed([t for t in live if t[2] <= start]):
-        if not name.startswith("tag:") or text[e:start].strip() or name[4:] in FURNITURE or text[s : s + 2] == "</":
-            break
-        start = s
-    return text[start:end], True
+    begin, stop = _block_start(text, tokens, start), _block_end(text, tokens, end)
+    if not _is_around(text, tokens, 0, begin):
+        begin = 0
+    if not _is_around(text, tokens, stop, len(text)) or _INTRODUCES.match(text, end):
+        stop = len(text)
+    return text[begin:stop], begin > 0 or stop < len(text)
 
 
-_INTRODUCES = re.compile(r"(?:\s|</\w+>)*?(?::|</[hH][1-6])")
+_INTRODUCES = re.compile(r"(?:\s|</\w+>)*?(?::|</[hH][1-6])(?!(?:\s|</\w+>)*<(?:nav|footer|aside|form)\b)")
 _ADDRESS = re.compile(r"href\s*=\s*[\"']?\s*(?:mailto|tel):", re.I)
 
 
-def _without_edge_links(text: str, tokens: list[tuple[str, int, int]]) -> tuple[str, bool]:
-    """A fragment without the blocks at its edges that hold two links or more and no other words.
+def _block_start(text: str, tokens: list[tuple[str, int, int]], start: int) -> int:
+    """Where the block begins in which a stretch starts, with the blocks that open right before it."""
+    begin = 0
+    for n, s, e in reversed([t for t in tokens if t[2] <= start and t[0][4:] in EDGES and t[0].startswith("tag:")]):
+        if text[s + 1] == "/" or n[4:] in FURNITURE or (begin and text[e:begin].strip()):
+            return begin or e
+        begin = s
+    return begin
 
-    Links that share a paragraph, list or table with other words stay, as do mail addresses,
-    telephone numbers, and what a heading or a colon introduces.
-    """
-    words = [t for t in tokens if t[0] == "word"]
-    if not words or not any(n == "linked word" for n, _, _ in tokens):
-        return text, False
-    first, last = words[0][1], words[-1][2]
-    borders = [(s, e, text[s + 1] == "/") for n, s, e in tokens if n.startswith("tag:") and n[4:] in BORDERS]
-
-    def links(start: int, end: int) -> bool:
-        opened = sum(n == "tag:a" and text[s + 1] != "/" for n, s, _ in tokens if start <= s < end)
-        return opened >= 2 and any(n == "linked word" for n, s, _ in tokens if start <= s < end) and not _ADDRESS.search(text, start, end)
-
-    begin, stop = 0, len(text)
-    if before := [b for b in borders if b[1] <= first]:
-        s, e, closing = before[-1]
-        begin = e if closing else s
-        # the elements that hold the first words belong to them
-        for s, e, closing in reversed(before):
-            if closing or text[e:begin].strip():
-                break
-            begin = s
-        begin = begin if links(0, begin) else 0
-    if after := [b for b in borders if b[0] >= last]:
-        s, e, closing = after[0]
-        stop = e if closing else s
-        stop = stop if links(stop, len(text)) and not _INTRODUCES.match(text, last) else len(text)
-    return text[begin:stop], begin > 0 or stop < len(text)
+
+def _block_end(text: str, tokens: list[tuple[str, int, int]], end: int) -> int:
+    """Where the block ends in which a stretch ends."""
+    for n, s, e in tokens:
+        if s >= end and n.startswith("tag:") and n[4:] in EDGES:
+            return e if text[s + 1] == "/" and n[4:] not in FURNITURE else s
+    return len(text)
+
+
+def _is_around(text: str, tokens: list[tuple[str, int, int]], begin: int, stop: int) -> bool:
+    """Whether a stretch of a page lies around its content: it has furniture, or nothing but two links or
+    more."""
+    part = [t for t in tokens if begin <= t[1] < stop]
+    names = {n for n, _, _ in part}
+    if any(n.startswith("tag:") and n[4:] in FURNITURE for n in names):
+        return True
+    links = sum(n == "tag:a" and text[s + 1] != "/" for n, s, _ in part)
+    return links >= 2 and "linked word" in names and "word" not in names and not _ADDRESS.search(text, begin, stop)
 
 
 def _outside_dropped(tokens: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
@@ -231,70 +229,200 @@ def _outside_dropped(tokens: list[tuple[str, int, int]]) -> Iterator[tuple[str,
 
 # -- kinds -------------------------------------------------------------------------------------------
 
+#: Ampersands that were escaped again and again, ahead of an entity.
+_AGAIN = re.compile(r"&(?:amp;)+(?=(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});)")
+
+
+def unescaped(text: str) -> str:
+    """The text without escapes, however often it was escaped."""
+    return html.unescape(_AGAIN.sub("&", text)) if "&" in text else text
+
+
+#: Signs by class: the kind of markup, what a text has to contain, and the form.  Signs of the class
+#: ``line`` are those of wiki texts too.
+SIGNS_OF = [
+    ("markdown", "code", "`", MD_CODE), ("markdown", "fence", "`", MD_FENCE), ("markdown", "fence", "~~~", MD_FENCE), ("markdown", "strike", "~~", MD_STRIKE), ("markdown", "link", "](", MD_LINK),
+    ("markdown", "strong", "**", MD_STRONG), ("markdown", "strong", "__", MD_STRONG), ("markdown", "emphasis", "*", MD_EM), ("markdown", "emphasis", "_", MD_EM), ("markdown", "heading", "#", MD_HEADING),
+    ("wiki", "strong", "'''", WIKI_STRONG), ("wiki", "emphasis", "''", WIKI_EM), ("wiki", "link", "[[", WIKI_LINK), ("wiki", "template", "{{", WIKI_TEMPLATE), ("wiki", "heading", "==", WIKI_HEADING),
+    ("wiki", "table", "{|", WIKI_TABLE), ("wiki", "table", "|}", WIKI_TABLE), ("wiki", "address", "[", WIKI_URL),
+    ("latex", "command", "\\", TEX_COMMAND), ("latex", "display", "\\", TEX_DISPLAY), ("latex", "break", "\\\\", TEX_BREAK), ("latex", "math", "$", TEX_MATH),
+    # as prose uses the same signs
+    ("markdown", "number", "#", re.compile(r"#\w|\w#")), ("markdown", "times", "*", re.compile(r"\d ?\* ?\d")), ("markdown", "joined", "_", re.compile(r"\w_\w")), ("markdown", "about", "~", re.compile(r"~ ?\d")),
+    ("wiki", "aside", "[", re.compile(r"(?<!\[)\[(?!https?:|\[)[^\[\]\n]*\](?![\[(\]])")), ("wiki", "equals", "==", re.compile(r"(?<=\S )==>?(?= \S)")), ("wiki", "quote", "'", re.compile(r"(?<!')'(?!')")),
+    ("latex", "amount", "$", re.compile(r"\$ ?\d")), ("latex", "power", "^", re.compile(r"\w\^\w")), ("latex", "slash", "\\", re.compile(r"(?<!\\)\\(?:\s|\w\b)")),
+]
+Sign = tuple[str, str, int, int]  # kind, class, start, end
+
+
+def _html_signs(text: str, stop: bool = False) -> list[Sign]:
+    """Signs of HTML; with ``stop`` only as many as it takes to find a tag or an entity that is one."""
+    out: list[Sign] = []
+    if stop:
+        for form, known in ((TAG, lambda m: _is_tag((m.group(2) or m.group(5)).lower())), (ENTITY, _is_entity), (COMMENT, lambda m: True)):
+            hit = next((m for m in form.finditer(text) if known(m)), None)
+            if hit:
+                return [("html", {TAG: "tag", ENTITY: "entity", COMMENT: "comment"}[form], *hit.span())]
+        return []
+    if "<" in text:
+        out += [("html", "tag" if _is_tag((m.group(2) or m.group(5)).lower()) else "angle", *m.span()) for m in TAG.finditer(text)]
+        out += [("html", "comment", *m.span()) for m in COMMENT.finditer(text)]
+        out += [("html", "less", *m.span()) for m in _LESS.finditer(text)]
+    if "&" in text:
+        out += [("html", "entity" if _is_entity(m) else "and", *m.span()) for m in ENTITY.finditer(text)]
+    return out
+
+
+def _is_entity(m: re.Match) -> bool:
+    return m.group().startswith("&#") or m.group()[1:] in html.entities.html5
+
+
+_LESS = re.compile(r"<(?=[\s\d])")
+
+
+def _line_signs(text: str, page: bool) -> list[Sign]:
+    """Signs that take a line, or the start of one."""
+    out: list[Sign] = [("line", "item", *m.span()) for m in MD_LIST.finditer(text)]
+    if ">" in text and not page:
+        out += [("markdown", "quote", *m.span()) for m in MD_QUOTE.finditer(text)]
+    if "---" in text or "===" in text or "***" in text or "___" in text:
+        at, before = 0, ""
+        for line in text.split("\n"):
+            if MD_TABLE.match(before) and MD_TABLE_RULE.match(line):
+                out.append(("line", "table", at, at + len(line)))
+            elif before.strip() and MD_RULE.match(line):
+                out.append(("line", "rule", at, at + len(line)))
+            at, before = at + len(line) + 1, line
+    return out
+
+
+def signs_of(text: str) -> tuple[str, list[Sign], list[Sign]]:
+    """The text without HTML, the signs of HTML in the text as it is, and all other signs in the rest."""
+    tags = _html_signs(text)
+    page = any(c in ("tag", "comment", "entity") for _, c, _, _ in tags)
+    bare = unescaped(text) if page else text
+    if "<" in bare:
+        bare = TAG.sub(lambda m: "\n" if (m.group(2) or m.group(5)).lower() in BLOCKS else "", bare)
+    found: list[Sign] = []
+    for kind, name, part, form in SIGNS_OF:
+        if part in bare:
+            found.extend((kind, name, *m.span()) for m in form.finditer(bare))
+    return bare, tags, found + _line_signs(bare, page)
+
+
+def fit_signs(texts: list[tuple[str, str]] = TEXTS, smooth: float = 0.5) -> dict[tuple[str, str, str], float]:
+    """Log odds of each class of signs, by kind: in texts labelled with the kind against all others, each
+    class once for a text.  Words score by how much rarer they are among the tokens of marked texts."""
+    marked, plain, words = Counter(), Counter(), {}
+    of_kind = Counter(k for label, _ in texts for k in label.split())
+    for label, text in texts:
+        bare, tags, others = signs_of(text)
+        count = len(_WORD.findall(bare))
+        for kind in KINDS:
+            inside = kind in label.split()
+            signs = {(k, c) for k, c, _, _ in (tags if kind == "html" else others) if k in (kind, "line")}
+            for sign in signs:
+                (marked if inside else plain)[kind, *sign] += 1
+            share = words.setdefault((kind, inside), [0, 0])
+            share[0] += count
+            share[1] += count + sum(k in (kind, "line") for k, _, _, _ in (tags if kind == "html" else others))
+    out: dict[tuple[str, str, str], float] = {}
+    rare = smooth / max(1, len(texts))
+    for kind, *sign in {*marked, *plain}:
+        a, b = marked[kind, *sign] / max(1, of_kind[kind]), plain[kind, *sign] / max(1, len(texts) - of_kind[kind])
+        out[kind, *sign] = log(a + rare) - log(b + rare)
+    for kind in KINDS:
+        (a, b), (c, d) = words[kind, True], words[kind, False]
+        out[kind, "word", ""] = min(-0.01, log(a / b) - log(c / d))
+    return out
+
+
+SIGN_WEIGHTS = fit_signs()
+#: The score of a stretch from which on its kind of markup is there.
+LEAST = 0.4
 
-def _known_tag(text: str) -> bool:
-    return any(_is_tag((m.group(2) or m.group(5)).lower()) for m in TAG.finditer(text))
 
+def best_region(kind: str, text: str, signs: list[Sign], weights: dict[tuple[str, str, str], float]) -> tuple[float, int, int]:
+    """Score and offsets of the stretch of signs and words that tells most of a kind."""
+    word = weights[kind, "word", ""]
+    best, best_from, best_to = 0.0, 0, 0
+    total, begin, last = 0.0, 0, 0
+    for k, name, start, end in sorted(signs, key=lambda x: x[2]):
+        weight = weights.get((kind, k, name))
+        if weight is None:
+            continue
+        if total > 0:
+            total += word * text.count(" ", last, start)  # as many words as blanks
+        if total <= 0:
+            total, begin = 0.0, start
+        total += weight
+        last = max(last, end)
+        if total > best:
+            best, best_from, best_to = total, begin, end
+    return best, best_from, best_to
 
-def _known_entity(text: str) -> bool:
-    return any(m.group().startswith("&#") or m.group()[1:] in html.entities.html5 for m in ENTITY.finditer(text))
+
+def regions_of(text: str, weights: dict[tuple[str, str, str], float] | None = None) -> dict[str, tuple[float, int, int]]:
+    """For each kind of markup in a text its best region: score and offsets, for HTML in the text as it is,
+    for the others in the text without HTML."""
+    if not SIGNS.search(text):
+        return {}
+    weights = SIGN_WEIGHTS if weights is None else weights
+    bare, tags, signs = signs_of(text)
+    out = {}
+    for kind in ("html", "wiki", "latex", "markdown"):
+        if kind == "markdown" and "wiki" in out:
+            signs = [s for s in signs if s[0] != "line"]  # list signs, rules and bars of a wiki text are wiki's own
+        # a list sign alone tells nothing of wiki
+        own = tags if kind == "html" else [s for s in signs if s[0] == kind or (s[0] == "line" and kind == "markdown")]
+        if own:
+            region = best_region(kind, text if kind == "html" else bare, own, weights)
+            if region[0] >= LEAST:
+                out[kind] = region
+    return out
 
 
 def kinds_of(text: str) -> list[str]:
-    """The kinds of markup in a text, tags that are escaped included."""
+    """The kinds of markup in a text, tags that are escaped included: those of ``regions_of``.
+
+    Here the scan stops where its answer is known: one sign that scores LEAST is a stretch that reaches it,
+    and only a text without such a sign is scanned to its end.
+    """
     if not SIGNS.search(text):
         return []
-    found = set()
-    if ("<" in text and (_known_tag(text) or COMMENT.search(text))) or ("&" in text and _known_entity(text)):
-        found.add("html")
-    if "&" in text and "html" in found:
-        text = html.unescape(html.unescape(text))
-    bare = TAG.sub(lambda m: "\n" if (m.group(2) or m.group(5)).lower() in BLOCKS else "", text) if "<" in text else text
-    if _is_wiki(bare):
-        found.add("wiki")
-    if _is_latex(bare):
-        found.add("latex")
-    if _is_markdown(bare, "wiki" in found, "html" in found):
-        found.add("markdown")
+    found, bare = [], text
+    if ("<" in text or "&" in text) and any(SIGN_WEIGHTS.get(("html", k, c), 0.0) >= LEAST for k, c, _, _ in _html_signs(text, stop=True)):
+        found.append("html")
+        bare = unescaped(bare)
+    if "<" in bare:
+        bare = TAG.sub(lambda m: "\n" if (m.group(2) or m.group(5)).lower() in BLOCKS else "", bare)
+    for kind in ("wiki", "latex", "markdown"):
+        clear, faint = STRONG_SIGNS[kind]
+        if any(part in bare and form.search(bare) for part, form in clear):
+            found.append(kind)
+            continue
+        if kind == "markdown":
+            lines = _line_signs(bare, "html" in found)
+            if "wiki" in found:
+                lines = [x for x in lines if x[0] != "line"]
+            if any(SIGN_WEIGHTS.get((kind, k, c), 0.0) >= LEAST for k, c, _, _ in lines):
+                found.append(kind)
+                continue
+        if any(part in bare for part, _ in faint) and kind in regions_of(text):
+            found.append(kind)
     return [k for k in KINDS if k in found]
 
 
-def _is_wiki(text: str) -> bool:
-    return bool(
-        ("''" in text and (WIKI_STRONG.search(text) or WIKI_EM.search(text)))
-        or ("[[" in text and WIKI_LINK.search(text))
-        or ("{{" in text and WIKI_TEMPLATE.search(text))
-        or ("==" in text and WIKI_HEADING.search(text))
-        or ("|" in text and ("{|" in text or "|}" in text) and WIKI_TABLE.search(text))
-        or ("[" in text and WIKI_URL.search(text))
-    )
-
-
-def _is_latex(text: str) -> bool:
-    return bool(
-        ("\\" in text and (TEX_COMMAND.search(text) or TEX_DISPLAY.search(text) or TEX_BREAK.search(text)))
-        or ("$" in text and TEX_MATH.search(text))
-    )
-
-
-def _is_markdown(text: str, wiki: bool, page: bool) -> bool:
-    if (
-        ("`" in text and (MD_CODE.search(text) or MD_FENCE.search(text)))
-        or ("~~" in text and MD_STRIKE.search(text))
-        or ("](" in text and MD_LINK.search(text))
-        or (("*" in text or "_" in text) and (MD_STRONG.search(text) or MD_EM.search(text)))
-        or ("#" in text and MD_HEADING.search(text))
-        or (">" in text and not page and MD_QUOTE.search(text))
-    ):
-        return True
-    if wiki:
-        return False  # list signs, rules and bars of a wiki text are wiki's own
-    lines = text.split("\n")
-    if any(MD_TABLE.match(x) and MD_TABLE_RULE.match(y) for x, y in zip(lines, lines[1:])):
-        return True
-    if any(MD_RULE.match(y) and x.strip() for x, y in zip(lines, lines[1:])):
-        return True
-    return bool(MD_LIST.search(text))
+def _by_strength(weights: dict[tuple[str, str, str], float]) -> dict[str, tuple[list, list]]:
+    """For each kind its signs that reach LEAST by themselves, and those that only do so together."""
+    out: dict[str, tuple[list, list]] = {k: ([], []) for k in KINDS}
+    for kind, name, part, form in SIGNS_OF:
+        weight = weights.get((kind, kind, name), 0.0)
+        if weight > 0:
+            out[kind][weight < LEAST].append((part, form))
+    return out
+
+
+STRONG_SIGNS = _by_strength(SIGN_WEIGHTS)
 
 
 # -- clean text --------------------------------------------------------------------------------------
@@ -325,6 +453,9 @@ class Structure:
         return text
 
 
+_ESCAPED = re.compile(r"&(?:amp;)*lt;/?[A-Za-z!][^\n]*?&(?:amp;)*gt;")
+
+
 def clean(text: str) -> tuple[str, Counter]:
     """The clean text and the counts of its headings, items, rows, code pieces and formulas."""
     out = Structure()
@@ -332,12 +463,8 @@ def clean(text: str) -> tuple[str, Counter]:
     text = "".join(" " if "\ue000" <= c <= "\ue003" else c for c in text) if re.search("[\ue000-\ue003]", text) else text
     if SIGNS.search(text):
         page = "<" in text or "&" in text
-        for _ in range(3):  # tags may be escaped, and escaped again
-            if "&lt;" not in text and "&amp;" not in text:
-                break
-            if not re.search(r"&(?:amp;)*lt;/?[A-Za-z!][^\n]*?&(?:amp;)*gt;", text):
-                break
-            text = html.unescape(text)
+        if "&" in text and _ESCAPED.search(text):
+            text = unescaped(text)
         text = _from_latex(_code_first(text, out), out)
         text = _from_wiki(text, out)
         text = _from_markdown(text, out)
@@ -387,11 +514,9 @@ def _from_latex(text: str, out: Structure) -> str:
         return text
     text = TEX_DISPLAY.sub(lambda m: out.keep((m.group(1) or m.group(2)).strip(), "formula"), text)
     text = re.sub(r"\\begin\s*\{(equation|align|displaymath|math|gather)\*?\}(.*?)\\end\s*\{\1\*?\}", lambda m: out.block(m.group(2).strip(), "formula"), text, flags=re.S)
-    for _ in range(4):
-        new = TEX_STYLE.sub(r"\1", text)
-        if new == text:
-            break
-        text = new
+    count = 1
+    while count:  # from the inside out
+        text, count = TEX_STYLE.subn(r"\1", text)
     text = TEX_HEADING.sub(lambda m: f"\n{_HEAD}{m.group(1)}\n", text)
     text = re.sub(r"\\begin\s*\{(tabular[x*]?)\}(?:\{[^{}\n]*\})*(.*?)\\end\s*\{\1\}", lambda m: _tex_rows(m.group(2), out), text, flags=re.S)
     text = TEX_HREF.sub(lambda m: m.group(1) or m.group(2), text)
@@ -416,8 +541,7 @@ def _tex_rows(body: str, out: Structure) -> str:
 
 
 def _from_wiki(text: str, out: Structure) -> str:
-    wiki = _is_wiki(text)
-    if not wiki:
+    if not any(part in text and form.search(text) for kind, _, part, form in SIGNS_OF[:18] if kind == "wiki"):
         return text
     text = re.sub(r"\{\{\s*(?:code|syntaxhighlight|pre)\s*\|([^{}]*)\}\}", lambda m: out.block(m.group(1), "code") if "\n" in m.group(1) else out.keep(m.group(1), "code"), text, flags=re.I)
     text = re.sub(r"\{\{\s*math\s*\|([^{}]*)\}\}", lambda m: out.keep(m.group(1).strip(), "formula"), text, flags=re.I)
@@ -531,6 +655,17 @@ CLEANED = (
 )
 
 
+def find_markup(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``record_id, markup``: a row per record with the kinds of markup in its text; nothing is cleaned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [kinds_of(value) if value else [] for value in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.list_(pa.string()))], ["record_id", "markup"])
+
+    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "record_id long, markup array<string>")
+
+
 def clean_markup(df: DataFrame, key: str, text: str) -> DataFrame:
     """``record_id, clean_text, markup, headings, items, table_rows, code_pieces, formulas,
     trimmed``: a row per record."""

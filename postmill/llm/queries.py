@@ -17,8 +17,8 @@ def posting_text() -> Column:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = markup.clean_markup(table(spark, folder, "job_posts"), "post_id", "description")
-    return cleaned.select(F.col("record_id").alias("post_id"), F.explode("markup").alias("markup")).distinct()
+    found = markup.find_markup(table(spark, folder, "job_posts"), "post_id", "description")
+    return found.select(F.col("record_id").alias("post_id"), F.explode("markup").alias("markup")).distinct()
 
 
 def p1_clean(spark: SparkSession, folder: str) -> DataFrame:

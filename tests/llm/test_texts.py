@@ -28,6 +28,54 @@ def test_signs_in_prose_are_no_markup(text):
     assert markup.kinds_of(text) == []
 
 
+@pytest.mark.parametrize(("text", "kinds"), [*MARKED, *((t, []) for t in PLAIN)])
+def test_the_early_answer_is_that_of_the_whole_scan(text, kinds):
+    assert [k for k in markup.KINDS if k in markup.regions_of(text)] == kinds
+    around = "\n\n".join(["plain words", text, "more of them"])
+    assert [k for k in markup.KINDS if k in markup.regions_of(around)] == markup.kinds_of(around)
+
+
+def test_the_weights_of_the_scan_decide():
+    counted = {key: 1.0 if key[1] != "word" else w for key, w in markup.SIGN_WEIGHTS.items()}
+    assert all(not markup.regions_of(t) for t in PLAIN) and sum(bool(markup.regions_of(t, counted)) for t in PLAIN) >= 4
+    weaker = {**markup.SIGN_WEIGHTS, ("markdown", "markdown", "emphasis"): 0.35}
+    assert not markup.regions_of("so _well_ done", weaker) and "markdown" not in markup.regions_of("_a_ " + "word " * 40 + "_b_", weaker)
+    assert "markdown" in markup.regions_of("_so_ _well_ done", weaker) and markup.regions_of("so _well_ done")
+    text = "words first, then '''bold''' and [[Link]] and words"
+    score, start, end = markup.regions_of(text)["wiki"]
+    assert text[start:end] == "'''bold''' and [[Link]]" and score > 5
+
+
+def test_best_regions_are_the_best_of_all():
+    import random
+
+    rnd = random.Random(2)
+    weights = {("wiki", "wiki", "a"): 1.5, ("wiki", "wiki", "b"): -1.0, ("wiki", "wiki", "c"): 0.4, ("wiki", "word", ""): -0.3}
+    for _ in range(200):
+        gaps = [rnd.randrange(4) for _ in range(rnd.randrange(1, 9))]
+        text, signs = "", []
+        for gap in gaps:
+            text += " " * gap
+            signs.append(("wiki", rnd.choice("abc"), len(text), len(text) + 1))
+            text += "x"
+        best = 0.0
+        for i in range(len(signs)):
+            for j in range(i + 1, len(signs) + 1):
+                best = max(best, sum(weights["wiki", "wiki", s[1]] for s in signs[i:j]) - 0.3 * sum(gaps[i + 1 : j]))
+        assert abs(markup.best_region("wiki", text, signs, weights)[0] - best) < 1e-9
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 9, 200])
+def test_tags_are_resolved_as_often_as_they_are_escaped(depth):
+    sign = lambda name: "&" + "amp;" * (depth - 1) + name + ";"
+    text = f"so {sign('lt')}b{sign('gt')}bold{sign('lt')}/b{sign('gt')} it"
+    assert markup.clean(text)[0] == "so bold it" and markup.kinds_of(text) == ["html"]
+
+
+def test_styles_in_styles_are_resolved_at_any_depth():
+    assert markup.clean("so " + "\\textbf{" * 60 + "deep" + "}" * 60 + " it")[0] == "so deep it"
+
+
 def test_clean_text_keeps_structure():
     page = "<h2>Head</h2><p>A &amp; <b>b</b></p><ul><li>x</li><li>y</li></ul><pre><code>if a:\n    b</code></pre><table><tr><th>t</th><th>h</th></tr><tr><td>1</td><td>2</td></tr></table>"
     text, counts = markup.clean(page)
@@ -49,6 +97,9 @@ def test_page_furniture_is_cut_off():
     got, cut = markup.content_of(page)
     assert cut and "Home" not in got and "Imprint" not in got and "Cook" in got
     assert markup.content_of("<p>short</p>") == ("<p>short</p>", False)
+    # with weights that tell tags from nothing, nothing is cut off
+    tokens = list(markup._token_classes(page))
+    assert markup.best_stretch(tokens, dict.fromkeys([*markup.WEIGHTS, "tag:nav"], 1.0))[0] == 0 and markup.best_stretch(tokens)[0] > 0
 
 
 LINKS = "<div><a href='#'>Share</a><a href='#'>Print</a></div>"
