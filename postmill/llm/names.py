@@ -3,21 +3,26 @@
 1.  Each distinct spelling is taken apart: case, accents, legal form, branch town, article, order
     of parts and nicknames are evened out; what remains is the proper part (``core``), the stated
     line of business (``line``) and a person's first name (``first``).  Equal parts make one node.
-2.  The cores become vectors of character n-grams, weighted by tf-idf over all nodes.  A sparse
-    cosine join finds partners over an index of n-grams, in which frequent ones count by
-    twos, and alone only where their weight could lift a pair to the threshold.  Nodes with
-    different lines of business never meet, as the line is part of the index key; nodes without
-    one meet all.
-3.  Partners are scored by cosine and checked by edit distance, which a typing error keeps small
-    and another name doesn't.
+    Lines of business are those of a list, with the ways in which they are shortened, and those that
+    the corpus shows: words that stand beside very many different cores.
+2.  The words of a core become a vector of character n-grams of two lengths, weighted by tf-idf over all
+    nodes, whatever the order of the words.  A sparse cosine join finds partners over an index of
+    n-grams, in which frequent ones count by twos, and alone only where their weight could lift a
+    pair to the threshold.  Nodes with different lines of business never meet, as the line is
+    part of the index key; nodes without one meet all.
+3.  Pairs below COSINE are dropped; of the others each node keeps its TOP best, and whatever is above
+    SURE, so no list of partners that matters to the linkage is cut.  An exact check follows: the edit
+    distance, which typing errors keep small and another name doesn't.
 4.  Average linkage, weighted by how often a spelling occurs, groups the nodes of one line: the
     mean similarity of two groups, pairs that aren't partners counting as 0, must reach LINK.
-    In each round every group joins its best heavier partner, unless that one leaves itself.
+    In each round every group joins its best heavier partner, unless that one leaves itself; rounds
+    go on until no group moves.
 5.  A node without a line joins the one employer that its core means; if that could be several, it
     stays by itself.
 
 Everything runs as joins and aggregations over distinct spellings; a spelling that a third of all
-rows have is one row.  No list is collected but by index key inside a join.
+rows have is one row.  Lists of the index longer than LIST_ROWS are cut into blocks, and each two
+blocks meet in a place of their own; no list is collected.
 
 Defined cases: null, blank and placeholder names are no employer; a name of nothing but a line of
 business or legal form has no core and is no employer; repeated rows count once per spelling.
@@ -31,15 +36,22 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill.session import cut_lineage
 
-GRAM = 3
-COSINE = 0.2  # of two cores, to be looked at
-LINK = 0.15  # mean similarity at which groups join
+GRAMS = (2, 3)
+COSINE = 0.25  # of two cores
+TOP = 30  # partners that a node keeps, beside those above SURE
+SURE = 0.5
+LINK = 0.2  # mean similarity at which groups join
+#: A word is a line of business of its own if it stands in this share of all spellings (and in so many at
+#: least), with as many different words beside it.
+LINE_SHARE = 0.005
+LINE_NODES = 40
+LIST_ROWS = 1_000  # entries of an index list that are joined in one place
 #: An n-gram in this share of the nodes (and in so many at least) is frequent: names are built of
 #: few syllables.
 COMMON_SHARE = 0.02
@@ -140,8 +152,9 @@ def _fold(name: str) -> str:
     return text.replace("’", "'")
 
 
-def parts_of(name: str | None) -> tuple[str, str, str] | None:
-    """``(core, line, first)``; empty where not stated, None for what is no employer."""
+def parts_of(name: str | None, more_lines: frozenset[str] = frozenset()) -> tuple[str, str, str] | None:
+    """``(core, line, first)``; empty where not stated, None for what is no employer.  ``more_lines`` are
+    words that are lines of business beside those of the list."""
     if name is None:
         return None
     text = _fold(name).strip()
@@ -155,7 +168,7 @@ def parts_of(name: str | None) -> tuple[str, str, str] | None:
     core: list[str] = []
     lines: list[str] = []
     first = ""
-    exact = any(w.rstrip(".") in LINE_OF for w in words)
+    exact = any(w.rstrip(".") in LINE_OF or w.rstrip(".") in more_lines for w in words)
     k = 0
     while k < len(words):
         word = words[k].rstrip(".")
@@ -173,6 +186,8 @@ def parts_of(name: str | None) -> tuple[str, str, str] | None:
             continue
         if word in LINE_OF:
             lines.append(LINE_OF[word])
+        elif word in more_lines:
+            lines.append(word)
         elif not exact and len(word) >= 5 and (close := _any_close(word, LONG_LINES)):
             lines.append(LINE_OF[close])
         else:
@@ -206,12 +221,10 @@ def _first_name(core: list[str]) -> tuple[list[str], str]:
     return core, ""
 
 
-def _grams(squeezed: list[str]) -> list[str]:
-    out: set[str] = set()
-    for word in squeezed:
-        padded = f"{word}"
-        out.update(padded[k : k + GRAM] for k in range(max(1, len(padded) - GRAM + 1)))
-    return sorted(out)
+def _grams(words: list[str]) -> list[str]:
+    """The n-grams of words, whose ends are marked."""
+    marked = [f"^{w}$" for w in words]
+    return sorted({w[k : k + n] for w in marked for n in GRAMS for k in range(max(1, len(w) - n + 1))})
 
 
 def _letters(core: str) -> int:
@@ -225,7 +238,26 @@ def _letters(core: str) -> int:
 PARTS = "name string, core string, turned string, line string, first string, grams array<string>, letters long"
 
 
-def take_apart(names: DataFrame) -> DataFrame:
+def learnt_lines(names: DataFrame) -> frozenset[str]:
+    """Words of the spellings (``name``, distinct) that are lines of business by their use: in LINE_SHARE of
+    the spellings, beside as many different cores.  At most as many as LINE_SHARE of the words leave room
+    for reach that share, so the list that goes to the workers is bounded."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name in batch.column(0).to_pylist():
+                core = got[0].split() if (got := parts_of(name)) else []
+                rows.extend((w, " ".join(core[:k] + core[k + 1 :])) for k, w in enumerate(core) if len(core) > 1 and len(w) > 2 and w not in FIRST_OF)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["word", "rest"])
+
+    least = max(LINE_NODES, LINE_SHARE * names.count())
+    used = names.select("name").mapInArrow(words, "word string, rest string").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("rest").alias("cores"))
+    return frozenset(r.word for r in used.where((F.col("n") >= least) & (F.col("cores") >= 0.8 * least)).select("word").collect())
+
+
+def take_apart(names: DataFrame, more_lines: frozenset[str] = frozenset()) -> DataFrame:
     """Adds the parts to spellings in column ``name``; spellings of no employer are left out.
 
     ``core`` is the proper part without blanks, ``turned`` the same with its words turned round.
@@ -235,7 +267,7 @@ def take_apart(names: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for name in batch.column(0).to_pylist():
-                got = parts_of(name)
+                got = parts_of(name, more_lines)
                 if got:
                     words = got[0].split()
                     rows.append((name, "".join(words), "".join(words[::-1]), got[1], got[2], _grams(words), _letters("".join(words))))
@@ -341,6 +373,36 @@ def _may_be_near() -> Column:
     return near(F.col("x.core"), F.col("y.core")) | near(F.col("x.core"), F.col("y.turned")) | near(F.col("x.turned"), F.col("y.core"))
 
 
+def _in_blocks(entries: DataFrame, keys: list[str], spread: bool) -> DataFrame:
+    """Index entries with the places (``lo, hi``) where they meet others of their list, and their own block.
+
+    A list of LIST_ROWS entries or less has one place.  A longer one is cut into blocks by id; with
+    ``spread`` each two blocks have a place, else each block has one.
+    """
+    long = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LIST_ROWS)
+    counted = entries.join(long, keys, "left").withColumn("_b", F.coalesce(F.ceil(F.col("_n") / LIST_ROWS), F.lit(1)).cast("int"))
+    own = counted.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("_b")).cast("int"))
+    if not spread:
+        return own.withColumn("lo", F.col("own")).drop("_n")
+    met = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    return met.withColumns({"lo": F.least("own", "_other"), "hi": F.greatest("own", "_other")}).drop("_n", "_b", "_other")
+
+
+def _meeting(slim: DataFrame, likely: Column) -> tuple[DataFrame, DataFrame]:
+    """Pairs of entries ``x, y``: of one line, and with ``x`` stating none."""
+    spread = cut_lineage(_in_blocks(slim, ["gram", "line"], spread=True))
+    place = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("gram", "line", "lo", "hi")]
+    # of two entries that meet in several places, the one of their own blocks counts
+    theirs = (F.least("x.own", "y.own") == F.col("x.lo")) & (F.greatest("x.own", "y.own") == F.col("x.hi"))
+    same = spread.alias("x").join(spread.alias("y"), place[0] & place[1] & place[2] & place[3] & theirs & (F.col("x.id") < F.col("y.id")) & likely)
+    # nodes that state no line go to every block of those that do
+    lined = _in_blocks(slim.where("line <> ''"), ["gram"], spread=False)
+    blocks = lined.groupBy("gram").agg(F.max("_b").alias("_b"))
+    silent = slim.where("line = ''").join(blocks, "gram").withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).drop("_b")
+    other = silent.alias("x").join(lined.drop("_b").alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.lo") == F.col("y.lo")) & likely)
+    return same, other
+
+
 def partners(nodes: DataFrame) -> DataFrame:
     """``a, b, sim, edits``: nodes whose cores are alike and whose first names agree, a < b, of one
     line or with one of them stating none."""
@@ -354,44 +416,41 @@ def partners(nodes: DataFrame) -> DataFrame:
         | ((F.length("x.first") == 1) & F.col("y.first").startswith(F.col("x.first")))
         | ((F.length("y.first") == 1) & F.col("x.first").startswith(F.col("y.first")))
     )
-    # bounds that cost next to nothing come first
+    # bounds of the exact check that cost next to nothing come first
     near = (F.bit_count(F.col("x.letters").bitwiseXOR(F.col("y.letters"))) <= 2 * EDITS) & (
         F.abs(F.length("x.core") - F.length("y.core")) <= EDITS
     )
     # in this order: the edit distance is worked out for what all cheaper bounds let pass
-    likely = near & agree & _may_be_near()
-    same_line = slim.alias("x").join(
-        slim.alias("y"),
-        (F.col("x.gram") == F.col("y.gram")) & (F.col("x.line") == F.col("y.line")) & (F.col("x.id") < F.col("y.id")) & likely,
-    )
-    # nodes that state no line are matched with those that do
-    one_silent = slim.where("line = ''").alias("x").join(
-        slim.where("line <> ''").alias("y"), (F.col("x.gram") == F.col("y.gram")) & likely
-    )
+    same, other = _meeting(slim, near & agree & _may_be_near())
     columns = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("id", "core", "turned")]
-    pairs = (
-        same_line.select(*columns)
-        .unionByName(one_silent.select(*columns))
-        .dropDuplicates(["x_id", "y_id"])
-    )
-    found = (
-        pairs.withColumn("edits", _errors("x_core", "x_turned", "y_core", "y_turned"))
-        .where((F.col("edits") <= EDITS) & ((F.length("x_core") >= 7) | (F.col("edits") <= 1)))
-        .select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), "edits")
-    )
+    pairs = cut_lineage(same.select(*columns).unionByName(other.select(*columns)).dropDuplicates(["x_id", "y_id"]))
     # the map is made once for each node, ahead of the join
     mapped = F.map_from_arrays(F.transform("v", lambda x: x.gram), F.transform("v", lambda x: x.w))
     scored = (
-        found.join(vectors.select(F.col("id").alias("a"), mapped.alias("ma")), "a")
-        .join(vectors.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+        pairs.join(vectors.select(F.col("id").alias("x_id"), mapped.alias("ma")), "x_id")
+        .join(vectors.select(F.col("id").alias("y_id"), F.col("v").alias("vb")), "y_id")
         .withColumn("sim", _cosine(F.col("ma"), F.col("vb")))
+        .where(F.col("sim") >= COSINE)
+        .drop("ma", "vb")
     )
-    return scored.where(F.col("sim") >= COSINE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim", "edits")
+    found = (
+        best_partners(scored)
+        .withColumn("edits", _errors("x_core", "x_turned", "y_core", "y_turned"))
+        .where((F.col("edits") <= EDITS) & ((F.length("x_core") >= 7) | (F.col("edits") <= 1)))
+    )
+    return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), "sim", "edits")
 
 
-def average_linkage(weights: DataFrame, edges: DataFrame, link: float = LINK, rounds: int = 50) -> DataFrame:
+def best_partners(scored: DataFrame) -> DataFrame:
+    """Pairs (``x_id, y_id, sim``) that are among the TOP of either node, or above SURE."""
+    rank = lambda side, other: F.row_number().over(Window.partitionBy(side).orderBy(F.col("sim").desc(), other))
+    ranked = scored.withColumn("_x", rank("x_id", "y_id")).withColumn("_y", rank("y_id", "x_id"))
+    return ranked.where((F.col("_x") <= TOP) | (F.col("_y") <= TOP) | (F.col("sim") >= SURE)).drop("_x", "_y")
+
+
+def average_linkage(weights: DataFrame, edges: DataFrame, link: float = LINK) -> DataFrame:
     """``id, group``: groups of nodes by weighted average linkage.  ``weights`` has ``id, weight``,
-    ``edges`` ``a, b, sim``."""
+    ``edges`` ``a, b, sim``.  Every round but the last takes at least one group away, so they end."""
     assigned = cut_lineage(weights.select("id", F.col("id").alias("group"), F.col("weight").cast("double")))
     links = cut_lineage(
         edges.join(assigned.select(F.col("id").alias("a"), F.col("weight").alias("wa")), "a")
@@ -401,7 +460,7 @@ def average_linkage(weights: DataFrame, edges: DataFrame, link: float = LINK, ro
     # only nodes with an edge can ever move
     moving = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
     live = cut_lineage(assigned.join(moving, "id", "left_semi"))
-    for _ in range(rounds):
+    while True:
         mass = live.groupBy("group").agg(F.sum("weight").alias("w"))
         means = (
             links.join(mass.select(F.col("group").alias("a"), F.col("w").alias("wa")), "a")
@@ -439,7 +498,7 @@ def link_names(names: DataFrame) -> DataFrame:
     ``names`` has a column ``name``, one row for each occurrence.
     """
     counted = names.where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    parts = take_apart(counted).withColumn("id", _node_id())
+    parts = take_apart(counted, learnt_lines(counted)).withColumn("id", _node_id())
     spelled = cut_lineage(parts.join(counted, "name"))
     nodes = cut_lineage(
         spelled.groupBy("id").agg(
@@ -479,13 +538,15 @@ def link_names(names: DataFrame) -> DataFrame:
 
 
 def name_pairs(linked: DataFrame) -> DataFrame:
-    """``name_a, name_b``: each two spellings of one employer, the smaller by code point first."""
-    several = linked.groupBy("employer").agg(F.count("name").alias("n")).where("n > 1").select("employer")
-    rows = linked.join(several, "employer", "left_semi")
+    """``name_a, name_b``: each two spellings of one employer, the smaller by code point first.  The
+    spellings of an employer that has very many are spread over several places on one side."""
+    sizes = linked.groupBy("employer").agg(F.count("name").alias("n")).where("n > 1")
+    rows = linked.join(sizes, "employer").withColumn("_b", F.ceil(F.col("n") / LIST_ROWS).cast("int"))
+    left = rows.withColumn("_p", F.pmod(F.xxhash64("name"), F.col("_b")).cast("int"))
+    right = rows.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     return (
-        rows.alias("x")
-        .join(rows.alias("y"), "employer")
+        left.alias("x")
+        .join(right.alias("y"), ["employer", "_p"])
         .where("x.name < y.name")
         .select(F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b"))
     )
-

@@ -70,10 +70,68 @@ def test_a_frequent_gram_of_much_weight_is_indexed_alone(spark):
 def test_the_index_loses_no_pair_when_grams_are_frequent(spark, monkeypatch):
     rnd = random.Random(5)
     cores = {"".join(rnd.choice("ab") if rnd.random() < 0.8 else rnd.choice("cd") for _ in range(rnd.randrange(3, 13))) for _ in range(250)}
-    rows = [(k, c, c, "", "", sorted(names._grams([c])), names._letters(c)) for k, c in enumerate(sorted(cores))]
+    rows = [(k, c, c, "", "", names._grams([c]), names._letters(c)) for k, c in enumerate(sorted(cores))]
     nodes = spark.createDataFrame(rows, "id bigint, core string, turned string, line string, first string, grams array<string>, letters bigint")
     got = {}
     for common in (10**9, 3):
         monkeypatch.setattr(names, "COMMON_NODES", common)
         got[common] = {(r.a, r.b) for r in names.partners(nodes).collect()}
     assert got[3] == got[10**9] and len(got[3]) > 100
+
+
+def _nodes(spark, cores, lines=("",)):
+    rows = [(k, c, c, lines[k % len(lines)], "", names._grams([c]), names._letters(c)) for k, c in enumerate(cores)]
+    return spark.createDataFrame(rows, "id bigint, core string, turned string, line string, first string, grams array<string>, letters bigint")
+
+
+def _cores(seed, count):
+    rnd = random.Random(seed)
+    cores = set()
+    while len(cores) < count:
+        core = "".join(rnd.choice(["ral", "tum", "vek", "lor", "sin", "pad"]) for _ in range(3))
+        at = rnd.randrange(len(core))
+        cores |= {core, core[:at] + rnd.choice("xyz") + core[at + 1 :]}
+    return sorted(cores)
+
+
+def test_long_lists_are_cut_into_blocks_without_losing_a_pair(spark, monkeypatch):
+    nodes = _nodes(spark, _cores(3, 220), ("", "foods", "legal"))
+    got = {}
+    for most in (10**6, 7):
+        monkeypatch.setattr(names, "LIST_ROWS", most)
+        got[most] = sorted((r.a, r.b, round(r.sim, 9)) for r in names.partners(nodes).collect())
+    assert got[7] == got[10**6] and len(got[7]) > 100
+    linked = spark.createDataFrame([(f"n{k}", k // 40) for k in range(100)], "name string, employer int")
+    pairs = [(r.name_a, r.name_b) for r in names.name_pairs(linked).collect()]
+    assert len(pairs) == len(set(pairs)) == 2 * 40 * 39 // 2 + 20 * 19 // 2
+
+
+def test_threshold_and_linkage_decide(spark, monkeypatch):
+    nodes = _nodes(spark, _cores(4, 160))
+    base = names.partners(nodes)
+    pairs = {(r.a, r.b) for r in base.collect()}
+    monkeypatch.setattr(names, "COSINE", 0.0)
+    more = {(r.a, r.b) for r in names.partners(nodes).collect()}
+    assert pairs < more
+    # far spellings are held together by near ones; without the mean, chains join what the linkage keeps apart
+    weights = nodes.selectExpr("id", "1L as weight")
+    grouped = lambda link: len({r.group for r in names.average_linkage(weights, base, link=link).collect()})
+    assert grouped(0.0) < grouped(names.LINK) < grouped(0.9)
+
+
+def test_top_partners_and_all_sure_ones_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(names, "TOP", 2)
+    rows = [(0, k, 0.3 + k / 100) for k in range(1, 15)] + [(k, 0, 0.9) for k in range(20, 30)] + [(k, 50 + k, 0.26) for k in range(1, 5)]
+    got = {(r.x_id, r.y_id) for r in names.best_partners(spark.createDataFrame(rows, "x_id bigint, y_id bigint, sim double")).collect()}
+    assert {(k, 0) for k in range(20, 30)} <= got and {(0, 14), (0, 13)} <= got and {(k, 50 + k) for k in range(1, 5)} <= got
+
+
+def test_lines_of_business_are_learnt_from_their_use(spark, monkeypatch):
+    monkeypatch.setattr(names, "LINE_NODES", 10)
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(4))
+    made = [f"{word().title()} {line}" for _ in range(30) for line in ("Plumbing", "Bakery")]
+    counted = spark.createDataFrame([(n,) for n in made + ["Kelbro Plumbing", "Kelbro Bakery", "Kelbro"]], "name string")
+    assert names.learnt_lines(counted) == {"plumbing", "bakery"}
+    linked = _linked(spark, made + ["Kelbro Plumbing", "KELBRO PLUMBING Ltd", "Kelbro Bakery", "Kelbro"])
+    assert linked["Kelbro Plumbing"] == linked["KELBRO PLUMBING Ltd"] != linked["Kelbro Bakery"] and len({linked[n] for n in ("Kelbro", "Kelbro Plumbing", "Kelbro Bakery")}) == 3
