@@ -125,36 +125,30 @@ def mix(
     plan_df = spark.createDataFrame(
         plan, "source string, named string, target_share double, max_repeats int, available long, budget double, epochs int, rest double"
     )
-    rests = F.broadcast(plan_df.select("source", "epochs", "rest"))
-    rows = sized.join(rests, "source")
-    coarse = _runs_out(rows, F.floor(F.col("at") * BUCKETS), F.lit(0))
-    located = rows.join(F.broadcast(coarse), "source").withColumn("b", F.floor(F.col("at") * BUCKETS))
-    inside = located.where("b = edge").withColumn("fine", F.floor((F.col("at") * BUCKETS - F.col("b")) * BUCKETS))
-    finer = _runs_out(inside, F.col("fine"), F.col("before")).select(
-        "source", F.col("edge").alias("fine_edge"), F.col("before").alias("fine_before")
-    )
-    edge = inside.join(F.broadcast(finer), "source")
+    # a row for each source of the mix, here and below
+    rests = F.broadcast(plan_df.select("source", F.col("named"), "epochs", "rest"))
+    rows = sized.join(rests, "source").withColumn("b", F.floor(F.col("at") * BUCKETS)).withColumn("fine", F.floor((F.col("at") * BUCKETS - F.col("b")) * BUCKETS))
+    coarse = _runs_out(rows, "b", F.lit(0))
+    inside = rows.join(F.broadcast(coarse), "source").where("b = edge")
+    finer = _runs_out(inside, "fine", F.col("before")).select("source", F.col("edge").alias("fine_edge"), F.col("before").alias("fine_before"))
+    edges = F.broadcast(cut_lineage(coarse.select("source", "edge").join(F.broadcast(finer), "source", "left")))
+    # one pass: what lies ahead of the edge is in, what lies behind is out; only the rows of the edge itself,
+    # a part in 16 million of a source, are summed up in order
+    placed = rows.join(edges, "source")
+    on_edge = (F.col("b") == F.col("edge")) & (F.col("fine") == F.col("fine_edge"))
+    ahead = (F.col("b") < F.col("edge")) | ((F.col("b") == F.col("edge")) & (F.col("fine") < F.col("fine_edge")))
     order = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    on_edge = edge.where("fine = fine_edge").withColumn("sum", F.col("fine_before") + F.sum("tokens").over(order))
-    columns = ["doc_id", "source", "tokens", "epochs"]
-    extra = (
-        located.where("b < edge").select(*columns, F.lit(1).alias("more"))
-        .unionByName(located.where("b > edge").select(*columns, F.lit(0).alias("more")))
-        .unionByName(edge.where("fine <> fine_edge").select(*columns, (F.col("fine") < F.col("fine_edge")).cast("int").alias("more")))
-        .unionByName(on_edge.select(*columns, (F.col("sum") <= F.col("rest")).cast("int").alias("more")))
-    )
-    chosen = extra.select(
-        "doc_id", F.col("source").alias("label"), "tokens", (F.col("epochs") + F.col("more")).alias("copies")
-    ).where("copies > 0")
-    chosen = chosen.join(F.broadcast(plan_df.select(F.col("source").alias("label"), F.col("named").alias("source"))), "label")
-    chosen = chosen.select("doc_id", "source", "tokens", "copies")
+    last = placed.where(on_edge).withColumn("more", (F.col("fine_before") + F.sum("tokens").over(order) <= F.col("rest")).cast("int"))
+    others = placed.where(~F.coalesce(on_edge, F.lit(False))).withColumn("more", F.coalesce(ahead, F.lit(False)).cast("int"))
+    columns = ["doc_id", F.col("named").alias("source"), "tokens", (F.col("epochs") + F.col("more")).alias("copies")]
+    chosen = others.select(*columns).unionByName(last.select(*columns)).where("copies > 0")
     return chosen, _report(chosen, plan_df)
 
 
-def _runs_out(rows: DataFrame, bucket: Column, before: Column) -> DataFrame:
+def _runs_out(rows: DataFrame, bucket: str, before: Column) -> DataFrame:
     """``source, edge, before``: for each source the bucket in which its rest runs out, and the
     tokens ahead of it.  A row for each source and bucket at most takes part in the window."""
-    sums = rows.withColumn("_b", bucket).groupBy("source", "_b").agg(
+    sums = rows.withColumn("_b", F.col(bucket)).groupBy("source", "_b").agg(
         F.sum("tokens").alias("n"), F.first("rest").alias("rest"), F.first(before).alias("start")
     )
     order = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
