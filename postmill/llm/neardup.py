@@ -5,8 +5,9 @@ their sets reaches the threshold.
 
 1.  Copies.  Records with the same set form a class; one representative each goes on.
 2.  Order.  Runs are ordered by how many records hold them, rare ones first.  The counts fill a
-    table of fixed size (2**COUNT_BITS cells), whatever the corpus; colliding runs share a cell,
-    which moves a run in the order but never loses a link, as any total order is valid.
+    table that grows with the corpus, from 2**COUNT_BITS cells to 2**MOST_BITS; what is sent of it is a
+    byte for each cell, exact for small counts.  Colliding runs share a cell, which moves a run in
+    the order but never loses a link, as any total order is valid.
 3.  Index, split by run.  A linked pair shares a run within the first ``|x| - alpha + 1`` runs of
     both, alpha being the overlap that the threshold asks for.  Each record sends those runs, with
     their position, the size of the set and a parity sketch of the whole set, to the part of the
@@ -41,7 +42,9 @@ from pyspark.sql import functions as F
 from postmill.llm.words import run_sets as text_sets
 from postmill.session import cut_lineage
 
-COUNT_BITS = 22
+COUNT_BITS, MOST_BITS = 22, 25
+CELL_RUNS = 8  # runs for each cell, about, as long as the table may grow
+RECORD_RUNS = 170  # runs of a record, about
 LIST_ROWS = 4_096
 INDEX_RECORDS = 50_000  # records for each part of the index
 MIN_PARTS = 8
@@ -59,11 +62,32 @@ def _records(df: DataFrame, key: str, text: Column) -> DataFrame:
 # -- order -----------------------------------------------------------------------------------------
 
 
-def _cells(runs: np.ndarray) -> np.ndarray:
-    return (runs >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+def count_bits(records: int) -> int:
+    """Bits of the table of counts for so many records."""
+    wanted = int(np.ceil(np.log2(max(1, records) * RECORD_RUNS / CELL_RUNS)))
+    return min(MOST_BITS, max(COUNT_BITS, wanted))
 
 
-def _survey(records: DataFrame, length: int) -> DataFrame:
+def _cells(runs: np.ndarray, bits: int) -> np.ndarray:
+    return (runs >> np.uint64(64 - bits)).astype(np.int64)
+
+
+_EXACT, _STEPS = 100, 6  # counts that are exact in a byte, and steps for each doubling beyond
+
+
+def to_byte(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes, in the same order: exact up to _EXACT, then by steps."""
+    beyond = _EXACT + np.floor(_STEPS * np.log2(np.maximum(counts, _EXACT) / _EXACT))
+    return np.where(counts < _EXACT, counts, np.minimum(beyond, 255)).astype(np.uint8)
+
+
+def from_byte(codes: np.ndarray) -> np.ndarray:
+    """The largest count that a byte stands for."""
+    c = codes.astype(np.int64)
+    return np.where(c < _EXACT, c, np.ceil(_EXACT * 2.0 ** ((c - _EXACT + 1) / _STEPS)).astype(np.int64))
+
+
+def _survey(records: DataFrame, length: int, bits: int) -> DataFrame:
     """One pass over the texts: ``kind, page, body``.
 
     Kind 0 packs ids and fingerprints of records with a set; kind 1 has the counts of a page of
@@ -71,14 +95,14 @@ def _survey(records: DataFrame, length: int) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        total = np.zeros(1 << bits, dtype=np.int32)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             prints = np.zeros(len(ids), dtype=_PRINT)
             count = 0
             for ident, runs in zip(ids, text_sets(texts, length)):
                 if len(runs):
-                    total[_cells(runs)] += 1
+                    total[_cells(runs, bits)] += 1
                     prints[count] = (ident, *_fingerprint(runs))
                     count += 1
             yield _rows([0], [0], [prints[:count].tobytes()])
@@ -113,8 +137,8 @@ def _fingerprint(runs: np.ndarray) -> tuple[int, int, int]:
     return first, second, len(runs)
 
 
-def run_counts(survey: DataFrame) -> np.ndarray:
-    """How many records hold a run of each cell; a table of fixed size."""
+def run_counts(survey: DataFrame, bits: int) -> np.ndarray:
+    """How many records hold a run of each cell, as bytes; 2**MOST_BITS of them at most."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page, cells = None, np.zeros(1024, dtype=np.int64)
@@ -130,15 +154,15 @@ def run_counts(survey: DataFrame) -> np.ndarray:
             yield _page(page, cells)
 
     pages = survey.where("kind = 1").select("page", "body").repartition("page").sortWithinPartitions("page")
-    out = np.zeros(1 << COUNT_BITS, dtype=np.int32)
-    # 2**COUNT_BITS / 1024 rows at most
+    out = np.zeros(1 << bits, dtype=np.uint8)
+    # 2**MOST_BITS / 1024 rows at most
     for row in pages.mapInArrow(add, "page long, body binary").toLocalIterator():
-        out[row.page * 1024 : (row.page + 1) * 1024] = np.frombuffer(row.body, dtype="<i4")
+        out[row.page * 1024 : (row.page + 1) * 1024] = np.frombuffer(row.body, dtype="u1")
     return out
 
 
 def _page(page: int, cells: np.ndarray) -> pa.RecordBatch:
-    body = np.minimum(cells, 2_000_000_000).astype("<i4").tobytes()
+    body = to_byte(cells).tobytes()
     return pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([body], pa.binary())], ["page", "body"])
 
 
@@ -183,7 +207,7 @@ def _index_entries(records: DataFrame, counts, length: int, threshold: float, pa
     """``part, entries, head, sketches``: packed index entries of many records, by part of the index."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
+        table, bits = counts.value, int(np.log2(len(counts.value)))
         for batch in (b.slice(k, MAX_ROWS) for b in batches for k in range(0, b.num_rows, MAX_ROWS)):
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             runs_, rows_, pos_, n_ = [], [], [], []
@@ -191,7 +215,7 @@ def _index_entries(records: DataFrame, counts, length: int, threshold: float, pa
             for row, runs in enumerate(text_sets(texts, length)):
                 sizes[row] = size = len(runs)
                 sketches.append(parity_sketch(runs))
-                held = table[_cells(runs)]
+                held = table[_cells(runs, bits)]
                 # the shortest partner asks for the least overlap
                 reach = size - int(np.ceil(threshold * size - 1e-9)) + 1
                 order = np.lexsort((runs, held))[:reach]
@@ -203,6 +227,7 @@ def _index_entries(records: DataFrame, counts, length: int, threshold: float, pa
             if not runs_:
                 continue
             runs, rows, pos, n = (np.concatenate(x) for x in (runs_, rows_, pos_, n_))
+            n = from_byte(n)
             words = np.array([len(s) for s in sketches])
             offset = np.concatenate([[0], np.cumsum(words)])
             flat = np.concatenate(sketches)
@@ -428,7 +453,8 @@ def link_classes(
     """
     spark = df.sparkSession
     records = _records(df, key, text)
-    survey = cut_lineage(_survey(records, length))
+    bits = count_bits(records.count())
+    survey = cut_lineage(_survey(records, length, bits))
     prints = _prints(survey)
     heads = prints.groupBy("p1", "p2", "size").agg(F.min("id").alias("class_id"), F.count("id").alias("n"))
     # most classes have one member, and need no join
@@ -439,7 +465,7 @@ def link_classes(
     copies = members.where("id <> class_id").select("id")
     total, copied = members.agg(F.count("id"), F.count_if(F.col("id") != F.col("class_id"))).first()
     representatives = records.join(_sized(copies, copied), "id", "left_anti") if copied else records
-    counts = spark.sparkContext.broadcast(run_counts(survey))
+    counts = spark.sparkContext.broadcast(run_counts(survey, bits))
     parts = max(MIN_PARTS, -(-total // INDEX_RECORDS))
     index = _index_entries(representatives, counts, length, threshold, parts)
     placed = index.repartition(parts, F.col("part")).sortWithinPartitions("part")
@@ -471,17 +497,28 @@ def _verified(pairs: DataFrame, records: DataFrame, length: int, threshold: floa
     return joined.mapInArrow(check, "a long, b long, overlap long, size_a long, size_b long").distinct()
 
 
+PLACE_ROWS = 1_000  # members of a class that are paired in one place
+
+
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """``a, b``: every linked pair of records, a < b, the answers of a class's members derived from
-    those of its representative; copies are linked to one another."""
-    several = members.groupBy("class_id").agg(F.count("id").alias("n")).where("n > 1").select("class_id")
-    grouped = members.join(several, "class_id", "left_semi")
-    within = grouped.alias("x").join(grouped.alias("y"), "class_id").where("x.id < y.id").select(
+    those of its representative; copies are linked to one another.
+
+    On one side the members of a class are spread over as many places as its size asks for, on the other
+    they go to each of them, so no task pairs a whole class of very many copies.
+    """
+    sizes = members.groupBy("class_id").agg(F.ceil(F.count("id") / PLACE_ROWS).cast("int").alias("places"), F.count("id").alias("n"))
+    sized = members.join(sizes, "class_id")
+    spread = sized.withColumn("place", F.pmod(F.xxhash64("id"), F.col("places")).cast("int"))
+    everywhere = sized.where("n > 1").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1)))
+    within = spread.where("n > 1").alias("x").join(everywhere.alias("y"), ["class_id", "place"]).where("x.id < y.id").select(
         F.col("x.id").alias("a"), F.col("y.id").alias("b")
     )
+    # a link meets the members of its one class in their places, and then all of the other
+    ends = links.select(F.col("a").alias("ca"), F.col("b").alias("cb"))
+    placed = ends.join(sizes.select(F.col("class_id").alias("ca"), "places"), "ca").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1)))
     across = (
-        links.select(F.col("a").alias("ca"), F.col("b").alias("cb"))
-        .join(members.select(F.col("class_id").alias("ca"), F.col("id").alias("ia")), "ca")
+        placed.join(spread.select(F.col("class_id").alias("ca"), "place", F.col("id").alias("ia")), ["ca", "place"])
         .join(members.select(F.col("class_id").alias("cb"), F.col("id").alias("ib")), "cb")
         .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
     )

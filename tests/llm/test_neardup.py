@@ -110,3 +110,24 @@ def test_words_and_runs_match_the_plain_definition():
     assert len(set(known.values())) == len(known)
     for own, h in zip(run_sets(texts, 2), hashed):
         assert own.tolist() == sorted(set(run_hashes(h, 2).tolist()))
+
+
+def test_counts_as_bytes_keep_their_order():
+    counts = np.unique(np.concatenate([np.arange(2000), (1.3 ** np.arange(90)).astype(np.int64)]))
+    codes = neardup.to_byte(counts)
+    assert (np.diff(codes.astype(int)) >= 0).all() and (codes[:100] == counts[:100]).all()
+    known = counts <= 5_000_000_000
+    assert (neardup.from_byte(codes[known]) >= counts[known]).all() and (neardup.from_byte(codes[known]) <= counts[known] * 1.3 + 1).all()
+    assert neardup.count_bits(0) == neardup.count_bits(120_000) == neardup.COUNT_BITS < neardup.count_bits(600_000) and neardup.count_bits(10**12) == neardup.MOST_BITS
+
+
+def test_classes_of_many_copies_are_paired_in_places(spark, monkeypatch):
+    texts = ["a b c d e f g h i j k l m n o p"] * 30 + ["a b c d e f g h i j k l m n o q"] * 25 + ["x " * 9] * 2
+    got = {}
+    for rows in (1_000, 4):
+        monkeypatch.setattr(neardup, "PLACE_ROWS", rows)
+        members, links = _links(spark, [(k, t, None) for k, t in enumerate(texts)], 3, 0.6)
+        pairs = [(r.a, r.b) for r in neardup.all_pairs(members, links).collect()]
+        assert len(pairs) == len(set(pairs))
+        got[rows] = set(pairs)
+    assert got[4] == got[1_000] == {(a, b) for a in range(55) for b in range(a + 1, 55)} | {(55, 56)}
