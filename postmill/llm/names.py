@@ -7,9 +7,9 @@
     the corpus shows: words that stand beside very many different cores.
 2.  The words of a core become a vector of character n-grams of two lengths, weighted by tf-idf over all
     nodes, whatever the order of the words.  A sparse cosine join finds partners over an index of
-    n-grams, in which frequent ones count by twos, and alone only where their weight could lift a
-    pair to the threshold.  Nodes with different lines of business never meet, as the line is
-    part of the index key; nodes without one meet all.
+    n-grams, rare ones first: the most frequent n-grams of a node, as far as they can't lift a pair to
+    the threshold by themselves, aren't indexed, and no pair is lost by that.  Nodes with different
+    lines of business never meet, as the line is part of the index key; nodes without one meet all.
 3.  Pairs below COSINE are dropped; of the others each node keeps its TOP best, and whatever is above
     SURE, so no list of partners that matters to the linkage is cut.  An exact check follows: the edit
     distance, which typing errors keep small and another name doesn't.
@@ -52,10 +52,6 @@ LINK = 0.2  # mean similarity at which groups join
 LINE_SHARE = 0.005
 LINE_NODES = 40
 LIST_ROWS = 1_000  # entries of an index list that are joined in one place
-#: An n-gram in this share of the nodes (and in so many at least) is frequent: names are built of
-#: few syllables.
-COMMON_SHARE = 0.02
-COMMON_NODES = 50
 EDITS = 2  # typing errors in a core; a swap of neighbours is one
 
 # Words around a name.
@@ -286,47 +282,28 @@ def _node_id() -> Column:
 
 
 def node_vectors(nodes: DataFrame) -> DataFrame:
-    """``id, v``: the unit vector of each node, as an array of n-gram, weight and whether it's frequent."""
+    """``id, v``: the unit vector of each node, as an array of n-gram and weight, rare n-grams first."""
     grams = nodes.select("id", F.explode("grams").alias("gram"))
     total = nodes.count()
     held = grams.groupBy("gram").agg(F.count("id").alias("df"))
     # n-grams of letters: their number is bounded by the alphabet, not by the data; checked all the same
     held = F.broadcast(held) if held.count() <= 2_000_000 else held
-    weighted = grams.join(held, "gram").withColumn("w", F.log(F.lit(1.0 + total) / F.col("df")) + 1.0).withColumn(
-        "frequent", F.col("df") >= max(COMMON_NODES, COMMON_SHARE * total)
-    )
-    packed = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("w", "gram", "frequent")), asc=False).alias("v"))
+    weighted = grams.join(held, "gram").withColumn("w", F.log(F.lit(1.0 + total) / F.col("df")) + 1.0)
+    packed = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("w", "gram")), asc=False).alias("v"))
     normed = packed.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.w * x.w)))
-    return normed.select(
-        "id",
-        F.transform("v", lambda x: F.struct(x.gram.alias("gram"), (x.w / F.col("norm")).alias("w"), x.frequent.alias("frequent"))).alias("v"),
-    )
+    return normed.select("id", F.transform("v", lambda x: F.struct(x.gram.alias("gram"), (x.w / F.col("norm")).alias("w"))).alias("v"))
 
 
 def _index(vectors: DataFrame) -> DataFrame:
-    """The keys by which vectors (``id, v, core``) meet: each n-gram that isn't frequent, each two
-    frequent ones, and a frequent one alone where it could lift a pair to COSINE.
+    """The n-grams under which vectors (``id, v``) are found, a row for each.
 
-    A pair that shares one frequent n-gram and nothing else has the product of its two weights.  The
-    other weight is that of a core whose length differs by EDITS at most, so the greatest one among
-    those bounds the product; both of a pair that reaches COSINE pass their bound.
+    All vectors have their n-grams in one order.  Of a pair take the first n-gram that both have: were it
+    among those from which on the rest of one vector is shorter than COSINE, all that the two share would
+    lie in that rest, and their product would be below COSINE.  So that rest isn't indexed.
     """
-    often = F.array_sort(F.transform(F.filter("v", lambda x: x.frequent), lambda x: x.gram))
-    seldom = F.transform(F.filter("v", lambda x: ~x.frequent), lambda x: x.gram)
-    spread = vectors.select("*", often.alias("often"), seldom.alias("seldom"))
-    twos = F.flatten(
-        F.transform("often", lambda x, i: F.transform(F.slice("often", i + 2, F.size("often")), lambda y: F.concat(x, F.lit("|"), y)))
-    )
-    keyed = spread.withColumn("gram", F.explode(F.concat("seldom", twos))).select(*vectors.columns, "gram")
-    n = F.length("core")
-    entries = vectors.select("*", n.alias("_n"), F.explode(F.filter("v", lambda x: x.frequent)).alias("_x"))
-    greatest = entries.groupBy(F.col("_x.gram").alias("gram"), "_n").agg(F.max("_x.w").alias("w"))
-    near = greatest.select("gram", F.explode(F.sequence(F.col("_n") - EDITS, F.col("_n") + EDITS)).alias("_n"), "w")
-    bound = near.groupBy("gram", "_n").agg(F.max("w").alias("_most"))
-    # frequent n-grams by length: bounded by COMMON_SHARE, not by the data
-    alone = entries.withColumn("gram", F.col("_x.gram")).join(F.broadcast(bound), ["gram", "_n"])
-    alone = alone.where(F.col("_x.w") * F.col("_most") >= COSINE - 1e-9).select(*vectors.columns, "gram")
-    return keyed.unionByName(alone)
+    rest = lambda i: F.aggregate(F.slice("v", i + 1, F.size("v")), F.lit(0.0), lambda s, x: s + x.w * x.w)
+    kept = F.filter("v", lambda x, i: rest(i) >= COSINE * COSINE - 1e-9)
+    return vectors.withColumn("gram", F.explode(F.transform(kept, lambda x: x.gram)))
 
 
 def _cosine(weights: Column, other: Column) -> Column:
@@ -390,7 +367,7 @@ def _in_blocks(entries: DataFrame, keys: list[str], spread: bool) -> DataFrame:
 
 def _meeting(slim: DataFrame, likely: Column) -> tuple[DataFrame, DataFrame]:
     """Pairs of entries ``x, y``: of one line, and with ``x`` stating none."""
-    spread = cut_lineage(_in_blocks(slim, ["gram", "line"], spread=True))
+    spread = _in_blocks(slim, ["gram", "line"], spread=True)
     place = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("gram", "line", "lo", "hi")]
     # of two entries that meet in several places, the one of their own blocks counts
     theirs = (F.least("x.own", "y.own") == F.col("x.lo")) & (F.greatest("x.own", "y.own") == F.col("x.hi"))
