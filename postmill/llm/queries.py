@@ -99,8 +99,9 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of repeated runs of every document."""
     scored = repetition.score_repetition(table(spark, folder, "documents"))
-    return scored.withColumn("probability", F.round("probability", 6))
+    return scored.select("doc_id", "runs", "distinct_runs", F.round("repeated_share", 6).alias("repeated_share"))
 
 
 QUERIES = {
@@ -123,6 +124,16 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 ORACLES = {
+    "p5_found": f"""
+        with w as (select post_id, {_WORDS.format("coalesce(title, '') || ' ' || coalesce(company_name, '') || ' ' || description")} as w from job_posts where regexp_matches(description, '\\S')),
+        s as (select post_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) as s from w where len(w) >= 3),
+        e as (select post_id, len(s) as n, unnest(s) as run from s)
+        select x.post_id as post_a, y.post_id as post_b from e x join e y on x.run = y.run and x.post_id < y.post_id
+        group by x.post_id, y.post_id, x.n, y.n having count(*) >= 0.6 * (x.n + y.n - count(*))""",
+    "p9_shares": f"""
+        with w as (select doc_id, coalesce({_WORDS.format("text")}, []) as w from documents),
+        r as (select doc_id, list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4]) as runs from w)
+        select doc_id, len(runs) as runs, len(list_distinct(runs)) as distinct_runs, round(case when len(runs) > 0 then (len(runs) - len(list_distinct(runs))) / len(runs) else 0 end, 6) as repeated_share from r""",
     "p9_found": f"""
         with w as (select doc_id, {_WORDS.format("text")} as w from documents where text is not null),
         r as (select doc_id, list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4]) as runs
