@@ -189,8 +189,9 @@ def common_units(rows: DataFrame, rates: DataFrame) -> DataFrame:
     """``row_id, bound, usd_per_year, factor``: each known bound in whole USD per year, half
     rounded up; ``factor`` is the unit change that was reversed, 1 for none."""
     silent, spoken = (in_usd_per_year(part, rates) for part in stated_bounds(rows))
-    # evidence may leave the amounts to the columns: such bounds are checked as well
-    fixed = silent.unionByName(spoken.where("not backed")).join(unit_changes(silent), ["source", "bucket"], "left")
+    # evidence may leave the amounts to the columns: such bounds are part of the history, and are checked as well
+    unbacked = silent.unionByName(spoken.where("not backed"))
+    fixed = unbacked.join(unit_changes(unbacked), ["source", "bucket"], "left")
     checked = fixed.withColumn("factor", F.coalesce("factor", F.lit(1.0)))
     every = checked.unionByName(spoken.where("backed").withColumn("factor", F.lit(1.0)))
     usd = F.when(F.col("factor") == 1.0, F.round("usd", 0).cast("bigint")).otherwise(

@@ -16,8 +16,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_unit_changes(spark: SparkSession, folder: str) -> DataFrame:
     """The changes of unit in the sources' histories that p2_found reverses."""
-    silent, _ = units.stated_bounds(table(spark, folder, "job_rows"))
-    return units.unit_changes(units.in_usd_per_year(silent, table(spark, folder, "currency_rates")))
+    silent, spoken = units.stated_bounds(table(spark, folder, "job_rows"))
+    return units.unit_changes(units.in_usd_per_year(silent.unionByName(spoken), table(spark, folder, "currency_rates")))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -76,6 +76,19 @@ def test_a_shifted_stretch_of_a_source_is_reversed(spark):
         assert abs(got[(row_id, "min")] - want) <= 1
 
 
+def test_bounds_that_evidence_leaves_to_the_columns_are_part_of_the_history(spark):
+    rnd, rows = random.Random(2), []
+    for day in range(60):
+        for _ in range(20):
+            amount = round(rnd.lognormvariate(10.8, 0.4), 2) * (100 if 20 <= day < 35 else 1)
+            rows.append((len(rows), "s", "yearly", "USD", amount, None, "Pay as agreed, per year", datetime.datetime(2025, 1, 1) + datetime.timedelta(days=day)))
+    got = _usd(spark, rows)
+    assert len(got) == len(rows)
+    for row_id, _, _, _, amount, _, _, at in rows:
+        off = 100 if 20 <= (at - datetime.datetime(2025, 1, 1)).days < 35 else 1
+        assert abs(got[(row_id, "min")] - int(amount / off + 0.5)) <= 1
+
+
 @pytest.mark.parametrize("off", [40, 8, 5, 52 / 12, 260 / 12, 2080 / 12, 1e7, 1e4, 12, 52, 260, 2080, 100, 1e3, 1e5])
 def test_all_ratios_of_periods_and_scales_are_known(off):
     for shift in (off, 1 / off):
