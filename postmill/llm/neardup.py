@@ -45,8 +45,8 @@ from postmill.session import cut_lineage
 COUNT_BITS, MOST_BITS = 22, 25
 CELL_RUNS = 8  # runs for each cell, about, as long as the table may grow
 RECORD_RUNS = 170  # runs of a record, about
-LIST_ROWS = 4_096
-INDEX_RECORDS = 50_000  # records for each part of the index
+LIST_ROWS = 65_536
+INDEX_RECORDS = 20_000  # records for each part of the index
 MIN_PARTS = 8
 MAX_ROWS = 50_000  # records packed together; fits the row number of an entry
 BROADCAST_IDS = 1_000_000  # ids that may be broadcast; more are joined by shuffle
@@ -192,6 +192,26 @@ def parity_sketch(runs: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
+SKETCHED_BITS = 1 << 24  # bits of sketches that are made at a time
+
+
+def _sketches(runs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(words, flat)``: the parity sketches of many sets that lie one behind the other, and their lengths."""
+    bits = np.array([sketch_bits(k) for k in range(int(sizes.max()) + 1)])[sizes]
+    words = bits // 64
+    place = ((runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64)
+    first, end = np.cumsum(bits) - bits, np.cumsum(sizes)
+    out, begin = [], 0
+    while begin < len(sizes):
+        upto = max(begin + 1, int(np.searchsorted(first + bits, first[begin] + SKETCHED_BITS, "right")))
+        own = slice(end[begin] - sizes[begin], end[upto - 1])
+        width, start = (np.repeat(x[begin:upto], sizes[begin:upto]) for x in (bits, first - first[begin]))
+        odd = np.bincount((place[own] & (width - 1)) + start, minlength=int(bits[begin:upto].sum())).astype(np.uint8) & 1
+        out.append(np.packbits(odd, bitorder="little").view("<u8"))
+        begin = upto
+    return words, np.concatenate(out)
+
+
 def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
     """The sketch that the same set has with fewer bits."""
     while len(sketch) > words:
@@ -203,42 +223,44 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
 # -- index -----------------------------------------------------------------------------------------
 
 
-def _index_entries(records: DataFrame, counts, length: int, threshold: float, parts: int) -> DataFrame:
-    """``part, entries, head, sketches``: packed index entries of many records, by part of the index."""
+def _index_entries(records: DataFrame, counts, length: int, threshold: float, parts: int, share: float = 1.0) -> DataFrame:
+    """``part, entries, head, sketches``: packed index entries of many records, by part of the index.
+
+    ``share``: of the records that were counted, those that are indexed.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits = counts.value, int(np.log2(len(counts.value)))
         for batch in (b.slice(k, MAX_ROWS) for b in batches for k in range(0, b.num_rows, MAX_ROWS)):
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            runs_, rows_, pos_, n_ = [], [], [], []
-            sizes, sketches = np.zeros(len(ids), dtype=np.uint32), []
-            for row, runs in enumerate(text_sets(texts, length)):
-                sizes[row] = size = len(runs)
-                sketches.append(parity_sketch(runs))
-                held = table[_cells(runs, bits)]
-                # the shortest partner asks for the least overlap
-                reach = size - int(np.ceil(threshold * size - 1e-9)) + 1
-                order = np.lexsort((runs, held))[:reach]
-                live = held[order] > 1
-                runs_.append(runs[order][live])
-                pos_.append(np.flatnonzero(live))
-                n_.append(held[order][live])
-                rows_.append(np.full(int(live.sum()), row))
-            if not runs_:
+            sets = text_sets(texts, length)
+            sizes = np.array([len(r) for r in sets], dtype=np.int64)
+            if not sizes.sum():
                 continue
-            runs, rows, pos, n = (np.concatenate(x) for x in (runs_, rows_, pos_, n_))
-            n = from_byte(n)
-            words = np.array([len(s) for s in sketches])
+            runs, rows = np.concatenate(sets), np.repeat(np.arange(len(ids), dtype=np.uint16), sizes)
+            words, flat = _sketches(runs, sizes)
             offset = np.concatenate([[0], np.cumsum(words)])
-            flat = np.concatenate(sketches)
-            for part, chosen in _split(runs, n, ids[rows], parts):
+            held = table[_cells(runs, bits)]
+            # the runs of a set are sorted, and stay so where counts are the same
+            order = np.lexsort((held, rows))
+            pos = np.arange(len(runs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            # the shortest partner asks for the least overlap
+            reach = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+            live = np.flatnonzero((pos < np.repeat(reach, sizes)) & (held[order] > 1))
+            order, pos = order[live], pos[live]
+            runs, rows, n = runs[order], rows[order].astype(np.int64), from_byte(held[order]) * share
+            which, place = _places(runs, n, ids[rows], parts)
+            # the low half of a run: a chance match of halves makes a candidate, never a link
+            keys = np.where(place < parts, runs[which], _mixed(runs[which] ^ _mixed(place.astype(np.uint64)))) & np.uint64(0xFFFFFFFF)
+            for part, at in _by_part(place % parts):
+                chosen = which[at]
                 used, local = np.unique(rows[chosen], return_inverse=True)
                 entries = np.empty(len(chosen), dtype=_ENTRY)
-                # the low half of a run: a chance match of halves makes a candidate, never a link
-                entries["run"], entries["row"], entries["pos"] = runs[chosen] & np.uint64(0xFFFFFFFF), local, np.minimum(pos[chosen], 65_535)
+                entries["run"], entries["row"], entries["pos"] = keys[at], local, np.minimum(pos[chosen], 65_535)
                 head = np.empty(len(used), dtype=_HEAD)
                 head["id"], head["size"], head["words"] = ids[used], sizes[used], words[used]
-                body = np.concatenate([flat[offset[u] : offset[u + 1]] for u in used])
+                span = words[used]
+                body = flat[np.repeat(offset[used] - (np.cumsum(span) - span), span) + np.arange(span.sum())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part], pa.int64()), pa.array([entries.tobytes()], pa.binary()), pa.array([head.tobytes()], pa.binary()),
                      pa.array([body.tobytes()], pa.binary())],
@@ -248,30 +270,43 @@ def _index_entries(records: DataFrame, counts, length: int, threshold: float, pa
     return records.mapInArrow(build, "part long, entries binary, head binary, sketches binary")
 
 
-def _split(runs: np.ndarray, n: np.ndarray, ids: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Entries by the part of the index that owns their run.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _places(runs: np.ndarray, n: np.ndarray, ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(which, place)``: which entry goes to which place; the place of a whole list is the part that owns its run.
 
     A run held by more than LIST_ROWS records is cut into pieces by record; an entry goes to every
-    pair of pieces that its own piece is in, each pair being a part of its own.
+    pair of pieces that its own piece is in, each pair having a place of its own from ``parts`` on.
     """
     owner = ((runs >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
     hot = n > LIST_ROWS
-    cold = np.flatnonzero(~hot)
-    order = cold[np.argsort(owner[cold], kind="stable")]
-    cut = np.flatnonzero(np.diff(owner[order])) + 1
-    for chosen in np.split(order, cut):
-        if len(chosen):
-            yield int(owner[chosen[0]]), chosen
-    groups: dict[int, list[int]] = {}
-    for k in np.flatnonzero(hot):
-        pieces = -(-int(n[k]) // LIST_ROWS)
-        mine = (int(ids[k]) * 0x9E3779B97F4A7C15 >> 20) % pieces
-        for other in range(pieces):
-            a, b = min(mine, other), max(mine, other)
-            part = (int(runs[k]) * 31 + a * 1_000_003 + b * 7_919) % (1 << 61)
-            groups.setdefault(parts + part, []).append(k)
-    for part, chosen_list in groups.items():
-        yield part, np.array(chosen_list)
+    cold, hot = np.flatnonzero(~hot), np.flatnonzero(hot)
+    if not len(hot):
+        return cold, owner
+    pieces = np.ceil(n[hot] / LIST_ROWS).astype(np.int64)
+    mine = ((_mixed(ids[hot].astype(np.int64).view(np.uint64)) >> np.uint64(20)) % pieces.astype(np.uint64)).astype(np.int64)
+    which, mine = np.repeat(hot, pieces), np.repeat(mine, pieces)
+    other = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    pair = np.minimum(mine, other) << 20 | np.maximum(mine, other)
+    place = (_mixed(runs[which] ^ _mixed(pair.astype(np.uint64) + np.uint64(1))) >> np.uint64(3)).astype(np.int64)
+    return np.concatenate([cold, which]), np.concatenate([owner[cold], parts + place])
+
+
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(part, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(at):
+            yield int(part[at[0]]), at
+
+
+def _split(runs: np.ndarray, n: np.ndarray, ids: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Entries by place."""
+    which, place = _places(runs, n, ids, parts)
+    for k, at in _by_part(place):
+        yield k, which[at]
 
 
 BLOCK_PAIRS = 1_000_000  # pairs that are tested at a time
@@ -328,14 +363,50 @@ def candidate_pairs(runs, size, pos, ident, sketches, words, doc, threshold: flo
     key = group[strong] * span + size[strong]
     end = np.searchsorted(key, group[strong] * span + np.minimum(most[strong], span - 1), "right")
     own = np.arange(len(strong))
-    for which, other in _ranges(own + 1, end - own - 1):
-        yield from _tested(strong[which], strong[other], size, ident, sketches, words, doc, ratio)
     low = np.searchsorted(key, group[weak] * span, "left")
     high = np.searchsorted(key, group[weak] * span + np.minimum(most[weak], span - 1), "right")
-    for which, other in _ranges(low, high - low):
-        x, y = strong[other], weak[which]
-        fit = most[x] >= size[y]
-        yield from _tested(x[fit], y[fit], size, ident, sketches, words, doc, ratio)
+    for entry, first, last in ((strong, own + 1, end), (weak, low, high)):
+        tests = last - first
+        long = np.bincount(group[entry], tests)[group[entry]] >= LONG_TESTS if len(entry) else np.empty(0, dtype=bool)
+        short = np.flatnonzero(~long)
+        for which, other in _ranges(first[short], tests[short]):
+            x, y = strong[other], entry[short[which]]
+            fit = most[x] >= size[y]
+            yield from _tested(x[fit], y[fit], size, ident, sketches, words, doc, ratio)
+        long = np.flatnonzero(long)
+        for at in np.split(long, np.flatnonzero(np.diff(group[entry[long]])) + 1):
+            for which, other in _near(entry[at], first[at], last[at], strong, size, sketches, words, doc, ratio):
+                x, y = strong[other], entry[at[which]]
+                fit = most[x] >= size[y]
+                yield from _tested(x[fit], y[fit], size, ident, sketches, words, doc, ratio)
+
+
+LONG_TESTS = 10_000  # tests of a list that is worked off in tiles
+TILE = 64, 2_048
+
+
+def _near(entry, first, last, strong, size, sketches, words, doc, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of one list the pairs (k, m), ``first[k] <= m < last[k]``, whose sketches aren't far apart in most of their words.
+
+    Tiles of entry[k] by strong[m]; the limit of a tile is that of its largest sizes, so none is lost.
+    """
+    order = np.argsort(last, kind="stable")
+    for rows in np.split(order, range(TILE[0], len(order), TILE[0])):
+        x = entry[rows]
+        begin, end = int(first[rows].min(initial=len(strong))), int(last[rows].max(initial=0))
+        for start in range(begin, end, TILE[1]):
+            y = strong[start : min(end, start + TILE[1])]
+            width = int(min(words[doc[x]].min(), words[doc[y]].min()))
+            used = width if width < 8 else width * 3 // 4
+            halves = sketches[width]
+            a, b = (np.concatenate([halves[0][doc[z]], halves[1][doc[z]]], axis=1)[:, :used].T.copy() for z in (x, y))
+            differ = np.zeros((len(x), len(y)), dtype=np.uint16 if used < 1_000 else np.int64)
+            for one, two in zip(a, b):
+                differ += np.bitwise_count(one[:, None] ^ two[None, :])
+            near = np.flatnonzero(differ <= int((size[x].max() + size[y].max()) * (1 - 2 * ratio) + 1e-6))
+            k, m = rows[near // len(y)], start + near % len(y)
+            apart = (m >= first[k]) & (m < last[k])
+            yield k[apart], m[apart]
 
 
 def _tested(x, y, size, ident, sketches, words, doc, ratio: float) -> Iterator[np.ndarray]:
@@ -466,8 +537,8 @@ def link_classes(
     total, copied = members.agg(F.count("id"), F.count_if(F.col("id") != F.col("class_id"))).first()
     representatives = records.join(_sized(copies, copied), "id", "left_anti") if copied else records
     counts = spark.sparkContext.broadcast(run_counts(survey, bits))
-    parts = max(MIN_PARTS, -(-total // INDEX_RECORDS))
-    index = _index_entries(representatives, counts, length, threshold, parts)
+    parts = max(MIN_PARTS, -(-(total - copied) // INDEX_RECORDS))
+    index = _index_entries(representatives, counts, length, threshold, parts, (total - copied) / max(1, total))
     placed = index.repartition(parts, F.col("part")).sortWithinPartitions("part")
     candidates = _join_parts(placed, threshold).distinct()
     return members, cut_lineage(_verified(candidates, records, length, threshold))

@@ -1,6 +1,8 @@
 import random
+import types
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from postmill.llm import neardup
@@ -131,3 +133,43 @@ def test_classes_of_many_copies_are_paired_in_places(spark, monkeypatch):
         assert len(pairs) == len(set(pairs))
         got[rows] = set(pairs)
     assert got[4] == got[1_000] == {(a, b) for a in range(55) for b in range(a + 1, 55)} | {(55, 56)}
+
+
+class _Batches:
+    """Stands in for a DataFrame of one batch of records."""
+
+    def __init__(self, texts):
+        self.batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+
+    def mapInArrow(self, scan, schema):
+        return list(scan(iter([self.batch])))
+
+
+def _index(texts, held, parts):
+    counts = types.SimpleNamespace(value=neardup.to_byte(np.full(1 << 12, held)))
+    rows = neardup._index_entries(_Batches(texts), counts, 3, 0.6, parts)
+    return [tuple(b.column(k)[0].as_py() for k in range(4)) for b in rows]
+
+
+def test_runs_of_very_many_records_stay_in_the_parts_of_the_index():
+    texts = _texts(7, 200)
+    most = neardup.LIST_ROWS * 12
+    index = _index(texts, most, 8)
+    assert len(index) <= 8 and {row[0] for row in index} <= set(range(8))
+    pairs = {tuple(p) for k in range(8) for p in neardup._part_pairs([row[1:] for row in index if row[0] == k], 0.6).tolist()}
+    links = {(a, b) for a, b in _brute(texts, 3, 0.6) if set(words_of(texts[a])) and texts[a] != texts[b]}
+    assert links <= pairs
+    # lists of 40,000 records are worked off whole: an entry for each run of a prefix
+    entries = sum(len(row[1]) for row in _index(texts, 40_000, 8)) // neardup._ENTRY.itemsize
+    assert entries <= sum(len(s) for s in run_sets(texts, 3))
+
+
+def test_long_lists_worked_off_in_tiles_give_the_same_pairs(monkeypatch):
+    texts = _texts(11, 300) + [" ".join(WORDS[k % 7 :] * 9) + f" z{k}" for k in range(60)]
+    index = [row[1:] for row in _index(texts, 50, 1)]
+    got = []
+    for least, tile in ((10**9, (64, 2_048)), (0, (3, 5)), (0, (64, 2_048))):
+        monkeypatch.setattr(neardup, "LONG_TESTS", least)
+        monkeypatch.setattr(neardup, "TILE", tile)
+        got.append(neardup._part_pairs(index, 0.6).tolist())
+    assert got[0] == got[1] == got[2] and len(got[0]) > 60
