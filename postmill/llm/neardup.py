@@ -32,7 +32,11 @@ linked to nothing; a repeated id with the same text is one record; ids must not
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.words import run_sets as text_sets
-from postmill.session import cut_lineage
+from postmill.session import cut_lineage, ensure_checkpoint_dir
 
 COUNT_BITS, MOST_BITS = 22, 25
 CELL_RUNS = 8  # runs for each cell, about, as long as the table may grow
@@ -223,10 +227,11 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
 # -- index -----------------------------------------------------------------------------------------
 
 
-def _index_entries(records: DataFrame, counts, length: int, threshold: float, parts: int, share: float = 1.0) -> DataFrame:
-    """``part, entries, head, sketches``: packed index entries of many records, by part of the index.
+def _index_entries(records: DataFrame, counts, length: int, threshold: float, parts: int, share: float = 1.0, folder: str | None = None) -> DataFrame:
+    """``part, entries, head, sketches, file``: packed index entries of many records, by part of the index.
 
-    ``share``: of the records that were counted, those that are indexed.
+    ``share``: of the records that were counted, those that are indexed.  With a ``folder``, heads and
+    sketches are written there once for each batch, and ``head`` has the rows of ``file`` that a part needs.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,22 +257,53 @@ def _index_entries(records: DataFrame, counts, length: int, threshold: float, pa
             which, place = _places(runs, n, ids[rows], parts)
             # the low half of a run: a chance match of halves makes a candidate, never a link
             keys = np.where(place < parts, runs[which], _mixed(runs[which] ^ _mixed(place.astype(np.uint64)))) & np.uint64(0xFFFFFFFF)
+            every = np.empty(len(ids), dtype=_HEAD)
+            every["id"], every["size"], every["words"] = ids, sizes, words
+            file = _written(folder, every, flat) if folder else None
             for part, at in _by_part(place % parts):
                 chosen = which[at]
                 used, local = np.unique(rows[chosen], return_inverse=True)
                 entries = np.empty(len(chosen), dtype=_ENTRY)
                 entries["run"], entries["row"], entries["pos"] = keys[at], local, np.minimum(pos[chosen], 65_535)
-                head = np.empty(len(used), dtype=_HEAD)
-                head["id"], head["size"], head["words"] = ids[used], sizes[used], words[used]
-                span = words[used]
-                body = flat[np.repeat(offset[used] - (np.cumsum(span) - span), span) + np.arange(span.sum())]
+                head, body = (used.astype("<u4").tobytes(), b"") if file else (every[used].tobytes(), _bodies(flat, offset, words, used).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int64()), pa.array([entries.tobytes()], pa.binary()), pa.array([head.tobytes()], pa.binary()),
-                     pa.array([body.tobytes()], pa.binary())],
-                    ["part", "entries", "head", "sketches"],
+                    [pa.array([part], pa.int64()), pa.array([entries.tobytes()], pa.binary()), pa.array([head], pa.binary()),
+                     pa.array([body], pa.binary()), pa.array([file], pa.string())],
+                    ["part", "entries", "head", "sketches", "file"],
                 )
 
-    return records.mapInArrow(build, "part long, entries binary, head binary, sketches binary")
+    return records.mapInArrow(build, "part long, entries binary, head binary, sketches binary, file string")
+
+
+def _bodies(flat: np.ndarray, offset: np.ndarray, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sketches of some records, one behind the other."""
+    span = words[rows].astype(np.int64)
+    return flat[np.repeat(offset[rows] - (np.cumsum(span) - span), span) + np.arange(span.sum())]
+
+
+def _shared_folder(spark) -> str | None:
+    """A folder of its own beside the checkpoints, if Python workers can open files there."""
+    held = urlsplit(ensure_checkpoint_dir(spark))
+    return f"{held.path}/sketches-{uuid.uuid4().hex}" if held.scheme in ("", "file") else None
+
+
+def _written(folder: str, heads: np.ndarray, flat: np.ndarray) -> str:
+    """A new file with the number of records, their heads and their sketches; its name."""
+    os.makedirs(folder, exist_ok=True)
+    name = f"{folder}/{uuid.uuid4().hex}"
+    with open(name, "wb") as out:
+        for part in (np.array([len(heads)], dtype="<u8"), heads, flat):
+            out.write(part.tobytes())
+    return name
+
+
+def _read(file: str, rows: bytes) -> tuple[bytes, bytes]:
+    """Heads and sketches of some rows of a file."""
+    data = np.memmap(file, dtype="<u8", mode="r")
+    begin = 1 + int(data[0]) * _HEAD.itemsize // 8
+    heads, rows = np.array(data[1:begin]).view(_HEAD), np.frombuffer(rows, dtype="<u4")
+    words = heads["words"].astype(np.int64)
+    return heads[rows].tobytes(), _bodies(data[begin:], np.cumsum(words) - words, words, rows).tobytes()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -382,7 +418,7 @@ def candidate_pairs(runs, size, pos, ident, sketches, words, doc, threshold: flo
 
 
 LONG_TESTS = 10_000  # tests of a list that is worked off in tiles
-TILE = 64, 2_048
+TILE = 64, 512
 
 
 def _near(entry, first, last, strong, size, sketches, words, doc, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -480,16 +516,16 @@ def _join_parts(index: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
-            for p, e, h, s in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for p, e, h, s, file in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if p != part and held:
                     yield from flush()
                     held = []
                 part = p
-                held.append((e, h, s))
+                held.append((e, *_read(file, h)) if file else (e, h, s))
         if held:
             yield from flush()
 
-    ordered = index.select("part", "entries", "head", "sketches")
+    ordered = index.select("part", "entries", "head", "sketches", "file")
     return ordered.mapInArrow(join, "a long, b long")
 
 
@@ -538,10 +574,15 @@ def link_classes(
     representatives = records.join(_sized(copies, copied), "id", "left_anti") if copied else records
     counts = spark.sparkContext.broadcast(run_counts(survey, bits))
     parts = max(MIN_PARTS, -(-(total - copied) // INDEX_RECORDS))
-    index = _index_entries(representatives, counts, length, threshold, parts, (total - copied) / max(1, total))
+    folder = _shared_folder(spark)
+    index = _index_entries(representatives, counts, length, threshold, parts, (total - copied) / max(1, total), folder)
     placed = index.repartition(parts, F.col("part")).sortWithinPartitions("part")
     candidates = _join_parts(placed, threshold).distinct()
-    return members, cut_lineage(_verified(candidates, records, length, threshold))
+    try:
+        return members, cut_lineage(_verified(candidates, records, length, threshold))
+    finally:
+        if folder:
+            shutil.rmtree(folder, ignore_errors=True)
 
 
 def _verified(pairs: DataFrame, records: DataFrame, length: int, threshold: float) -> DataFrame:

@@ -173,3 +173,14 @@ def test_long_lists_worked_off_in_tiles_give_the_same_pairs(monkeypatch):
         monkeypatch.setattr(neardup, "TILE", tile)
         got.append(neardup._part_pairs(index, 0.6).tolist())
     assert got[0] == got[1] == got[2] and len(got[0]) > 60
+
+
+def test_a_sketch_is_stored_once_however_many_parts_need_it(tmp_path):
+    texts = _texts(13, 200)
+    held = types.SimpleNamespace(value=neardup.to_byte(np.full(1 << 12, 50)))
+    plain = neardup._index_entries(_Batches(texts), held, 3, 0.6, 64)
+    index = neardup._index_entries(_Batches(texts), held, 3, 0.6, 64, 1.0, str(tmp_path / "s"))
+    size = lambda rows: sum(len(b.column(k)[0].as_py()) for b in rows for k in (2, 3))
+    assert len(list((tmp_path / "s").iterdir())) == 1 and size(index) * 10 < size(plain)
+    for a, b in zip(plain, index):
+        assert a.column(1) == b.column(1) and neardup._read(b.column(4)[0].as_py(), b.column(2)[0].as_py()) == (a.column(2)[0].as_py(), a.column(3)[0].as_py())
